@@ -301,7 +301,7 @@ def facts_document_aware(spark, sf):
     return _fact_columns(facts.facts_per_document(chunks, w.STAMP))
 
 
-@query(f"""WITH {o.INCIDENTS}, {o.chunks('incidents')}, found AS (SELECT *, {o.CHUNK_ID} AS chunk_id,
+@query(f"""WITH {o.INCIDENTS}, {o.chunks('incidents')}, found AS (SELECT * EXCLUDE title, {o.CHUNK_ID} AS chunk_id,
     {o.TITLE.format(t='chunk_text')} AS title, {o.COMMANDER.format(t='chunk_text')} AS commander FROM chunks),
   facts AS (SELECT {o.FACT_ID} AS fact_id, title AS subject, commander AS object, document_id, chunk_id,
     classification, allowed_roles, department, source_path FROM found WHERE title <> '' AND commander <> '')
@@ -420,7 +420,7 @@ def text_sealing_roundtrip(spark, sf):
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
-    max(o_orderdate)::VARCHAR[:19] AS ordered FROM orders GROUP BY o_custkey""")
+    strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS ordered FROM orders GROUP BY o_custkey""")
 def upsert_latest(spark, sf):
     """Upsert at scale: the latest order of every customer."""
     orders = w.table(spark, sf, "orders").select(

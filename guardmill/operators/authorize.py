@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from guardmill import fixed_values as fv
 from guardmill.contracts import Contracts
 from guardmill.functions import access
+from guardmill.functions.rows import exploded
 
 
 def authorized_rows(records: DataFrame, user: Mapping[str, Any] | None,
@@ -34,10 +35,8 @@ def users_with_tokens(users: DataFrame, contracts: Contracts,
 def authorized_pairs(records: DataFrame, users: DataFrame, contracts: Contracts,
                      record_columns: list[str]) -> DataFrame:
     """(user_id, record columns) for every granted pair: an equi-join on access tokens."""
-    opened = with_tokens(records, contracts).select(
-        *record_columns, F.explode("tokens").alias("token"))
-    held = users_with_tokens(users, contracts).select(
-        "user_id", F.explode("tokens").alias("token"))
+    opened = exploded(with_tokens(records, contracts), "tokens", "token", *record_columns)
+    held = exploded(users_with_tokens(users, contracts), "tokens", "token", "user_id")
     return held.join(opened, "token").select("user_id", *record_columns)
 
 
@@ -48,11 +47,9 @@ def authorized_counts(records: DataFrame, users: DataFrame,
     Records are counted per token before the join, so its size depends on the number of
     distinct permissions and not on the number of records.
     """
-    per_token = (with_tokens(records, contracts)
-                 .select(F.explode("tokens").alias("token"))
+    per_token = (exploded(with_tokens(records, contracts), "tokens", "token")
                  .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    held = users_with_tokens(users, contracts).select(
-        "user_id", F.explode("tokens").alias("token"))
+    held = exploded(users_with_tokens(users, contracts), "tokens", "token", "user_id")
     # a user holds one token per classification, so no further grouping is needed
     return held.join(per_token, "token").select(
         "user_id", access.token_classification(F.col("token")).alias("classification"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.functions import sensitivity, text
+from guardmill.functions.rows import exploded
 
 INHERITED = ("classification", "allowed_roles", "owner", "department", "version",
              "source_path", "document_hash")
@@ -55,8 +56,7 @@ def chunk_documents(docs: DataFrame, size: int = fv.DEFAULT_CHUNK_SIZE,
     own window and not the whole word list of the document.
     """
     windows = document_windows(docs, size, overlap, text_column)
-    chunks = windows.select(
-        "document_id", *INHERITED, F.explode("windows").alias("w"))
+    chunks = exploded(windows, "windows", "w", "document_id", *INHERITED)
     return chunks.select(
         text.chunk_key(F.col("document_id"), F.coalesce("document_hash", F.lit("None")),
                        F.col("w.index")).alias("chunk_id"),
@@ -119,8 +119,7 @@ def with_chunk_texts(chunks: DataFrame, docs: DataFrame,
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.array_join(
             F.slice(F.col("__words"), span["start"] + 1, length), " ").alias("rebuilt"))
 
-    rebuilt = (split.select("source_path", F.transform("spans", span_text).alias("texts"))
-               .select("source_path", F.explode("texts").alias("t"))
+    rebuilt = (exploded(split, F.transform("spans", span_text), "t", "source_path")
                .select("source_path", "t.start", "t.end", "t.rebuilt"))
     joined = base.withColumn("start", start).withColumn("end", end).join(
         rebuilt, ["source_path", "start", "end"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardmill.contracts import table_schema
+from guardmill.functions.rows import exploded
 from guardmill.sources.io import Entries, read_source
 
 # A flat JSON object; strings may hold braces and escapes.
@@ -74,8 +75,8 @@ def read_facts(spark: SparkSession, path: str, layout: str = "lines") -> DataFra
     whole = read_or_none(spark, format="text", path=path, wholetext="true")
     if whole is None:
         return spark.createDataFrame([], schema)
-    objects = whole.select(F.explode(
-        F.regexp_extract_all("value", F.lit(f"({_FLAT_OBJECT})"), F.lit(1))).alias("o"))
+    objects = exploded(
+        whole, F.regexp_extract_all("value", F.lit(f"({_FLAT_OBJECT})"), F.lit(1)), "o")
     return objects.select(F.from_json("o", schema).alias("f")).select("f.*")
 
 

@@ -144,7 +144,7 @@ QUESTIONS = """questions AS (SELECT doc_id::VARCHAR AS request_id,
     CASE WHEN doc_id % 11 = 10 THEN 'nobody' ELSE (doc_id % 150)::VARCHAR END AS user_id,
     CASE WHEN doc_id % 5 = 3 THEN 'Who was the incident commander?'
       WHEN doc_id % 5 = 4 THEN 'Incident commander of  NOTHING ' || doc_id || ' ?'
-      ELSE 'Who was the Incident  commander of ' || upper(source) || ' OUTAGE '
+      ELSE 'Who  was the Incident commander of ' || upper(source) || ' OUTAGE '
         || (doc_id % 40) || '?' END AS query FROM documents),
   asked AS (SELECT *, trim(regexp_replace(replace(lower(query), '?', ' '), '\\s+', ' ', 'g')) AS folded FROM questions),
   fact_asked AS (SELECT request_id, user_id, query,

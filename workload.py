@@ -145,7 +145,7 @@ def fact_requests(spark: SparkSession, sf: str) -> DataFrame:
     query = (F.when(d % 5 == 3, F.lit("Who was the incident commander?"))
              .when(d % 5 == 4, F.concat(F.lit("Incident commander of  NOTHING "), d,
                                         F.lit(" ?")))
-             .otherwise(F.concat(F.lit("Who was the Incident  commander of "), subject,
+             .otherwise(F.concat(F.lit("Who  was the Incident commander of "), subject,
                                  F.lit("?"))))
     user = F.when(d % 11 == 10, F.lit("nobody")).otherwise((d % 150).cast("string"))
     return table(spark, sf, "documents").select(
