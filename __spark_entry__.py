@@ -151,7 +151,7 @@ def access_decision_counts(spark, sf):
     '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{o.WS}+|{o.WS}+\\z', '', 'g')) AS digest,
     len({o.words_of('text')}) AS words FROM documents""")
 def clean_documents(spark, sf):
-    docs = w.table(spark, sf, "documents")
+    docs = w.texts(spark, sf, "documents")
     return docs.select("doc_id", F.md5(F.encode(text.clean(F.col("text")), "UTF-8"))
                        .alias("digest"),
                        F.size(text.words(F.col("text"))).cast("bigint").alias("words"))
@@ -161,7 +161,7 @@ def clean_documents(spark, sf):
     regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '{o.UNWANTED}', '', 'g'), '[ \\t]+\\n', chr(10), 'g'),
     '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{o.WS}+|{o.WS}+\\z', '', 'g')) AS digest FROM pages""")
 def clean_pages(spark, sf):
-    pages = w.table(spark, sf, "pages")
+    pages = w.texts(spark, sf, "pages")
     cleaned = text.clean(text.unix_newlines(F.col("html")))
     return pages.select("page_id", F.md5(F.encode(cleaned, "UTF-8")).alias("digest"))
 
@@ -522,8 +522,11 @@ def hybrid_retrieve(spark, sf):
 
 
 def _chunk_gold(spark, sf):
+    """The gold table of all documents, written and read back as the pipeline does."""
     chunks = chunking.chunk_documents(w.catalogue(spark, sf))
-    return pipeline.fresh_embeddings(chunks, w.keys(spark, sf), w.settings())
+    path = scratch_path(spark, "gold")
+    pipeline.fresh_embeddings(chunks, w.keys(spark, sf), w.settings()).write.parquet(path)
+    return spark.read.schema(table_schema("gold_embeddings")).parquet(path)
 
 
 @query(f"""WITH {o.SEMANTIC_SEARCH} SELECT request_id, rank, chunk_id, document_id, score FROM ranked WHERE rank <= top_k""")

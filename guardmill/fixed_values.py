@@ -172,8 +172,11 @@ ENTITY_TYPE_BY_DATASET = {"secure_retrieval_service": "API", "audit_events": "Lo
 
 # characters that survive cleaning: TAB LF CR, printable ASCII, U+00A0 - U+FFFF
 UNWANTED_CHARACTERS = r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]"
-# Unicode white space that can still be present after cleaning
-WHITE_SPACE = (r"[\t\n\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
+# Unicode white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # type, literal that any match must contain, pattern (Java syntax, Unicode classes)
 SENSITIVE_PATTERNS = (

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from guardmill import fixed_values as fv
 
-_WS = fv.WHITE_SPACE
-# Runs are matched possessively and only from their first character, so a document made of
-# one long run of blanks still costs one pass.
-_LINE_END_BLANKS = r"(?<![ \t])[ \t]++\n"
+# A blank run is matched possessively and only from its first character, so a document made
+# of one long run of blanks still costs one pass.
+_LINE_END_BLANKS = r"[ \t](?<![ \t][ \t])[ \t]*+\n"
 _BLANK_LINES = r"\n{3,}"
-_ENDS = rf"^{_WS}++|(?<!{_WS}){_WS}++\z"
+_BLANKS = r"(?U)\s+"
 
 
 def drop_control_characters(text: Column) -> Column:
@@ -20,8 +19,8 @@ def drop_control_characters(text: Column) -> Column:
 
 
 def strip_ends(text: Column) -> Column:
-    """Unicode-aware strip; `trim` only knows U+0020."""
-    return F.regexp_replace(text, _ENDS, "")
+    """Unicode-aware strip; plain `trim` only knows U+0020."""
+    return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
 def tidy_white_space(text: Column) -> Column:
@@ -40,12 +39,12 @@ def unix_newlines(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words of the cleaned text.
 
-    Tidying only rewrites white space between words, so dropping unwanted characters and
-    stripping the ends is enough to get the same list.
+    Tidying only rewrites white space between words, so dropping unwanted characters is
+    enough to get the same list. It also drops the control characters in which Java's and
+    Python's ideas of white space differ.
     """
-    bare = strip_ends(drop_control_characters(F.coalesce(text, F.lit(""))))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, f"{_WS}+"))
+    bare = drop_control_characters(F.coalesce(text, F.lit("")))
+    return F.array_remove(F.split(bare, _BLANKS), "")
 
 
 def check_window(size: int, overlap: int) -> None:

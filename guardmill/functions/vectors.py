@@ -1,27 +1,52 @@
-"""Vector packing, cosine similarity and the default text encoder."""
+"""Vector packing, cosine similarity and the default text encoder.
+
+The Python functions work on whole Arrow arrays: list and binary buffers are reshaped, not
+converted row by row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CELLS = 4_000_000
+
+
+def _binaries(payload: bytes, lengths: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Binary array of consecutive pieces of `payload`, null where `missing`."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    valid = pa.array(~missing).buffers()[1] if missing.any() else None
+    return pa.Array.from_buffers(pa.binary(), len(lengths),
+                                 [valid, pa.py_buffer(offsets), pa.py_buffer(payload)])
+
 
+def _missing(array: pa.Array) -> np.ndarray:
+    return array.is_null().to_numpy(zero_copy_only=False)
 
-@F.pandas_udf(T.BinaryType())
-def pack_f32(vectors: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.BinaryType())
+def pack_f32(vectors: pa.Array) -> pa.Array:
     """array<float> -> N*4 little-endian bytes."""
-    return vectors.map(
-        lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    return _binaries(flat.tobytes(), lengths.astype(np.int64) * 4, _missing(vectors))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _floats(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _floats(payload: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.binary_length(payload), 0).to_numpy(zero_copy_only=False) // 4
+    flat = np.frombuffer(b"".join(payload.drop_null().to_pylist()), dtype="<f4")
+    offsets = np.zeros(len(payload) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float32()),
+                                    mask=pa.array(_missing(payload)))
 
 
 def unpack_f32(payload: Column, dim: Column) -> Column:
@@ -44,34 +69,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def word_buckets(word_list: Column, dim: int) -> Column:
-    """array<int>: the hash bucket of every word, for `bucket_vectors`."""
-    return F.transform(word_list, lambda w: (
-        F.conv(F.substring(F.md5(F.encode(F.lower(w), "UTF-8")), 1, 8), 16, 10)
-        .cast("bigint") % dim).cast("int"))
+def word_bucket(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+
 
+def hashed_words(dim: int):
+    """Arrow UDF: cleaned text -> packed unit vector of hashed word counts.
 
-def bucket_vectors(dim: int):
-    """Pandas UDF: array<int> buckets -> packed unit vector of bucket counts."""
-    @F.pandas_udf(T.BinaryType())
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for buckets in batches:
-            yield pd.Series(list(_count_vectors(buckets, dim)), dtype=object)
+    Only the distinct words of a batch are hashed; counting is one `bincount` per slice.
+    """
+    @F.arrow_udf(T.BinaryType())
+    def encode(texts: pa.Array) -> pa.Array:
+        rows_per_slice = max(1, _CELLS // dim)
+        parts = [_word_vectors(texts.slice(start, rows_per_slice), dim)
+                 for start in range(0, len(texts), rows_per_slice)]
+        payload = b"".join(part.tobytes() for part in parts)
+        return _binaries(payload, np.full(len(texts), 4 * dim), np.zeros(len(texts), bool))
     return encode
 
 
-def _count_vectors(buckets: pd.Series, dim: int) -> Iterator[bytes]:
-    # one bincount per slice of rows, so memory stays at rows x dim of the slice
-    rows_per_slice = max(1, 4_000_000 // dim)
-    for start in range(0, len(buckets), rows_per_slice):
-        part = buckets.iloc[start:start + rows_per_slice]
-        lengths = part.map(lambda b: 0 if b is None else len(b)).to_numpy(dtype=np.int64)
-        flat = (np.concatenate([b for b in part if b is not None and len(b)])
-                if lengths.sum() else np.empty(0, dtype=np.int64))
-        cell = np.repeat(np.arange(len(part)), lengths) * dim + flat
-        counts = np.bincount(cell, minlength=len(part) * dim).reshape(len(part), dim)
-        for vector in unit_rows(counts):
-            yield vector.tobytes()
+def _word_vectors(texts: pa.Array, dim: int) -> np.ndarray:
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    words = split.flatten().dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    # the ends of a text may give empty pieces, which are not words
+    bucket = np.array([word_bucket(w, dim) if w else -1 for w in distinct], dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    of_word = bucket[words.indices.to_numpy(zero_copy_only=False)] if len(words) else row
+    used = of_word >= 0
+    counts = np.bincount(row[used] * dim + of_word[used], minlength=len(texts) * dim)
+    return unit_rows(counts.reshape(len(texts), dim))
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -79,5 +107,3 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     wide = np.asarray(matrix, dtype=np.float64)
     norms = np.sqrt((wide * wide).sum(axis=1, keepdims=True))
     return (wide / np.where(norms == 0, 1.0, norms)).astype("<f4")
-
-

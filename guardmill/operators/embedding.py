@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +23,9 @@ HASHING_MODEL = "hashed-words"
 
 def hashed_vectors(df: DataFrame, text_column: str, dim: int = fv.DEFAULT_DIM,
                    output: str = "vector") -> DataFrame:
-    """Adds the packed unit vector of hashed word counts.
-
-    Words are split and hashed in the JVM; Python only counts the bucket numbers of an
-    Arrow batch.
-    """
-    buckets = vectors.word_buckets(F.col("__words"), dim)
-    return (df.withColumn("__words", text.words(F.col(text_column)))
-            .withColumn(output, vectors.bucket_vectors(dim)(buckets))
-            .drop("__words"))
+    """Adds the packed unit vector of hashed word counts."""
+    cleaned = text.drop_control_characters(F.col(text_column))
+    return df.withColumn(output, vectors.hashed_words(dim)(cleaned))
 
 
 def encoded_vectors(df: DataFrame, text_column: str, load_encoder: Callable[[], Encode],
@@ -41,20 +36,20 @@ def encoded_vectors(df: DataFrame, text_column: str, load_encoder: Callable[[],
     `load_encoder` runs once per task; texts reach the encoder `batch_size` at a time, so
     memory does not depend on the partition size.
     """
-    @F.pandas_udf(T.BinaryType())
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.BinaryType())
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load_encoder()
         for texts in batches:
             packed: list[bytes] = []
             for start in range(0, len(texts), batch_size):
-                part = texts.iloc[start:start + batch_size].fillna("").tolist()
+                part = pc.fill_null(texts.slice(start, batch_size), "").to_pylist()
                 matrix = np.asarray(encoder(part))
                 if matrix.shape != (len(part), dim):
                     raise ValueError(f"encoder returned shape {matrix.shape}, "
                                      f"expected {(len(part), dim)}")
                 rows = vectors.unit_rows(matrix) if normalize else matrix.astype("<f4")
                 packed.extend(row.tobytes() for row in rows)
-            yield pd.Series(packed, dtype=object)
+            yield pa.array(packed, pa.binary())
 
     return df.withColumn(output, encode(F.col(text_column)))
 

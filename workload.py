@@ -26,6 +26,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table spread over the cores where the scan alone would not do it.
+
+    The given files have one row group each. A table of many files or row groups has more
+    scan tasks than cores and passes through unchanged.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
 
@@ -41,7 +54,7 @@ def role_names() -> list[str]:
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """documents as bronze rows plus their text."""
-    return governed_documents(table(spark, sf, "documents"))
+    return governed_documents(texts(spark, sf, "documents"))
 
 
 def governed_documents(documents: DataFrame) -> DataFrame:
