@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Callable
 from pathlib import Path
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from guardmill.operators import graph, index, quality
 from guardmill.operators.joins import lookup_join
 from guardmill.operators.scratch import scratch_path
 from guardmill.plans import pipeline, retrieval, views
+from guardmill.shipping import ship_package
 from guardmill.sources.io import Entry, read_source
 from guardmill.sources.tables import read_facts, write_json_rows
 from guardmill.streaming import incremental
@@ -34,10 +36,15 @@ _ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        _QUERIES[fn.__name__] = run
         if sql is not None:
             _ORACLES[fn.__name__] = sql
-        return fn
+        return run
     return register
 
 

@@ -8,23 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 _SALT = "__salt"
 _HOT = "__hot"
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when `df` has at most `max_rows` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+         max_bytes: int | None = BROADCAST_BYTES) -> bool:
+    """True when `df` stays within both limits; reads no more than one row beyond.
+
+    The size is that of the rows as text; None skips it.
+    """
+    head = df.limit(max_rows + 1)
+    if max_bytes is None:
+        return head.count() <= max_rows
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = head.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return rows <= max_rows and held <= max_bytes
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+                max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
+                salts: int = 64) -> DataFrame:
     """Join a large table to a narrow lookup table.
 
-    The lookup is broadcast when its row count is checked to be small. Beyond that every
+    The lookup is broadcast when its rows and bytes are checked to be few. Beyond that every
     key is salted, so a key shared by all rows (one encryption key, say) still spreads.
     """
-    if fits(lookup, max_rows):
+    if fits(lookup, max_rows, max_bytes):
         return facts.join(F.broadcast(lookup), list(on), how)
     salted = facts.withColumn(_SALT, _row_salt(facts, salts))
     copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

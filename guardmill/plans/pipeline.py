@@ -130,6 +130,11 @@ def run_gold(bronze_with_text: DataFrame, keys: DataFrame, settings: EmbeddingSe
     write_entry(gold, writers["gold_embeddings"])
 
 
+def run_silver(bronze_with_text: DataFrame, writers: dict[str, Entry],
+               size: int = fv.DEFAULT_CHUNK_SIZE, overlap: int = fv.DEFAULT_OVERLAP) -> None:
+    write_entry(silver_chunks(bronze_with_text, size, overlap), writers["silver_chunks"])
+
+
 def run_bronze(spark, readers: dict[str, Entry], writers: dict[str, Entry],
                ingested_at: str) -> None:
     raw = read_entry(spark, readers["metadata_documents"])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardmill.contracts import table_schema
 from guardmill.functions.rows import exploded
+from guardmill.operators.graph import conform_edges, conform_nodes
 from guardmill.sources.io import Entries, read_source
 
 # A flat JSON object; strings may hold braces and escapes.
@@ -89,6 +91,38 @@ def read_audit(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from JSON files of the form {"nodes": [...], "edges": [...]}.
+
+    An absent path or a malformed file gives no nodes and no edges.
+    """
+    tables = ("graph_nodes", "graph_edges")
+    schema = T.StructType([
+        T.StructField(part, T.ArrayType(table_schema(table)))
+        for part, table in zip(("nodes", "edges"), tables, strict=True)])
+    raw = read_or_none(spark, format="json", path=path, schema=schema, multiLine="true")
+    if raw is None:
+        raw = spark.createDataFrame([], schema)
+    nodes = exploded(raw, "nodes", "n").select("n.*").filter("node_id is not null")
+    edges = exploded(raw, "edges", "e").select("e.*").filter(
+        "source_id is not null and target_id is not null")
+    return conform_nodes(nodes), conform_edges(edges)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str | None) -> None:
+    """Stores the graph as two Parquet tables below `path`."""
+    if path is None:
+        raise RuntimeError("no path given, cannot save the graph")
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The tables `write_graph` stored; empty where there are none."""
+    return (read_or_empty(spark, "graph_nodes", format="parquet", path=f"{path}/nodes"),
+            read_or_empty(spark, "graph_edges", format="parquet", path=f"{path}/edges"))
+
+
 def write_json_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with the columns in name order."""
     df.select(*sorted(df.columns)).write.mode(mode).json(path)
