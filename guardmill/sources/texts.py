@@ -26,9 +26,11 @@ def _relative(path, folder: str):
 
 def file_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, text of every file below `folder`, with `\\n` line ends."""
-    whole = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).text(folder))
-    return whole.select(F.col("_metadata.file_path").alias("path"),
+    whole = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", pattern).text(folder, wholetext=True))
+    # the metadata column is percent-encoded, the listing is not; a plus is just a plus
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return whole.select(F.url_decode(encoded).alias("path"),
                         unix_newlines(F.col("value")).alias("text"))
 
 
