@@ -20,8 +20,7 @@ from guardmill.contracts import table_schema
 from guardmill.functions import crypto, text, vectors
 from guardmill.operators import audit, authorize, cache, chunking, embedding, facts, grants
 from guardmill.operators import graph, index, quality
-from guardmill.operators.joins import lookup_join
-from guardmill.operators.scratch import scratch_path
+from guardmill.operators.scratch import scratch_path, settled
 from guardmill.plans import pipeline, retrieval, views
 from guardmill.shipping import ship_package
 from guardmill.sources.io import Entry, read_source
@@ -227,6 +226,11 @@ def _sealed_vectors(spark, sf):
     return embedding.sealed_rows(rows, w.keys(spark, sf), w.KEY_ID, "given", w.DIM, w.STAMP)
 
 
+def _gold_vectors(spark, sf):
+    """The same rows as a written gold table."""
+    return settled(_sealed_vectors(spark, sf))
+
+
 @query(f"""WITH {o.DOCS} SELECT document_id, title, source_path, classification, owner, department,
     array_to_string(allowed_roles, ',') AS allowed_roles, version, created_at,
     '2024-06-01T00:00:00Z' AS ingestion_timestamp FROM docs""")
@@ -356,11 +360,25 @@ _CACHED_SQL = """cached AS (SELECT 'c' || l.doc_id AS chunk_id,
     k.created_at IS NOT NULL AS hit FROM documents d
   LEFT JOIN cached k ON k.chunk_id = 'c' || d.doc_id AND k.document_hash = sha256(d.text)""")
 def cache_split(spark, sf):
-    hits, misses = cache.split(*_cache_inputs(spark, sf))
-    columns = ["chunk_id", "source", "created_at", "hit"]
-    return (hits.withColumn("hit", F.lit(True)).select(*columns).unionByName(
-        misses.withColumn("hit", F.lit(False))
-        .withColumn("created_at", F.lit(None).cast("string")).select(*columns)))
+    return cache.marked(*_cache_inputs(spark, sf)).select(
+        "chunk_id", "source", "created_at", "hit")
+
+
+@query(f"""WITH {_CACHED_SQL} SELECT 'c' || doc_id AS chunk_id, source FROM documents d WHERE NOT EXISTS (
+    SELECT 1 FROM cached k WHERE k.chunk_id = 'c' || d.doc_id AND k.document_hash = sha256(d.text))""")
+def cache_misses(spark, sf):
+    """The chunks that have to be encoded."""
+    return cache.split(*_cache_inputs(spark, sf))[1].select("chunk_id", "source")
+
+
+@query(f"""WITH {_CACHED_SQL} SELECT 'c' || doc_id AS chunk_id, 'm' AS embedding_model, 'k' AS key_id,
+    '2024-06-01T00:00:00Z' AS created_at, {o.uuid5("'embedding|c' || doc_id || '|' || k.document_hash || '|2024-06-01T00:00:00Z'")} AS embedding_id
+  FROM documents d JOIN cached k ON k.chunk_id = 'c' || d.doc_id AND k.document_hash = sha256(d.text)""")
+def cached_gold(spark, sf):
+    """Cache hits as gold rows."""
+    hits, _ = cache.split(*_cache_inputs(spark, sf))
+    return cache.gold_from_hits(hits, "k", w.STAMP).select(
+        "chunk_id", "embedding_model", "key_id", "created_at", "embedding_id")
 
 
 @query(f"WITH {_CACHED_SQL} SELECT chunk_id, document_hash, created_at FROM cached")
@@ -392,9 +410,7 @@ def embeddings_with_cache(spark, sf):
     round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squares FROM embeddings""")
 def encrypted_roundtrip(spark, sf):
     """Vectors packed, sealed, opened and unpacked again."""
-    rows = w.vector_rows(spark, sf).withColumn("vector", vectors.pack_f32("embedding"))
-    sealed = embedding.sealed_rows(rows, w.keys(spark, sf), w.KEY_ID, "given", w.DIM, w.STAMP)
-    opened = embedding.open_vectors(sealed, w.keys(spark, sf))
+    opened = embedding.open_vectors(_gold_vectors(spark, sf), w.keys(spark, sf))
     floats = opened.withColumn("v", vectors.unpack_f32(F.col("vector"),
                                                        F.col("embedding_dim")))
     labels = w.vector_rows(spark, sf).select("chunk_id", "vec_id", "label")
@@ -415,12 +431,10 @@ def text_sealing_roundtrip(spark, sf):
     work = chunking.chunk_workset(w.catalogue(spark, sf))
     keys = w.keys(spark, sf)
     sealed = embedding.seal_text_fields(work, keys, w.KEY_ID)
-    opened = lookup_join(sealed.withColumn("key_id", F.lit(w.KEY_ID)), keys, ["key_id"])
-    was = F.coalesce("chunk_text_is_encrypted", F.lit(False))
-    plain = F.when(was, embedding.open_text_field(F.col("chunk_text"), F.col("key"))
-                   ).otherwise(F.col("chunk_text"))
-    return opened.select("chunk_id", was.alias("was_sealed"),
-                         F.md5(F.encode(plain, "UTF-8")).alias("digest"))
+    opened = embedding.open_text_fields(sealed, keys, w.KEY_ID)
+    return opened.select(
+        "chunk_id", F.coalesce("chunk_text_is_encrypted", F.lit(False)).alias("was_sealed"),
+        F.md5(F.encode("chunk_text", "UTF-8")).alias("digest"))
 
 
 # --- index and retrieval ----------------------------------------------------------------------
@@ -444,7 +458,7 @@ def upsert_latest(spark, sf):
     '1.0' AS version, 256 AS bytes, CASE WHEN label >= 5 THEN 'second' ELSE 'first' END AS updated_at FROM vecs""")
 def index_sync(spark, sf):
     """Candidate index after syncing all gold rows and then half of the labels again."""
-    gold, keys = _sealed_vectors(spark, sf), w.keys(spark, sf)
+    gold, keys = _gold_vectors(spark, sf), w.keys(spark, sf)
     first = pipeline.build_index(gold.withColumn("created_at", F.lit("first")), keys)
     later = gold.filter(F.regexp_extract("department", r"(\d+)", 1).cast("int") >= 5)
     synced = pipeline.build_index(later.withColumn("created_at", F.lit("second")), keys, first)
@@ -460,7 +474,7 @@ def index_sync(spark, sf):
 def secure_topk(spark, sf):
     """Sealed vectors: permission filter, decryption, top 5 per request."""
     found = retrieval.secure_retrieve(
-        w.label_requests(spark, sf), _sealed_vectors(spark, sf), w.users(spark, sf),
+        w.label_requests(spark, sf), _gold_vectors(spark, sf), w.users(spark, sf),
         w.keys(spark, sf), CONTRACTS)
     return found.results.select("request_id", F.col("rank").cast("bigint").alias("rank"),
                                 "chunk_id", "document_id", "classification", "score")
@@ -477,7 +491,7 @@ def secure_topk(spark, sf):
 def secure_audit(spark, sf):
     """The audit events of the same batch."""
     found = retrieval.secure_retrieve(
-        w.label_requests(spark, sf), _sealed_vectors(spark, sf), w.users(spark, sf),
+        w.label_requests(spark, sf), _gold_vectors(spark, sf), w.users(spark, sf),
         w.keys(spark, sf), CONTRACTS)
     return found.audit.select(
         "request_id", "event_type", "role", _joined("returned_ids").alias("returned"),
@@ -491,7 +505,7 @@ def secure_audit(spark, sf):
   SELECT request_id, rank, chunk_id, classification, round(1 - score, 6) AS distance FROM near WHERE rank <= 20""")
 def nearest_candidates(spark, sf):
     """Index lookup with a metadata filter, before any permission check."""
-    table = pipeline.build_index(_sealed_vectors(spark, sf), w.keys(spark, sf))
+    table = pipeline.build_index(_gold_vectors(spark, sf), w.keys(spark, sf))
     found = retrieval.nearest_candidates(w.label_requests(spark, sf), table, 20,
                                          F.col("classification") != "restricted")
     return found.select("request_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
@@ -509,7 +523,7 @@ def nearest_candidates(spark, sf):
   SELECT request_id, rank, chunk_id, score FROM seen WHERE ok AND rank <= 5""")
 def hybrid_retrieve(spark, sf):
     """Index candidates plus chunks of the documents nearest to the request."""
-    gold, keys = _sealed_vectors(spark, sf), w.keys(spark, sf)
+    gold, keys = _gold_vectors(spark, sf), w.keys(spark, sf)
     requests = w.label_requests(spark, sf)
     table = pipeline.build_index(gold, keys)
     near = retrieval.nearest_candidates(requests, table, 20)
@@ -554,7 +568,7 @@ def insecure_retrieve(spark, sf):
     requests = w.label_requests(spark, sf).select(
         F.concat(F.lit("u"), F.substring("request_id", 2, 9)).alias("request_id"),
         F.concat(F.lit("guest"), "user_id").alias("user_id"), "query", "top_k")
-    found = retrieval.insecure_retrieve(requests, _sealed_vectors(spark, sf),
+    found = retrieval.insecure_retrieve(requests, _gold_vectors(spark, sf),
                                         w.users(spark, sf), w.keys(spark, sf), CONTRACTS)
     warned = found.requests.select(
         "request_id", (F.col("note") == fv.UNSAFE_MODE_WARNING).alias("warned"))
@@ -668,7 +682,7 @@ def extract_answers(spark, sf):
   FROM seen WHERE rank <= 5 GROUP BY request_id""")
 def text_model_context(spark, sf):
     requests = w.label_requests(spark, sf)
-    found = retrieval.secure_retrieve(requests, _sealed_vectors(spark, sf),
+    found = retrieval.secure_retrieve(requests, _gold_vectors(spark, sf),
                                       w.users(spark, sf), w.keys(spark, sf), CONTRACTS)
     bundle = retrieval.text_model_context(requests, found.results, w.users(spark, sf))
     return bundle.select(

@@ -35,25 +35,34 @@ def latest(cache: DataFrame) -> DataFrame:
     return cache.groupBy(*KEY).agg(newest.alias("row")).select(*KEY, "row.*")
 
 
+def marked(chunks: DataFrame, cache: DataFrame, name: str = "hit") -> DataFrame:
+    """Every chunk with its cached payload, if any, and a hit flag: one join."""
+    rows = latest(cache)
+    clash = [c for c in rows.columns if c in chunks.columns and c not in KEY]
+    joined = chunks.drop(*clash).join(rows.withColumn(name, F.lit(True)), list(KEY), "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def split(chunks: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(hits joined with their cached payload, misses)."""
+    """(hits joined with their cached payload, misses).
+
+    The two sides are used in different jobs; each gets the join it needs, and the misses
+    read no payload.
+    """
     if cache is None:
         return chunks.filter(F.lit(False)), chunks
-    rows = latest(cache)
-    clash = [c for c in rows.columns if c in chunks.columns and c not in KEY]
-    marked = chunks.drop(*clash).join(
-        rows.withColumn("__hit", F.lit(True)), list(KEY), "left")
-    hits = marked.filter(F.col("__hit")).drop("__hit")
-    misses = chunks.join(rows.select(*KEY), list(KEY), "left_anti")
+    hits = marked(chunks, cache, "__hit").filter(F.col("__hit")).drop("__hit")
+    misses = chunks.join(cache.select(*KEY).distinct(), list(KEY), "left_anti")
     return hits, misses
 
 
 def cache_rows(fresh: DataFrame) -> DataFrame:
     """Contract rows to append for freshly sealed embeddings, one per key."""
     model = {"model": F.col("embedding_model")} if "embedding_model" in fresh.columns else {}
-    rows = conform(fresh, model, "embed_cache")
-    sealed = rows.filter(F.col("embedding_ciphertext").isNotNull())
-    return sealed.dropDuplicates(list(KEY))
+    rows = conform(fresh, model, "embed_cache").dropDuplicates(list(KEY))
+    # tested after the aggregate, below which the optimizer does not carry the test and
+    # with it a second encryption
+    return rows.filter(F.col("embedding_ciphertext").isNotNull())
 
 
 def gold_from_hits(hits: DataFrame, key_id: str, created_at: str) -> DataFrame:

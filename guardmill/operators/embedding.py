@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ def hashed_vectors(df: DataFrame, text_column: str, dim: int = fv.DEFAULT_DIM,
                    output: str = "vector") -> DataFrame:
     """Adds the packed unit vector of hashed word counts."""
     cleaned = text.drop_control_characters(F.col(text_column))
-    return df.withColumn(output, vectors.hashed_words(dim)(cleaned))
+    return df.withColumn(output, _once(vectors.hashed_words(dim))(cleaned))
 
 
 def encoded_vectors(df: DataFrame, text_column: str, load_encoder: Callable[[], Encode],
@@ -51,17 +51,24 @@ def encoded_vectors(df: DataFrame, text_column: str, load_encoder: Callable[[],
                 packed.extend(row.tobytes() for row in rows)
             yield pa.array(packed, pa.binary())
 
-    return df.withColumn(output, encode(F.col(text_column)))
+    return df.withColumn(output, _once(encode)(F.col(text_column)))
+
+
+def _once(udf):
+    """Keeps the optimizer from moving a costly function below the joins that thin its input.
+
+    A filter on the result would otherwise be pushed through the anti join that removes
+    cached chunks, and with it the encoding of all chunks.
+    """
+    return udf.asNondeterministic()
 
 
 def sealed_rows(vector_rows: DataFrame, keys: DataFrame, key_id: str, model: str, dim: int,
                 created_at: str) -> DataFrame:
     """Gold rows: vectors sealed under `key_id` of the key table (key_id, key binary)."""
-    active = keys.filter(F.col("key_id") == key_id)
-    keyed = lookup_join(vector_rows.withColumn("key_id", F.lit(key_id)), active, ["key_id"],
-                        "left")
-    sealed = keyed.withColumn("__sealed", crypto.seal(
-        F.col("vector"), F.col("key"), F.concat_ws("|", "chunk_id", "document_hash")))
+    sealed = vector_rows.withColumn("__key", active_key(keys, key_id)).withColumn(
+        "__sealed", crypto.seal(F.col("vector"), F.col("__key"),
+                                F.concat_ws("|", "chunk_id", "document_hash")))
     stamps = {
         "embedding_id": embedding_key(created_at),
         "embedding_ciphertext": crypto.body_of(F.col("__sealed")),
@@ -76,6 +83,14 @@ def sealed_rows(vector_rows: DataFrame, keys: DataFrame, key_id: str, model: str
     return conform(sealed, stamps)
 
 
+def active_key(keys: DataFrame, key_id: str) -> Column:
+    """The one key of that id as a scalar subquery: no join, no key in the plan text.
+
+    Null when there is none; two keys of one id fail the query.
+    """
+    return keys.filter(F.col("key_id") == key_id).select("key").scalar()
+
+
 def embedding_key(created_at: str):
     """An id per row that a retried task repeats."""
     return text.name_uuid(F.concat_ws("|", F.lit("embedding"), "chunk_id", "document_hash",
@@ -117,10 +132,7 @@ def seal_text_fields(chunks: DataFrame, keys: DataFrame, key_id: str,
 
     Adds `<field>_is_encrypted`, true on replaced values and null elsewhere.
     """
-    active = keys.filter(F.col("key_id") == key_id).select(
-        F.col("key_id").alias("__key_id"), F.col("key").alias("__key"))
-    keyed = lookup_join(chunks.withColumn("__key_id", F.lit(key_id)), active, ["__key_id"],
-                        "left")
+    keyed = chunks.withColumn("__key", active_key(keys, key_id))
     flagged = F.coalesce("requires_encryption", F.lit(False))
     for name in fields:
         seal_it = flagged & F.col(name).isNotNull()
@@ -128,11 +140,17 @@ def seal_text_fields(chunks: DataFrame, keys: DataFrame, key_id: str,
                                       F.concat_ws("|", "chunk_id", F.lit(name))))
         keyed = (keyed.withColumn(f"{name}_is_encrypted", F.when(seal_it, F.lit(True)))
                  .withColumn(name, F.when(seal_it, sealed).otherwise(F.col(name))))
-    return keyed.drop("__key_id", "__key")
+    return keyed.drop("__key")
 
 
-def open_text_field(value, key):
-    """Plain text of a value written by `seal_text_fields`, null when it cannot be opened."""
-    sealed = F.unbase64(value)
-    return crypto.open_sealed(crypto.body_of(sealed), crypto.nonce_of(sealed), key).cast(
-        "string")
+def open_text_fields(chunks: DataFrame, keys: DataFrame, key_id: str,
+                     fields: Sequence[str] = ("chunk_text",)) -> DataFrame:
+    """Undoes `seal_text_fields`; a value that cannot be opened becomes null."""
+    keyed = chunks.withColumn("__key", active_key(keys, key_id))
+    for name in fields:
+        sealed = F.unbase64(F.col(name))
+        plain = crypto.open_sealed(crypto.body_of(sealed), crypto.nonce_of(sealed),
+                                   F.col("__key")).cast("string")
+        keyed = keyed.withColumn(name, F.when(F.col(f"{name}_is_encrypted"), plain)
+                                 .otherwise(F.col(name)))
+    return keyed.drop("__key")

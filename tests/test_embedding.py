@@ -136,6 +136,13 @@ def test_text_fields(spark, keys):
         else:
             assert row.chunk_text_is_encrypted is None
             assert row.chunk_text == plain[row.chunk_id]
+    sealed = embedding.seal_text_fields(chunks, keys, "k1")
+    opened = embedding.open_text_fields(sealed, keys, "k1").collect()
+    assert {r.chunk_id: r.chunk_text for r in opened} == plain
+    wrong = embedding.open_text_fields(sealed, keys, "k2").collect()
+    assert {r.chunk_text is None for r in wrong if r.requires_encryption} == {True}
+    with pytest.raises(Exception, match="(?i)subquery"):
+        embedding.seal_text_fields(chunks, keys.unionByName(keys), "k1").collect()
 
 
 def test_cache_split_and_latest(spark):

@@ -10,6 +10,8 @@ ORACLES = entry.oracle_sql()
 def test_query_equals_sql(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     assert name in ORACLES
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert differences(df, ORACLES[name], sf) is None
 
 
