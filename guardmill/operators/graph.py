@@ -175,21 +175,19 @@ def reachable(edges: DataFrame, seeds: DataFrame, relation_type: str | None = No
     identity = [*keys, "node_id"]
     frontier = start.withColumn("at", F.col("node_id"))
     reached = None
-    for _ in range(max_hops):
+    for hop in range(1, max_hops + 1):
         step = spread_join(links, frontier, ["at"], "inner", hubs)
         wave = step.filter(F.col("reached_id") != F.col("node_id")).select(
             *identity, "reached_id").distinct()
         if reached is not None:
             wave = wave.join(reached, [*identity, "reached_id"], "left_anti")
-        if max_hops == 1:
-            return wave
-        wave = settled(wave)
-        if wave.isEmpty():
-            break
+        if hop < max_hops:  # the last wave feeds no other
+            wave = settled(wave)
         reached = wave if reached is None else reached.unionByName(wave)
+        if hop == max_hops or wave.isEmpty():
+            break
         frontier = wave.withColumn("at", F.col("reached_id")).drop("reached_id")
-    return reached if reached is not None else start.withColumn(
-        "reached_id", F.col("node_id")).filter(F.lit(False))
+    return reached
 
 
 def related(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, contracts: Contracts,
