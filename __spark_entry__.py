@@ -23,8 +23,14 @@ from guardmill.operators import graph, index, quality
 from guardmill.operators.scratch import scratch_path, settled
 from guardmill.plans import pipeline, retrieval, views
 from guardmill.shipping import ship_package
-from guardmill.sources.io import Entry, read_source
-from guardmill.sources.tables import read_facts, write_json_rows
+from guardmill.sources.io import Entries, Entry, read_entry, read_source
+from guardmill.sources.tables import (
+    load_graph,
+    read_audit,
+    read_facts,
+    write_graph,
+    write_json_rows,
+)
 from guardmill.streaming import incremental
 
 CONTRACTS = default_contracts()
@@ -959,3 +965,103 @@ def stream_gold(spark, sf):
                             reader, writer, out, marks).awaitTermination()
     gold = spark.read.schema(table_schema("gold_embeddings")).parquet(out)
     return gold.select("chunk_id", "document_id", "key_id")
+
+
+# --- sources, sinks and small operators --------------------------------------------------------
+
+
+@query(f"""WITH {o.DOCS} SELECT document_id, title, source_path, classification, owner, department,
+    array_to_string(allowed_roles, ',') AS allowed_roles, version, created_at, contains_sensitive_info,
+    document_hash, '2024-06-01T00:00:00Z' AS ingestion_timestamp FROM docs""")
+def bronze_from_json(spark, sf):
+    """The catalogue through a JSON source with an inferred schema and the Parquet sink."""
+    source, target = scratch_path(spark, "metadata"), scratch_path(spark, "bronze")
+    rows = w.catalogue(spark, sf).drop("text").withColumn("retention_policy", F.lit("2_years"))
+    write_json_rows(rows, source)
+    readers = Entries.from_mapping({
+        "metadata_documents": {"options": {"format": "json", "path": source}},
+        "bronze_documents": {"options": {"format": "parquet", "mergeSchema": "true",
+                                         "path": target}}})
+    writers = Entries.from_mapping({
+        "bronze_documents": {"options": {"format": "parquet", "mode": "overwrite",
+                                         "compression": "snappy", "path": target}}})
+    pipeline.run_bronze(spark, readers, writers, w.STAMP)
+    return read_entry(spark, readers["bronze_documents"]).withColumn(
+        "allowed_roles", _joined("allowed_roles"))
+
+
+@query("""SELECT event_id::VARCHAR AS request_id, user_id::VARCHAR AS user_id,
+    CASE event_type WHEN 'error' THEN 'access_denied' WHEN 'signup' THEN 'login' ELSE 'search' END AS event_type
+  FROM events""")
+def audit_written_and_read(spark, sf):
+    """Audit events appended to JSON lines by type and read back."""
+    path = scratch_path(spark, "audit")
+    for part in ("search", "login", "access_denied"):
+        write_json_rows(_audit_events(spark, sf).filter(F.col("event_type") == part), path,
+                        mode="append")
+    return read_audit(spark, path).select("request_id", "user_id", "event_type")
+
+
+@query("""WITH firsts AS (SELECT o_custkey, c, min((turn, o_orderkey)) AS p FROM (
+    SELECT o_custkey, o_orderpriority AS c, 0 AS turn, o_orderkey FROM orders
+    UNION ALL SELECT o_custkey, o_orderstatus, 1, o_orderkey FROM orders) GROUP BY ALL)
+  SELECT o_custkey AS request_id, c AS candidate_id, row_number() OVER (PARTITION BY o_custkey ORDER BY p, c) AS position FROM firsts""")
+def merged_candidates(spark, sf):
+    """Ordered distinct union per customer: order priorities first, then order states."""
+    orders = w.table(spark, sf, "orders")
+
+    def listed(column):
+        return orders.select(F.col("o_custkey").alias("request_id"),
+                             F.col(column).alias("candidate_id"),
+                             F.col("o_orderkey").alias("position"))
+
+    merged = retrieval.merge_candidates(listed("o_orderpriority"), listed("o_orderstatus"))
+    return merged.withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(f"""WITH {o.GRAPH} SELECT n.node_id, CASE WHEN c.c_acctbal < 0 THEN 'restricted' ELSE n.classification END AS classification,
+    CASE WHEN c.c_acctbal < 0 THEN 'collections' ELSE n.department END AS department
+  FROM nodes n LEFT JOIN customer c ON n.node_id = 'customer:' || c.c_custkey""")
+def replaced_nodes(spark, sf):
+    """Graph nodes after customers in debt were added again under another department."""
+    nodes, _ = _graph(spark, sf)
+    debt = w.table(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(
+        F.concat(F.lit("customer:"), "c_custkey").alias("node_id"),
+        F.lit("restricted").alias("classification"), F.lit("collections").alias("department"))
+    return graph.put_nodes(nodes, debt).select("node_id", "classification", "department")
+
+
+@query(f"""WITH {o.GRAPH} SELECT 'nodes' AS part, count(*) AS n, count(DISTINCT node_id) AS ids FROM nodes
+  UNION ALL SELECT 'edges', count(*), count(DISTINCT s) FROM edges""")
+def graph_written_and_read(spark, sf):
+    path = scratch_path(spark, "graph")
+    write_graph(*_graph(spark, sf), path)
+    nodes, edges = load_graph(spark, path)
+
+    def summed(df, part, key):
+        return df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"),
+                      F.countDistinct(key).alias("ids"))
+
+    return summed(nodes, "nodes", "node_id").unionByName(summed(edges, "edges", "source_id"))
+
+
+@query("""SELECT 'event:' || event_id AS node_id, event_type AS label, CASE WHEN event_id % 2 = 0 THEN 'kind,user' ELSE 'user' END AS kept FROM events""")
+def safe_nodes(spark, sf):
+    """Nodes without sensitive entries in their open map."""
+    e = F.col("event_id")
+    nodes = graph.conform_nodes(w.table(spark, sf, "events").select(
+        F.concat(F.lit("event:"), e).alias("node_id"), F.col("event_type").alias("label"),
+        F.create_map(F.lit("user"), F.col("user_id").cast("string"),
+                     F.when(e % 2 == 0, "kind").otherwise("raw_text"), F.col("event_type"),
+                     F.lit("sensitive_label"), F.col("props")).alias("extra")))
+    return graph.safe_nodes(nodes).select(
+        "node_id", "label", F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("kept"))
+
+
+@query(f"""WITH {o.VECTORS} SELECT chunk_id, document_id, classification, department, 64 AS embedding_dim FROM vecs""")
+def screen_safe_gold(spark, sf):
+    """Gold rows as a screen may show them: no ciphertext, key id, hash or other binary."""
+    shown = views.screen_safe(_sealed_vectors(spark, sf))
+    return shown.drop("embedding_id", "embedding_algorithm", "embedding_dtype",
+                      "embedding_model", "allowed_roles", "owner", "source_path", "version",
+                      "created_at")
