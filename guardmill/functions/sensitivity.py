@@ -1,4 +1,8 @@
-"""Sensitive-content detection and scoring as column expressions."""
+"""Sensitive-content detection and scoring as column expressions.
+
+All of it stays in generated code: the detector names are fixed, so the type list is written
+out in sorted order instead of being collected, made distinct and sorted per row.
+"""
 
 from __future__ import annotations
 
@@ -11,33 +15,36 @@ from pyspark.sql import functions as F
 
 from guardmill import fixed_values as fv
 
+_KEYWORD_PREFIX = "keyword:"
 
-def _pattern_types(text: Column) -> Column:
-    # `contains` on the literal part rejects nearly every text before the regex runs.
-    hits = [
-        F.when(text.contains(literal) & text.rlike(pattern), F.lit(name))
-        for name, literal, pattern in fv.SENSITIVE_PATTERNS
-    ]
-    return F.array_compact(F.array(*hits))
 
+def keyword_hits(lowered: Column) -> Column:
+    """array<string>: keywords a left-to-right scan finds, longest first; null if none.
 
-def _keyword_types(text: Column) -> Column:
-    lowered = F.lower(text)
+    The scan does not overlap: "secretoken" holds "secret" but no "token". `contains`
+    rejects nearly every text before the pattern runs.
+    """
     longest_first = sorted(fv.SENSITIVE_KEYWORDS, key=len, reverse=True)
-    alternation = "|".join(re.escape(w).replace("\\ ", " ") for w in longest_first)
+    alternation = "|".join(re.escape(w) for w in longest_first)
     present = reduce(or_, (lowered.contains(w) for w in fv.SENSITIVE_KEYWORDS))
-    found = F.regexp_extract_all(lowered, F.lit(f"({alternation})"), F.lit(1))
-    return F.when(
-        present,
-        F.transform(F.array_distinct(found),
-                    lambda w: F.concat(F.lit("keyword:"), F.replace(w, F.lit(" "), F.lit("_"))))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.when(present, F.regexp_extract_all(lowered, F.lit(f"({alternation})"), F.lit(1)))
+
 
+def detected_types(text: Column, hits: Column | None = None) -> Column:
+    """Sorted distinct detector names that fire on `text`.
 
-def detected_types(text: Column) -> Column:
-    """Sorted distinct detector names that fire on `text`."""
+    Pass `hits` as a materialised `keyword_hits` column: it is read once per keyword.
+    """
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(_pattern_types(text), _keyword_types(text)))
+    hits = keyword_hits(F.lower(text)) if hits is None else hits
+    # `contains` on the literal part of a pattern spares most texts the regular expression
+    fires = {name: text.contains(literal) & text.rlike(pattern)
+             for name, literal, pattern in fv.SENSITIVE_PATTERNS}
+    fires |= {_KEYWORD_PREFIX + word.replace(" ", "_"): F.array_contains(hits, word)
+              for word in fv.SENSITIVE_KEYWORDS}
+    # concat_ws leaves nulls out; detector names hold no comma
+    listed = F.concat_ws(",", *(F.when(fires[name], F.lit(name)) for name in sorted(fires)))
+    return F.array_remove(F.split(listed, ","), "")
 
 
 def score(types: Column, classification: Column) -> Column:

@@ -69,8 +69,12 @@ def chunk_documents(docs: DataFrame, size: int = fv.DEFAULT_CHUNK_SIZE,
 
 def score_sensitivity(chunks: DataFrame) -> DataFrame:
     """Adds score, detected types and the two threshold flags."""
-    typed = chunks.withColumn(
-        "detected_sensitive_types", sensitivity.detected_types(F.col("chunk_text")))
+    scanned = (chunks
+               .withColumn("__lower", F.lower(F.coalesce("chunk_text", F.lit(""))))
+               .withColumn("__hits", sensitivity.keyword_hits(F.col("__lower"))))
+    typed = scanned.withColumn(
+        "detected_sensitive_types",
+        sensitivity.detected_types(F.col("chunk_text"), F.col("__hits")))
     scored = typed.withColumn("__score", sensitivity.score(
         F.col("detected_sensitive_types"), F.col("classification")))
     return scored.select(
