@@ -42,9 +42,8 @@ def detected_types(text: Column, hits: Column | None = None) -> Column:
              for name, literal, pattern in fv.SENSITIVE_PATTERNS}
     fires |= {_KEYWORD_PREFIX + word.replace(" ", "_"): F.array_contains(hits, word)
               for word in fv.SENSITIVE_KEYWORDS}
-    # concat_ws leaves nulls out; detector names hold no comma
-    listed = F.concat_ws(",", *(F.when(fires[name], F.lit(name)) for name in sorted(fires)))
-    return F.array_remove(F.split(listed, ","), "")
+    listed = F.array(*(F.when(fires[name], F.lit(name)) for name in sorted(fires)))
+    return F.array_except(listed, F.array(F.lit(None).cast("string")))
 
 
 def score(types: Column, classification: Column) -> Column:
