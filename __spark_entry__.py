@@ -17,7 +17,7 @@ import workload as w
 from guardmill import default_contracts
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
-from guardmill.functions import crypto, text, vectors
+from guardmill.functions import text, vectors
 from guardmill.operators import audit, authorize, cache, chunking, embedding, facts, grants
 from guardmill.operators import graph, index, quality
 from guardmill.operators.scratch import scratch_path, settled
