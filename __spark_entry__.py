@@ -1065,3 +1065,12 @@ def screen_safe_gold(spark, sf):
     return shown.drop("embedding_id", "embedding_algorithm", "embedding_dtype",
                       "embedding_model", "allowed_roles", "owner", "source_path", "version",
                       "created_at")
+
+
+try:  # the operators for training data are a subpackage that may be left out
+    from guardmill.llm import queries as _llm
+except ImportError:
+    _llm = None
+if _llm is not None:
+    _QUERIES.update(_llm.QUERIES)
+    _ORACLES.update(_llm.ORACLES)
