@@ -156,7 +156,7 @@ class LabelModel:
 
 
 #: Start of the estimation: a good document's chance of a reject vote, and a bad one's.
-FALSE_ALARM, HIT = 0.02, 0.5
+FALSE_ALARM, HIT = 0.02, 0.25
 
 
 def start_model(rules: int, prior: float = 0.85) -> LabelModel:
