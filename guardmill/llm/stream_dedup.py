@@ -72,7 +72,9 @@ def keep_state(stream: DataFrame, path: str) -> DataFrame:
 
     with _settings(spark, **{
             "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
-            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            # many small stores: no megabytes set aside for each one's logs
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}):
         query = (seen.writeStream.outputMode("update").foreachBatch(store)
                  .option("checkpointLocation", f"{path}/checkpoint")
                  .trigger(availableNow=True).start())
