@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import ship_package
 
-from . import mixing, quality_rules, sharding, stream_dedup
+from . import mixing, quality_classifier, quality_rules, sharding, stream_dedup
+from . import token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +72,26 @@ def op7_mixing(spark, sf):
 def op10_quality_rules(spark, sf):
     """Quality rules as weak supervision."""
     return quality_rules.judge_documents(documents(spark, sf)).drop("posterior")
+
+
+@_query()
+def op5_warc(spark, sf):
+    """All pages written as WARC records and read back."""
+    found = warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"),
+                               scratch_path(spark, "warc"))
+    return found.drop("digest_ok")
+
+
+@_query()
+def op6_token_ids(spark, sf):
+    """The ids of all documents written to binary files and read back."""
+    return token_files.write_and_read(spark, documents(spark, sf),
+                                      scratch_path(spark, "ids"),
+                                      public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op9_quality_classifier(spark, sf):
+    """All documents scored for quality, learnt from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality_classifier.classify_documents(documents(spark, sf), labels)
