@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import ship_package
 
-from . import mixing, quality_classifier, quality_rules, sharding, stream_dedup
-from . import token_files, warc
+from . import mixing, packing, quality_classifier, quality_rules, sharding
+from . import stream_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,10 @@ def op9_quality_classifier(spark, sf):
     """All documents scored for quality, learnt from the labels that are not held out."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return quality_classifier.classify_documents(documents(spark, sf), labels)
+
+
+@_query()
+def op8_packing(spark, sf):
+    """All documents packed into sequences of at most 2048 ids."""
+    return packing.pack_documents(documents(spark, sf),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
