@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import ship_package
 
-from . import mixing, packing, quality_classifier, quality_rules, sharding
+from . import mixing, ngram_join, packing, quality_classifier, quality_rules, sharding
 from . import stream_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,9 @@ def op8_packing(spark, sf):
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack_documents(documents(spark, sf),
                                   public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query()
+def op1_ngram_join(spark, sf):
+    """Components of documents that share three quarters of their word 5-grams."""
+    return ngram_join.similar_documents(documents(spark, sf)).drop("uid")
