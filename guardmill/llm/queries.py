@@ -11,7 +11,7 @@ from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import ship_package
 
 from . import mixing, ngram_join, packing, quality_classifier, quality_rules, sharding
-from . import stream_dedup, token_files, warc
+from . import stream_dedup, substring_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,9 @@ def op8_packing(spark, sf):
 def op1_ngram_join(spark, sf):
     """Components of documents that share three quarters of their word 5-grams."""
     return ngram_join.similar_documents(documents(spark, sf)).drop("uid")
+
+
+@_query()
+def op2_substring_dedup(spark, sf):
+    """Words in windows of 50 that also start in an earlier document are removed."""
+    return substring_dedup.remove_repeats(documents(spark, sf))
