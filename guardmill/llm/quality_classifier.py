@@ -24,8 +24,6 @@ SAMPLE_PIECES = 1500
 #: Bytes of each dictionary.
 DICTIONARY_BYTES = 128 << 10
 LEVEL = 3
-#: Pieces may weigh in on the prior like this many observations at most.
-_ROUNDS = 200
 
 
 @dataclass(frozen=True)
@@ -231,3 +229,24 @@ def classify_documents(docs: DataFrame, labels: DataFrame, identity: str = "doc_
     """Learns from the labels that are not held out and scores every document."""
     model = fit(training_pieces(docs, labels, identity, text, label).collect())
     return score_documents(docs, model, identity, text)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, identity: str = "doc_id",
+                   text: str = "text", label: str = "quality",
+                   threshold: float = 0.5) -> DataFrame:
+    """The rows whose score reaches `threshold`, with all their columns, whatever these are
+    called. No shuffle."""
+    model = fit(training_pieces(docs, labels, identity, text, label).collect())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scorer = CompressionScorer(model.good, model.bad, model.level)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                scores = model.probability(scorer.features(part.column(place).to_pylist()))
+                yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
