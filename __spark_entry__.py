@@ -1067,10 +1067,14 @@ def screen_safe_gold(spark, sf):
                       "created_at")
 
 
-try:  # the operators for training data are a subpackage that may be left out
+
+try:  # the operators for training data and their pipeline may be left out
+    import corpus_pipeline as _pipeline
     from guardmill.llm import queries as _llm
 except ImportError:
-    _llm = None
+    _llm = _pipeline = None
 if _llm is not None:
-    _QUERIES.update(_llm.QUERIES)
+    _QUERIES.update(_llm.QUERIES, pipeline=_pipeline.run)
     _ORACLES.update(_llm.ORACLES)
+    if _pipeline.ORACLE_SQL is not None:
+        _ORACLES["pipeline"] = _pipeline.ORACLE_SQL
