@@ -65,7 +65,7 @@ def op4_exact_dedup(spark, sf):
 @_query()
 def op7_mixing(spark, sf):
     """All documents mixed to target weights per source."""
-    return mixing.mix_documents(documents(spark, sf))
+    return mixing.mix_documents(documents(spark, sf)).drop("text_key")
 
 
 @_query()
