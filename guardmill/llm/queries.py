@@ -1,4 +1,4 @@
-"""Registered queries of the operators and their SQL twins."""
+"""Registered queries of the operators, each over its whole table, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import ship_package
 
-from . import mixing, ngram_join, packing, quality_classifier, quality_rules, sharding
-from . import stream_dedup, substring_dedup, token_files, warc
+from . import mixing, ngram_join, oracle, packing, quality_classifier, quality_rules
+from . import sharding, stream_dedup, substring_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-
 SHARDS = 16
-_BLANK = r"[\x20\x09-\x0D]"
-_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -39,42 +36,32 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def _words(text: str) -> str:
-    return rf"regexp_extract_all({text}, '{_WORD}')"
+@_query(oracle.NGRAM_JOIN)
+def op1_ngram_join(spark, sf):
+    """Components of documents that share three quarters of their word 5-grams."""
+    return ngram_join.similar_documents(documents(spark, sf)).drop("uid")
 
 
-_DRAW = """list_sort(list_transform(range({n}), i -> {{'draw': -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR)
-  || ':' || i), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0), 'i': i}}))[1].i"""
+@_query(oracle.SUBSTRING_DEDUP)
+def op2_substring_dedup(spark, sf):
+    """Words in windows of 50 that also start in an earlier document are removed."""
+    return substring_dedup.remove_repeats(documents(spark, sf))
 
 
-@_query()
+@_query(oracle.SHARDING)
 def op3_sharding(spark, sf):
     """All documents in shards 0 to 15 of equal weight, and in 0 to 16."""
     return sharding.shard_documents(documents(spark, sf), [1.0] * SHARDS,
                                     grown=[1.0] * (SHARDS + 1))
 
 
-@_query("""SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-    doc_id = max(doc_id) OVER same AS kept, sha256(COALESCE(text, '')) AS text_sha256
-  FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))""")
+@_query(oracle.EXACT_DEDUP)
 def op4_exact_dedup(spark, sf):
     """Of equal texts the row with the largest doc_id stays."""
     return stream_dedup.dedup_documents(documents(spark, sf)).drop("locator")
 
 
-@_query()
-def op7_mixing(spark, sf):
-    """All documents mixed to target weights per source."""
-    return mixing.mix_documents(documents(spark, sf)).drop("text_key")
-
-
-@_query()
-def op10_quality_rules(spark, sf):
-    """Quality rules as weak supervision."""
-    return quality_rules.judge_documents(documents(spark, sf)).drop("posterior")
-
-
-@_query()
+@_query(oracle.WARC)
 def op5_warc(spark, sf):
     """All pages written as WARC records and read back."""
     found = warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"),
@@ -90,11 +77,10 @@ def op6_token_ids(spark, sf):
                                       public_tokenizers.path("word_bpe_49k.json"))
 
 
-@_query()
-def op9_quality_classifier(spark, sf):
-    """All documents scored for quality, learnt from the labels that are not held out."""
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    return quality_classifier.classify_documents(documents(spark, sf), labels)
+@_query(oracle.MIXING)
+def op7_mixing(spark, sf):
+    """All documents mixed to target weights per source."""
+    return mixing.mix_documents(documents(spark, sf)).drop("text_key")
 
 
 @_query()
@@ -105,12 +91,13 @@ def op8_packing(spark, sf):
 
 
 @_query()
-def op1_ngram_join(spark, sf):
-    """Components of documents that share three quarters of their word 5-grams."""
-    return ngram_join.similar_documents(documents(spark, sf)).drop("uid")
+def op9_quality_classifier(spark, sf):
+    """All documents scored for quality, learnt from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality_classifier.classify_documents(documents(spark, sf), labels)
 
 
 @_query()
-def op2_substring_dedup(spark, sf):
-    """Words in windows of 50 that also start in an earlier document are removed."""
-    return substring_dedup.remove_repeats(documents(spark, sf))
+def op10_quality_rules(spark, sf):
+    """Quality rules as weak supervision."""
+    return quality_rules.judge_documents(documents(spark, sf)).drop("posterior")
