@@ -351,17 +351,15 @@ def prefix_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return classes.select("node", "n", "tokens").mapInArrow(explode, _POSTINGS)
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs once each, after length and positional filter.
+def _may_link(na, pa, nb, pb, percent: int):
+    """Length and positional filter of two sets that meet at an n-gram.
 
-    pairs: a, b, na, nb, pa, pb. The first shared n-gram has the least position in both.
+    From their first shared n-gram on, the sets overlap in no more than the shorter rest.
+    So the row of that n-gram passes if the pair links; later n-grams of the pair may fail.
     """
-    close = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                         & (F.col("a") != F.col("b")))
-    once = close.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"),
-                                                  F.min("pb").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return once.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    most = F.least(na - pa, nb - pb)
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & ((100 + percent) * most >= percent * (na + nb)))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -396,17 +394,22 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
 
 
 def leader_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Every set with the first set of each of its posting lists: linear in the postings."""
+    """Every set with the leader of each of its posting lists: linear in the postings.
+
+    The leader has the fewest n-grams before the shared one, so it is the set with the least
+    of its own: of a text and its edited copies, the text.
+    """
     lists = settled(postings.groupBy("token").agg(
-        F.min(F.struct("node", "n", "pos")).alias("lead"),
+        F.min(F.struct("pos", "node", "n")).alias("lead"),
         F.count(F.lit(1)).alias("size")).filter("size > 1"))
     total = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     hot = lists.filter(F.col("size") > max(64.0, total * _HOT_SHARE)).select("token")
     met = spread_join(postings, lists.select("token", "lead"), ["token"], "inner", hot)
-    return _filtered(met.select(
-        F.col("lead.node").alias("a"), F.col("node").alias("b"),
-        F.col("lead.n").alias("na"), F.col("n").alias("nb"),
-        F.col("lead.pos").alias("pa"), F.col("pos").alias("pb")), percent)
+    lead = {c: F.col(f"lead.{c}") for c in ("node", "n", "pos")}
+    return met.filter(_may_link(lead["n"], lead["pos"], F.col("n"), F.col("pos"), percent)
+                      & (lead["node"] != F.col("node"))).select(
+        F.least(lead["node"], "node").alias("a"),
+        F.greatest(lead["node"], "node").alias("b")).distinct()
 
 
 def remaining_pairs(postings: DataFrame, roots: DataFrame,
@@ -439,17 +442,10 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame,
                  & ((F.col("x.own") < F.col("y.own"))
                     | ((F.col("x.own") == F.col("y.own")) & (F.col("x.i") == F.col("x.j"))
                        & (F.col("x.node") < F.col("y.node"))))
-                 & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"),
-                       F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
-                       F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
-    swapped = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-        F.when(F.col("a") < F.col("b"), F.col("pa")).otherwise(F.col("pb")).alias("pa"),
-        F.when(F.col("a") < F.col("b"), F.col("pb")).otherwise(F.col("pa")).alias("pb"))
-    return _filtered(swapped, percent)
+                 & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"),
+                             percent))
+    return met.select(F.least("x.node", "y.node").alias("a"),
+                      F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _few(hot: DataFrame, most: int = 100_000) -> DataFrame:
