@@ -22,7 +22,7 @@ from guardmill.operators import audit, authorize, cache, chunking, embedding, fa
 from guardmill.operators import graph, index, quality
 from guardmill.operators.scratch import scratch_path, settled
 from guardmill.plans import pipeline, retrieval, views
-from guardmill.shipping import ship_package
+from guardmill.shipping import prepare_session
 from guardmill.sources.io import Entries, Entry, read_entry, read_source
 from guardmill.sources.tables import (
     load_graph,
@@ -43,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            ship_package(spark)
+            prepare_session(spark)
             return fn(spark, sf)
 
         _QUERIES[fn.__name__] = run
@@ -476,7 +476,7 @@ def index_sync(spark, sf):
 @query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS}, {o.VECTOR_SCORES},
   seen AS (SELECT s.*, row_number() OVER (PARTITION BY s.request_id ORDER BY score DESC, chunk_id) AS rank
     FROM scores s JOIN requests r USING (request_id) JOIN people p ON p.user_id = r.user_id WHERE {o.allowed('p', 's')})
-  SELECT request_id, rank, chunk_id, document_id, classification, score FROM seen WHERE rank <= top_k""")
+  SELECT request_id, rank, chunk_id, document_id, classification, round(score, 6) + 0.0 AS score FROM seen WHERE rank <= top_k""")
 def secure_topk(spark, sf):
     """Sealed vectors: permission filter, decryption, top 5 per request."""
     found = retrieval.secure_retrieve(
@@ -526,7 +526,7 @@ def nearest_candidates(spark, sf):
       row_number() OVER (PARTITION BY s.request_id, {o.allowed('p', 's')} ORDER BY score DESC, chunk_id) AS rank
     FROM offered o JOIN scores s USING (request_id, chunk_id) JOIN requests r USING (request_id)
     JOIN people p ON p.user_id = r.user_id)
-  SELECT request_id, rank, chunk_id, score FROM seen WHERE ok AND rank <= 5""")
+  SELECT request_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM seen WHERE ok AND rank <= 5""")
 def hybrid_retrieve(spark, sf):
     """Index candidates plus chunks of the documents nearest to the request."""
     gold, keys = _gold_vectors(spark, sf), w.keys(spark, sf)
@@ -556,7 +556,7 @@ def _chunk_gold(spark, sf):
     return spark.read.schema(table_schema("gold_embeddings")).parquet(path)
 
 
-@query(f"""WITH {o.SEMANTIC_SEARCH} SELECT request_id, rank, chunk_id, document_id, score FROM ranked WHERE rank <= top_k""")
+@query(f"""WITH {o.SEMANTIC_SEARCH} SELECT request_id, rank, chunk_id, document_id, round(score, 6) + 0.0 AS score FROM ranked WHERE rank <= top_k""")
 def semantic_search(spark, sf):
     """All conversation turns against all document chunks, both embedded here."""
     requests = retrieval.with_query_vectors(w.turn_requests(spark, sf), w.settings())
@@ -616,7 +616,7 @@ def fact_answers(spark, sf):
     left_over AS (SELECT q.*, f.known FROM fact_asked q JOIN fact_result f USING (request_id) WHERE f.found = 0),
     open AS (SELECT l.request_id, c.chunk_id FROM left_over l JOIN people p ON p.user_id = l.user_id JOIN plain_chunks c ON {o.allowed('p', 'c')}),
     fdots AS (SELECT q.k AS request_id, c.k AS chunk_id, sum(q.x * c.x) AS dot FROM fq q JOIN cv0 c ON q.b = c.b GROUP BY ALL),
-    fgraded AS (SELECT o.*, round(COALESCE(d.dot / (ql.norm * cl.norm), 0), 6) AS score FROM open o
+    fgraded AS (SELECT o.*, round(COALESCE(d.dot / (ql.norm * cl.norm), 0), 12) AS score FROM open o
       LEFT JOIN fdots d USING (request_id, chunk_id) LEFT JOIN fq_l ql ON ql.k = o.request_id LEFT JOIN cv0_l cl ON cl.k = o.chunk_id),
     franked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM fgraded),
     fsum AS (SELECT request_id, count(*) AS readable, string_agg(chunk_id, ',' ORDER BY rank) FILTER (rank <= 3) AS sources FROM franked GROUP BY request_id)

@@ -132,7 +132,7 @@ LABEL_REQUESTS = """means AS (
     list(x ORDER BY pos) AS qv, 5 AS top_k FROM means GROUP BY label)"""
 
 VECTOR_SCORES = """scores AS (SELECT r.request_id, c.*, r.top_k,
-    round(list_cosine_similarity(r.qv, c.v), 6) + 0.0 AS score
+    round(list_cosine_similarity(r.qv, c.v), 12) + 0.0 AS score
   FROM requests r, vecs c)"""
 
 TURNS = """turns AS (SELECT conv_id || ':' || turn AS request_id,
@@ -187,7 +187,7 @@ SEMANTIC_SEARCH = f"""{SEMANTIC}, {TURNS},
     c.source_path FROM turns t JOIN people p ON p.user_id = t.user_id JOIN ids c ON {allowed('p', 'c')}),
   dots AS (SELECT q.k AS request_id, c.k AS chunk_id, sum(q.x * c.x) AS dot
     FROM qv q JOIN cv c ON q.b = c.b GROUP BY ALL),
-  graded AS (SELECT r.*, round(COALESCE(d.dot / (ql.norm * cl.norm), 0), 6) AS score
+  graded AS (SELECT r.*, round(COALESCE(d.dot / (ql.norm * cl.norm), 0), 12) AS score
     FROM readable r LEFT JOIN dots d USING (request_id, chunk_id)
     LEFT JOIN qv_l ql ON ql.k = r.request_id LEFT JOIN cv_l cl ON cl.k = r.chunk_id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM graded)"""
