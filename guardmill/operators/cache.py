@@ -37,7 +37,8 @@ def latest(cache: DataFrame) -> DataFrame:
 
 def marked(chunks: DataFrame, cache: DataFrame, name: str = "hit") -> DataFrame:
     """Every chunk with its cached payload, if any, and a hit flag: one join."""
-    rows = latest(cache)
+    # only rows of the keys at hand are compared, so the cost follows the chunks, not history
+    rows = latest(cache.join(chunks.select(*KEY).distinct(), list(KEY), "left_semi"))
     clash = [c for c in rows.columns if c in chunks.columns and c not in KEY]
     joined = chunks.drop(*clash).join(rows.withColumn(name, F.lit(True)), list(KEY), "left")
     return joined.withColumn(name, F.coalesce(name, F.lit(False)))

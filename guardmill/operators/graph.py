@@ -13,7 +13,7 @@ from guardmill.contracts import Contracts, table_schema
 from guardmill.functions.access import allowed, user_from_columns, user_from_mapping
 from guardmill.functions.text import name_uuid
 from guardmill.operators.index import upsert
-from guardmill.operators.joins import hot_keys, spread_join
+from guardmill.operators.joins import hot_keys, lookup_join, spread_join
 from guardmill.operators.scratch import settled
 
 _NODE_DEFAULTS = {
@@ -129,7 +129,7 @@ def _visible(pairs: DataFrame, users: DataFrame | None, user: Mapping[str, Any]
         F.col("clearance_level").alias("u_clearance_level"),
         F.col("department").alias("u_department"), F.lit(True).alias("u_known"))
     known = F.coalesce("u_known", F.lit(False))
-    joined = pairs.join(people, "user_id", "left")
+    joined = lookup_join(pairs, people, ["user_id"], "left")
     return joined.filter(allowed(contracts, user_from_columns("u_", known))).drop(
         "u_role", "u_clearance_level", "u_department", "u_known")
 
@@ -200,7 +200,9 @@ def related(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, contracts: Con
     found = reachable(edges, seeds, relation_type, max_hops)
     reached = found.withColumnRenamed("node_id", "start_id").withColumnRenamed(
         "reached_id", "node_id")
-    return _visible(reached.join(nodes, "node_id"), users, user, contracts)
+    reached = settled(reached)  # a node that much leads to is spread over tasks
+    met = spread_join(reached, nodes, ["node_id"], "inner", hot_keys(reached, ["node_id"]))
+    return _visible(met, users, user, contracts)
 
 
 def safe_nodes(nodes: DataFrame) -> DataFrame:

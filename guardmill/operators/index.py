@@ -46,15 +46,21 @@ def upsert(index: DataFrame | None, incoming: DataFrame, key: str = "id",
            order: str = "updated_at") -> DataFrame:
     """Index after the upsert: incoming wins over stored, later over earlier.
 
-    An aggregate per id, so repeated ids shrink on the map side instead of meeting in one
-    task.
+    The stored rows have one row per id, as an upsert leaves them; those without an incoming
+    one pass by an anti join. Only incoming rows are aggregated, so repeated ids shrink on
+    the map side. Rows that tie in `order` are settled by their content.
     """
-    rows = incoming.withColumn("__turn", F.lit(1))
-    if index is not None:
-        rows = index.withColumn("__turn", F.lit(0)).unionByName(rows, True)
-    payload = [c for c in rows.columns if c not in (key, "__turn")]
-    hashable = [F.col(c) for c in payload
-                if "map<" not in rows.schema[c].dataType.simpleString()]
-    newest = F.max_by(F.struct(*payload),
-                      F.struct("__turn", order, F.xxhash64(*hashable)))
-    return rows.groupBy(key).agg(newest.alias("row")).select(key, "row.*")
+    payload = [c for c in incoming.columns if c != key]
+    newest = F.max_by(F.struct(*payload), F.struct(order, F.xxhash64(
+        *[_hashable(incoming, c) for c in payload])))
+    fresh = incoming.groupBy(key).agg(newest.alias("row")).select(key, "row.*")
+    if index is None:
+        return fresh
+    stored = index.join(incoming.select(key).distinct(), key, "left_anti")
+    return stored.unionByName(fresh, True)
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.MapType):
+        return F.array_sort(F.map_entries(name))
+    return F.col(name)

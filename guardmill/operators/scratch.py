@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_owners: list[list[str]] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The session's checkpoint folder, `spark.checkpoint.dir`; all executors share it.
 
-    Taken from `spark.checkpoint.dir`. Only a local session that sets none gets a temporary
-    folder; on a cluster a machine-local folder would be lost with its machine, so there
-    the setting is required.
+    There is no default: a machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
     configured = spark.conf.get(_SETTING, None)
@@ -26,10 +26,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="guardmill-checkpoint-"))
-    return context.getCheckpointDir()
+    raise RuntimeError(f"set {_SETTING} to a folder all executors share")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -46,4 +43,25 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops the scratch tables made inside when the block ends.
+
+    For the job that writes or collects the result: until then the result reads them.
+    """
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.remove(paths)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)

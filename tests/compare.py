@@ -71,6 +71,7 @@ def compared(columns, rows, sql: str, sf_dir: str) -> str | None:
 def main() -> int:
     import __spark_entry__ as entry
     from bench import session
+    from guardmill.operators.scratch import owned_scratch
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
@@ -81,8 +82,9 @@ def main() -> int:
     for name in names:
         start = time.time()
         try:
-            df = entry.queries()[name](spark, sf_dir)
-            rows = [tuple(r) for r in df.collect()]
+            with owned_scratch(spark):
+                df = entry.queries()[name](spark, sf_dir)
+                rows = [tuple(r) for r in df.collect()]
             middle = time.time()
             if name in oracles:
                 problem = compared(df.columns, rows, oracles[name], sf_dir)

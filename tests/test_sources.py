@@ -259,3 +259,29 @@ def test_checkpoint_folder_is_taken_from_the_session(spark):
     assert folder == spark.conf.get("spark.checkpoint.dir")
     stored = scratch.settled(spark.range(5))
     assert stored.count() == 5 and folder in stored.inputFiles()[0]
+
+
+def test_checkpoint_folder_is_required(spark, monkeypatch):
+    class Bare:
+        class conf:  # noqa: N801 - stands in for the session's configuration
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+        class sparkContext:  # noqa: N801
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.checkpoint_folder(Bare)
+
+
+def test_owned_scratch_is_dropped(spark):
+    from pathlib import Path
+
+    with scratch.owned_scratch(spark):
+        kept = scratch.settled(spark.range(5))
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert kept.count() == 5 and folder.exists()
+    assert not folder.exists()
