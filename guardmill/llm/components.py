@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardmill.operators.joins import spread_join
 from guardmill.operators.scratch import settled
 
-_HOT_SHARE = 0.001
+#: Parts that the neighbours of every node are dealt to.
+_SALTS = 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """a, b, least: the least of a's neighbours and a. A hub is spread over many tasks."""
-    least = settled(edges.groupBy("a").agg(F.min("b").alias("m"),
-                                           F.count(F.lit(1)).alias("n")))
-    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hubs = least.filter(F.col("n") > max(64.0, total * _HOT_SHARE)).select("a")
-    near = least.select("a", F.least("a", "m").alias("least"))
-    return spread_join(edges, near, ["a"], "inner", hubs)
+    """a, b, least: the least of a's neighbours and a. Neighbours are salted, so a hub is
+    spread over tasks, and the engine may split what is still large."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(
+        "a", F.least("a", "m").alias("least"),
+        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    return salted.join(least, ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settled(_clean(edges))
     before = _mark(edges)
     while before[0]:
-        edges = settled(_clean(_small_star(settled(_clean(_large_star(edges))))))
+        edges = settled(_clean(_small_star(settled(_large_star(edges)))))
         after = _mark(edges)
         if after == before:
             break
