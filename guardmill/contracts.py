@@ -158,18 +158,13 @@ def table_schema(table: str) -> T.StructType:
 
 def default_contracts() -> Contracts:
     """The built-in contract set."""
-    def parse(spec: str) -> Field:
-        name, _, type_ = spec.rstrip("!~").rpartition(":")
-        return Field(name, type_, required=spec.endswith("!"),
-                     sensitive=spec.endswith("~"), hidden=spec.endswith("~"))
-
     datasets = {
         id_: Dataset(
             id=id_, name=name, layer=layer, owner="data_platform", classification=cls,
-            tags=tuple(tags.split()),
-            fields=tuple(parse(s) for s in fv.DATASET_FIELDS.get(id_, "").split()),
-            required=tuple(required.split()), sensitive=tuple(sensitive.split()),
-            forbidden=tuple(forbidden.split()))
+            tags=tags,
+            fields=tuple(Field(field, kind, required=needed, sensitive=secret, hidden=secret)
+                         for field, kind, needed, secret in fv.DATASET_FIELDS.get(id_, ())),
+            required=required, sensitive=sensitive, forbidden=forbidden)
         for id_, name, layer, cls, tags, required, sensitive, forbidden in fv.DATASETS
     }
     roles = {

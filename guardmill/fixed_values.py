@@ -108,57 +108,164 @@ LINEAGE = (
 # id, name, layer, classification, tags, required fields, sensitive fields, forbidden fields
 
 DATASETS = (
-    ("landing_documents", "Landing Documents", "landing", "public",
-     "landing source", "document_id path", "", ""),
-    ("bronze_documents", "Bronze Documents", "bronze", "mixed",
-     "bronze documents metadata", "document_id classification owner allowed_roles", "", ""),
-    ("silver_chunks", "Silver Chunks", "silver", "mixed",
-     "silver chunks sensitivity", "chunk_id document_id classification", "", ""),
-    ("gold_embeddings", "Gold Encrypted Embeddings", "gold", "confidential",
-     "gold embeddings encrypted", "embedding_id chunk_id document_id classification",
-     "embedding_ciphertext embedding_nonce key_id",
-     "embedding_ciphertext embedding_nonce key_id"),
-    ("trino_governed_views", "Trino Governed Views", "serving", "internal",
-     "trino sql governed views", "", "", "embedding_ciphertext embedding_nonce key_id"),
-    ("secure_retrieval_service", "Secure Retrieval Service", "serving", "internal",
-     "search retrieval secure", "", "", ""),
-    ("streamlit_governed_ui", "Streamlit Governed UI", "ui", "internal",
-     "ui streamlit rbac demo", "", "", ""),
-    ("superset_sql_ui", "Superset SQL UI", "ui", "internal",
-     "superset sql_ui dashboards governed", "", "", ""),
-    ("audit_events", "Audit Events Log", "audit", "internal",
-     "audit compliance", "timestamp request_id event_type user_id status", "", ""),
-    ("chroma_vector_index", "Chroma Vector Index", "index", "internal",
-     "chroma vector index candidate", "chunk_id document_id classification", "",
-     "raw_text embedding_ciphertext embedding_nonce key_id"),
-    ("graph_index", "Graph Index", "index", "internal",
-     "graph relationships explainability networkx", "node_id node_type classification", "",
-     "raw_text sensitive_label"),
+    (
+        "landing_documents", "Landing Documents", "landing", "public",
+        ("landing", "source"),
+        ("document_id", "path"),
+        (),
+        (),
+    ),
+    (
+        "bronze_documents", "Bronze Documents", "bronze", "mixed",
+        ("bronze", "documents", "metadata"),
+        ("document_id", "classification", "owner", "allowed_roles"),
+        (),
+        (),
+    ),
+    (
+        "silver_chunks", "Silver Chunks", "silver", "mixed",
+        ("silver", "chunks", "sensitivity"),
+        ("chunk_id", "document_id", "classification"),
+        (),
+        (),
+    ),
+    (
+        "gold_embeddings", "Gold Encrypted Embeddings", "gold", "confidential",
+        ("gold", "embeddings", "encrypted"),
+        ("embedding_id", "chunk_id", "document_id", "classification"),
+        ("embedding_ciphertext", "embedding_nonce", "key_id"),
+        ("embedding_ciphertext", "embedding_nonce", "key_id"),
+    ),
+    (
+        "trino_governed_views", "Trino Governed Views", "serving", "internal",
+        ("trino", "sql", "governed", "views"),
+        (),
+        (),
+        ("embedding_ciphertext", "embedding_nonce", "key_id"),
+    ),
+    (
+        "secure_retrieval_service", "Secure Retrieval Service", "serving", "internal",
+        ("search", "retrieval", "secure"),
+        (),
+        (),
+        (),
+    ),
+    (
+        "streamlit_governed_ui", "Streamlit Governed UI", "ui", "internal",
+        ("ui", "streamlit", "rbac", "demo"),
+        (),
+        (),
+        (),
+    ),
+    (
+        "superset_sql_ui", "Superset SQL UI", "ui", "internal",
+        ("superset", "sql_ui", "dashboards", "governed"),
+        (),
+        (),
+        (),
+    ),
+    (
+        "audit_events", "Audit Events Log", "audit", "internal",
+        ("audit", "compliance"),
+        ("timestamp", "request_id", "event_type", "user_id", "status"),
+        (),
+        (),
+    ),
+    (
+        "chroma_vector_index", "Chroma Vector Index", "index", "internal",
+        ("chroma", "vector", "index", "candidate"),
+        ("chunk_id", "document_id", "classification"),
+        (),
+        ("raw_text", "embedding_ciphertext", "embedding_nonce", "key_id"),
+    ),
+    (
+        "graph_index", "Graph Index", "index", "internal",
+        ("graph", "relationships", "explainability", "networkx"),
+        ("node_id", "node_type", "classification"),
+        (),
+        ("raw_text", "sensitive_label"),
+    ),
 )
 
-# dataset, then "name:type" with ! = required and ~ = sensitive and kept out of safe views
+# dataset -> field name, type, required, sensitive (and then kept out of safe views)
 DATASET_FIELDS = {
-    "landing_documents": "document_id:STRING! path:STRING!",
-    "bronze_documents": """document_id:STRING! title:STRING! classification:STRING! owner:STRING!
-        department:STRING allowed_roles:ARRAY<STRING>! version:STRING created_at:STRING
-        contains_sensitive_info:BOOLEAN document_hash:STRING ingestion_timestamp:STRING""",
-    "silver_chunks": """chunk_id:STRING! document_id:STRING! chunk_index:INT!
-        classification:STRING! allowed_roles:ARRAY<STRING> owner:STRING department:STRING
-        sensitivity_score:FLOAT requires_encryption:BOOLEAN""",
-    "gold_embeddings": """embedding_id:STRING! chunk_id:STRING! document_id:STRING!
-        embedding_ciphertext:BINARY~ embedding_nonce:BINARY~ key_id:STRING~
-        embedding_algorithm:STRING embedding_dim:INT embedding_model:STRING
-        classification:STRING! allowed_roles:ARRAY<STRING> owner:STRING department:STRING""",
-    "trino_governed_views": """safe.bronze_documents:VIEW safe.silver_chunks:VIEW
-        safe.gold_embedding_catalog:VIEW""",
-    "audit_events": """timestamp:STRING! request_id:STRING! event_type:STRING! user_id:STRING!
-        role:STRING action:STRING status:STRING!""",
-    "chroma_vector_index": """chunk_id:STRING! document_id:STRING! classification:STRING!
-        allowed_roles:ARRAY<STRING> department:STRING owner:STRING version:STRING
-        sensitivity_level:STRING""",
-    "graph_index": """node_id:STRING! node_type:STRING! classification:STRING!
-        allowed_roles:ARRAY<STRING> source_chunk_id:STRING source_document_id:STRING
-        confidence:FLOAT extraction_method:STRING""",
+    "landing_documents": (
+        ("document_id", "STRING", True, False),
+        ("path", "STRING", True, False),
+    ),
+    "bronze_documents": (
+        ("document_id", "STRING", True, False),
+        ("title", "STRING", True, False),
+        ("classification", "STRING", True, False),
+        ("owner", "STRING", True, False),
+        ("department", "STRING", False, False),
+        ("allowed_roles", "ARRAY<STRING>", True, False),
+        ("version", "STRING", False, False),
+        ("created_at", "STRING", False, False),
+        ("contains_sensitive_info", "BOOLEAN", False, False),
+        ("document_hash", "STRING", False, False),
+        ("ingestion_timestamp", "STRING", False, False),
+    ),
+    "silver_chunks": (
+        ("chunk_id", "STRING", True, False),
+        ("document_id", "STRING", True, False),
+        ("chunk_index", "INT", True, False),
+        ("classification", "STRING", True, False),
+        ("allowed_roles", "ARRAY<STRING>", False, False),
+        ("owner", "STRING", False, False),
+        ("department", "STRING", False, False),
+        ("sensitivity_score", "FLOAT", False, False),
+        ("requires_encryption", "BOOLEAN", False, False),
+    ),
+    "gold_embeddings": (
+        ("embedding_id", "STRING", True, False),
+        ("chunk_id", "STRING", True, False),
+        ("document_id", "STRING", True, False),
+        ("embedding_ciphertext", "BINARY", False, True),
+        ("embedding_nonce", "BINARY", False, True),
+        ("key_id", "STRING", False, True),
+        ("embedding_algorithm", "STRING", False, False),
+        ("embedding_dim", "INT", False, False),
+        ("embedding_model", "STRING", False, False),
+        ("classification", "STRING", True, False),
+        ("allowed_roles", "ARRAY<STRING>", False, False),
+        ("owner", "STRING", False, False),
+        ("department", "STRING", False, False),
+    ),
+    "trino_governed_views": (
+        ("safe.bronze_documents", "VIEW", False, False),
+        ("safe.silver_chunks", "VIEW", False, False),
+        ("safe.gold_embedding_catalog", "VIEW", False, False),
+    ),
+    "audit_events": (
+        ("timestamp", "STRING", True, False),
+        ("request_id", "STRING", True, False),
+        ("event_type", "STRING", True, False),
+        ("user_id", "STRING", True, False),
+        ("role", "STRING", False, False),
+        ("action", "STRING", False, False),
+        ("status", "STRING", True, False),
+    ),
+    "chroma_vector_index": (
+        ("chunk_id", "STRING", True, False),
+        ("document_id", "STRING", True, False),
+        ("classification", "STRING", True, False),
+        ("allowed_roles", "ARRAY<STRING>", False, False),
+        ("department", "STRING", False, False),
+        ("owner", "STRING", False, False),
+        ("version", "STRING", False, False),
+        ("sensitivity_level", "STRING", False, False),
+    ),
+    "graph_index": (
+        ("node_id", "STRING", True, False),
+        ("node_type", "STRING", True, False),
+        ("classification", "STRING", True, False),
+        ("allowed_roles", "ARRAY<STRING>", False, False),
+        ("source_chunk_id", "STRING", False, False),
+        ("source_document_id", "STRING", False, False),
+        ("confidence", "FLOAT", False, False),
+        ("extraction_method", "STRING", False, False),
+    ),
 }
 
 # layer -> catalogue entity type; anything else is a Table
@@ -268,28 +375,47 @@ AUDIT_FIELDS = (
 
 # --- Safe views: name, table, columns, row filter ---------------------------------------
 
-_DOCUMENT_COLUMNS = """document_id title source_path classification owner department
-    allowed_roles version created_at ingestion_timestamp"""
-_FILTERED_CHUNK_COLUMNS = """chunk_id document_id chunk_index classification owner department
-    version source_path sensitivity_score"""
+_DOCUMENT_COLUMNS = (
+    "document_id", "title", "source_path", "classification", "owner", "department",
+    "allowed_roles", "version", "created_at", "ingestion_timestamp",
+)
+_FILTERED_CHUNK_COLUMNS = (
+    "chunk_id", "document_id", "chunk_index", "classification", "owner", "department",
+    "version", "source_path", "sensitivity_score",
+)
 SAFE_VIEWS = (
-    ("bronze_documents", "bronze_documents", _DOCUMENT_COLUMNS, ()),
-    ("v_bronze_documents_catalog", "bronze_documents", _DOCUMENT_COLUMNS, ()),
+    ("bronze_documents", "bronze_documents",
+     _DOCUMENT_COLUMNS, ()),
+    ("v_bronze_documents_catalog", "bronze_documents",
+     _DOCUMENT_COLUMNS, ()),
     ("silver_chunks", "silver_chunks",
-     """chunk_id document_id chunk_index chunk_span classification allowed_roles owner
-     department version source_path document_hash sensitivity_score""", ()),
+     (
+         "chunk_id", "document_id", "chunk_index", "chunk_span", "classification",
+         "allowed_roles", "owner", "department", "version", "source_path", "document_hash",
+         "sensitivity_score",
+     ), ()),
     ("v_silver_chunks_catalog", "silver_chunks",
-     """chunk_id document_id chunk_index chunk_span classification allowed_roles owner
-     department version source_path sensitivity_score""", ()),
+     (
+         "chunk_id", "document_id", "chunk_index", "chunk_span", "classification",
+         "allowed_roles", "owner", "department", "version", "source_path",
+         "sensitivity_score",
+     ), ()),
     ("gold_embedding_catalog", "gold_embeddings",
-     """embedding_id chunk_id document_id embedding_algorithm embedding_dim embedding_dtype
-     embedding_model classification allowed_roles owner department source_path version
-     document_hash created_at""", ()),
+     (
+         "embedding_id", "chunk_id", "document_id", "embedding_algorithm", "embedding_dim",
+         "embedding_dtype", "embedding_model", "classification", "allowed_roles", "owner",
+         "department", "source_path", "version", "document_hash", "created_at",
+     ), ()),
     ("v_gold_embedding_catalog", "gold_embeddings",
-     """embedding_id chunk_id document_id embedding_algorithm embedding_dim embedding_dtype
-     embedding_model classification allowed_roles owner department version created_at""", ()),
-    ("v_public_chunks", "silver_chunks", _FILTERED_CHUNK_COLUMNS, ("public",)),
-    ("v_internal_chunks", "silver_chunks", _FILTERED_CHUNK_COLUMNS, ("public", "internal")),
+     (
+         "embedding_id", "chunk_id", "document_id", "embedding_algorithm", "embedding_dim",
+         "embedding_dtype", "embedding_model", "classification", "allowed_roles", "owner",
+         "department", "version", "created_at",
+     ), ()),
+    ("v_public_chunks", "silver_chunks",
+     _FILTERED_CHUNK_COLUMNS, ("public",)),
+    ("v_internal_chunks", "silver_chunks",
+     _FILTERED_CHUNK_COLUMNS, ("public", "internal")),
 )
 
 # --- SQL access grants -------------------------------------------------------------------
@@ -299,19 +425,25 @@ BLOCKED_COLUMNS = (
     "password", "secret",
 )
 GRANTED_SCHEMAS = {
-    "admin": "raw safe", "security_engineer": "safe", "finance_manager": "safe",
-    "business_analyst": "safe", "data_engineer": "safe", "external_viewer": "safe",
+    "admin": ("raw", "safe"),
+    "security_engineer": ("safe",),
+    "finance_manager": ("safe",),
+    "business_analyst": ("safe",),
+    "data_engineer": ("safe",),
+    "external_viewer": ("safe",),
 }
-_ANALYST_TABLES = """bronze_documents silver_chunks gold_embedding_catalog
-    v_bronze_documents_catalog v_silver_chunks_catalog v_gold_embedding_catalog
-    v_public_chunks v_internal_chunks"""
+_ANALYST_TABLES = (
+    "bronze_documents", "silver_chunks", "gold_embedding_catalog",
+    "v_bronze_documents_catalog", "v_silver_chunks_catalog", "v_gold_embedding_catalog",
+    "v_public_chunks", "v_internal_chunks",
+)
 GRANTED_TABLES = {
-    "external_viewer": "v_public_chunks",
+    "external_viewer": ("v_public_chunks",),
     "business_analyst": _ANALYST_TABLES,
     "data_engineer": _ANALYST_TABLES,
     "security_engineer": _ANALYST_TABLES,
     "finance_manager": _ANALYST_TABLES,
-    "admin": _ANALYST_TABLES + " gold_embeddings v_audit_events",
+    "admin": (*_ANALYST_TABLES, "gold_embeddings", "v_audit_events"),
 }
 
 SELECT_OPERATION = "SelectFromColumns"
@@ -325,8 +457,8 @@ CATALOG_RULES = (
 )
 # user, catalog, schema, table, privileges
 TABLE_RULES = (
-    ("admin", ".*", ".*", ".*", "SELECT INSERT DELETE UPDATE OWNERSHIP"),
-    (".*", "lakehouse", "safe", ".*", "SELECT"),
+    ("admin", ".*", ".*", ".*", ("SELECT", "INSERT", "DELETE", "UPDATE", "OWNERSHIP")),
+    (".*", "lakehouse", "safe", ".*", ("SELECT",)),
 )
 
 # --- Quality -----------------------------------------------------------------------------

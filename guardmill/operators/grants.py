@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +28,10 @@ def decide_selects(asked: DataFrame, users: DataFrame) -> DataFrame:
             .withColumn("column_blocked", blocked).withColumn("allowed", decided))
 
 
-def _granted(role: Column, name: Column, grants: dict[str, str]) -> Column:
+def _granted(role: Column, name: Column, grants: Mapping[str, Sequence[str]]) -> Column:
     rule = F.lit(False)
     for granted_role, names in grants.items():
-        rule = rule | ((role == granted_role) & name.isin(names.split()))
+        rule = rule | ((role == granted_role) & name.isin(list(names)))
     return rule
 
 
@@ -51,9 +51,9 @@ def decide_by_rules(asked: DataFrame, table_rules: Sequence[tuple] = fv.TABLE_RU
     for user, catalog, schema, table, privileges in reversed(table_rules):
         matches = (_whole("user_id", user) & _whole("catalog_name", catalog)
                    & _whole("schema_name", schema) & _whole("table_name", table))
-        granted = F.when(matches, privilege.isin(privileges.split())).otherwise(granted)
+        granted = F.when(matches, privilege.isin(list(privileges))).otherwise(granted)
     return asked.withColumn("allowed", F.coalesce(in_catalog & granted, F.lit(False)))
 
 
 def _whole(column: str, pattern: str) -> Column:
-    return F.col(column).rlike(f"^(?:{pattern})$")
+    return F.col(column).rlike(rf"\A(?:{pattern})\z")

@@ -18,7 +18,7 @@ VIEW_NAMES = tuple(v[0] for v in fv.SAFE_VIEWS)
 def _definition(view: str) -> tuple[str, list[str], tuple[str, ...]]:
     for name, table, columns, levels in fv.SAFE_VIEWS:
         if name == view:
-            return table, columns.split(), levels
+            return table, list(columns), levels
     raise KeyError(f"no safe view named {view!r}")
 
 
