@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,16 +19,20 @@ from guardmill import default_contracts
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.functions import text, vectors
-from guardmill.operators import audit, authorize, cache, chunking, embedding, facts, grants
-from guardmill.operators import graph, index, quality
+from guardmill.operators import audit, authorize, cache, catalog, chunking, embedding, facts
+from guardmill.operators import grants, graph, index, quality
 from guardmill.operators.scratch import scratch_path, settled
 from guardmill.plans import pipeline, retrieval, views
 from guardmill.shipping import prepare_session
-from guardmill.sources.io import Entries, Entry, read_entry, read_source
+from guardmill.sources import texts
+from guardmill.sources.io import Entries, Entry, read_entry, read_source, write_entry
 from guardmill.sources.tables import (
+    default_entries,
     load_graph,
     read_audit,
     read_facts,
+    read_graph,
+    read_users,
     write_graph,
     write_json_rows,
 )
@@ -1067,6 +1072,179 @@ def screen_safe_gold(spark, sf):
                       "created_at")
 
 
+# --- audit decisions, remaining sources, sinks and jobs -----------------------------------
+
+
+@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS}
+  SELECT 'secure' AS mode, r.request_id, v.chunk_id AS record_id,
+    p.user_id IS NOT NULL AND {o.allowed('p', 'v')} AS allowed
+  FROM requests r JOIN vecs v ON v.label::VARCHAR = r.user_id LEFT JOIN people p ON p.user_id = r.user_id
+  UNION ALL SELECT 'insecure', r.request_id, v.chunk_id, v.classification = 'public'
+  FROM requests r JOIN vecs v ON v.label::VARCHAR = r.user_id""")
+def search_decisions(spark, sf):
+    """The audit's decisions about every record of a request's label, in both modes."""
+    gold, users, keys = _gold_vectors(spark, sf), w.users(spark, sf), w.keys(spark, sf)
+    requests = w.label_requests(spark, sf)
+    guests = requests.withColumn("user_id", F.concat(F.lit("guest"), "user_id"))
+    asked = gold.select(F.concat(F.lit("q"), F.substring("department", 4, 9))
+                        .alias("request_id"), F.col("chunk_id").alias("record_id"))
+    both = []
+    for mode, batch in (("secure", requests), ("insecure", guests)):
+        found = retrieval.secure_retrieve(batch, gold, users, keys, CONTRACTS, mode)
+        folder = scratch_path(spark, f"decisions-{mode}")
+        retrieval.store_decisions(found, folder)
+        stored = found._replace(granted=spark.read.parquet(f"{folder}/granted"),
+                                members=spark.read.parquet(f"{folder}/members"))
+        both.append(retrieval.decided(stored, asked).withColumn("mode", F.lit(mode)))
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS},
+  odd AS (SELECT request_id, user_id, CASE WHEN user_id::INTEGER % 3 = 2 THEN NULL ELSE qv END AS qv FROM requests),
+  seen AS (SELECT r.request_id, v.chunk_id, CASE WHEN qv IS NULL THEN 0 ELSE
+      round(list_cosine_similarity(r.qv, v.v), 12) + 0.0 END AS score
+    FROM odd r JOIN people p ON p.user_id = r.user_id JOIN vecs v ON {o.allowed('p', 'v')}),
+  best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM seen)
+  SELECT request_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM best WHERE rank <= 5""")
+def mixed_query_vectors(spark, sf):
+    """A third of the requests bring a vector of another length; only theirs is unreadable."""
+    third = F.col("user_id").cast("int") % 3 == 2
+    requests = w.label_requests(spark, sf).withColumn("query_vector", F.when(
+        third, F.slice("query_vector", 1, 7)).otherwise(F.col("query_vector")))
+    found = retrieval.secure_retrieve(requests, _gold_vectors(spark, sf), w.users(spark, sf),
+                                      w.keys(spark, sf), CONTRACTS)
+    return found.results.select("request_id", F.col("rank").cast("bigint").alias("rank"),
+                                "chunk_id", "score")
+
+
+def _document_files(spark, sf):
+    """documents as one text file each, below their source; every 40th one is left out."""
+    folder = scratch_path(spark, "raw")
+    docs = w.table(spark, sf, "documents")
+    name = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    written = docs.filter(F.col("doc_id") % 40 != 0).select(
+        name.alias("name"), "text")
+    (written.write.partitionBy("name").option("lineSep", "\n").text(folder))
+    return folder, docs
+
+
+@query(f"""WITH {o.DOCS} SELECT document_id, CASE WHEN doc_id % 40 = 0 THEN ''
+    ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) END AS text FROM docs""")
+def document_text_lookup(spark, sf):
+    """The text of every catalogue row, looked up in a folder by its source path."""
+    folder, docs = _document_files(spark, sf)
+    texts.require_inputs(spark, folder, "part-*")
+    place = F.concat(F.lit("name="), F.replace(F.concat(
+        "source", F.lit("/"), "doc_id", F.lit(".txt")), F.lit("/"), F.lit("%2F")))
+    files = texts.list_files(spark, folder, "part-*").select(
+        F.element_at(F.split("relative_path", "/"), 1).alias("place"),
+        F.col("relative_path").alias("source_path"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"),
+                       place.alias("place"))
+    located = rows.join(files, "place", "left")
+    return texts.with_document_text(located, folder).select("document_id", "text")
+
+
+@query(f"""WITH {o.DOCUMENT_FACTS} SELECT 'silver' AS part, chunk_id AS id, document_id, classification AS detail FROM ids
+  UNION ALL SELECT 'gold', chunk_id, document_id, classification FROM ids
+  UNION ALL SELECT 'facts', fact_id, document_id, object FROM facts""")
+def gold_pipeline(spark, sf):
+    """The whole gold job: silver, facts and sealed embeddings, twice over one cache."""
+    root = scratch_path(spark, "gold-job")
+    readers, writers = default_entries(f"{root}/in", f"{root}/lake")
+    keys = w.keys(spark, sf)
+    for _ in range(2):
+        pipeline.run_gold(w.incident_catalogue(spark, sf), keys, w.settings(), readers,
+                          writers, f"{root}/facts")
+    gold = embedding.open_vectors(read_entry(spark, readers["gold_embeddings"]), keys)
+    silver = read_entry(spark, readers["silver_chunks"])
+    return (silver.select(F.lit("silver").alias("part"), F.col("chunk_id").alias("id"),
+                          "document_id", F.col("classification").alias("detail"))
+            .unionByName(gold.filter("vector IS NOT NULL").select(
+                F.lit("gold").alias("part"), F.col("chunk_id").alias("id"), "document_id",
+                F.col("classification").alias("detail")))
+            .unionByName(read_facts(spark, f"{root}/facts").select(
+                F.lit("facts").alias("part"), F.col("fact_id").alias("id"), "document_id",
+                F.col("object").alias("detail"))))
+
+
+@query(f"""WITH {o.USERS} SELECT p.user_id, c.c_name AS name, p.role, p.department, p.clearance_level
+  FROM people p JOIN customer c ON c.c_custkey::VARCHAR = p.user_id""")
+def users_from_json(spark, sf):
+    """customers as JSON arrays of users, one file per nation, with passwords to drop."""
+    path = scratch_path(spark, "users")
+    user = w.users(spark, sf).withColumn("password", F.lit("secret"))
+    listed = user.groupBy("department").agg(
+        F.to_json(F.collect_list(F.struct(*user.columns))).alias("value"))
+    listed.select("department", "value").write.partitionBy("department").text(path)
+    return read_users(spark, f"{path}/*").select(
+        "user_id", "name", "role", "department", "clearance_level")
+
+
+@query(f"""WITH {o.DOCUMENT_FACTS} SELECT fact_id, subject, object, document_id, chunk_id FROM facts""")
+def facts_from_objects(spark, sf):
+    """Facts as pretty-printed objects, several to a file."""
+    path = scratch_path(spark, "objects")
+    found = pipeline.document_facts(w.incident_catalogue(spark, sf), w.STAMP)
+    row = F.to_json(F.struct(*found.columns), {"pretty": "true"})
+    found.select(row.alias("value")).write.text(path)
+    return read_facts(spark, path, layout="objects").select(
+        "fact_id", "subject", "object", "document_id", "chunk_id")
+
+
+@query(f"""WITH {o.GRAPH} SELECT 'node' AS part, node_id AS a, classification AS b, department AS c FROM nodes
+  UNION ALL SELECT 'edge', s, t, rel FROM edges""")
+def graph_from_json(spark, sf):
+    """The graph as JSON files of nodes and edges, one file per piece."""
+    path = scratch_path(spark, "graph-json")
+    nodes, edges = _graph(spark, sf)
+    nodes = nodes.select(*table_schema("graph_nodes").names)
+    piece = F.pmod(F.xxhash64(F.col("node_id")), F.lit(8)).alias("piece")
+    other = F.pmod(F.xxhash64(F.col("source_id")), F.lit(8)).alias("piece")
+    n = nodes.groupBy(piece).agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
+    e = edges.groupBy(other).agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
+    n.join(e, "piece", "full").write.partitionBy("piece").json(path)
+    nodes, edges = read_graph(spark, f"{path}/*")
+    return nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("a"),
+                        F.col("classification").alias("b"), F.col("department").alias("c")
+                        ).unionByName(edges.select(
+                            F.lit("edge").alias("part"), F.col("source_id").alias("a"),
+                            F.col("target_id").alias("b"),
+                            F.col("relation_type").alias("c")))
+
+
+@query(f"""WITH {o.DOCS} SELECT document_id, title, classification, owner, array_to_string(allowed_roles, ',') AS allowed_roles FROM docs""")
+def table_sink_and_scan(spark, sf):
+    """The catalogue written to and read from a table of the session's catalog."""
+    name = f"bronze_{uuid.uuid4().hex[:12]}"
+    write_entry(w.bronze(spark, sf), Entry(options={"table_name": name, "format": "parquet",
+                                                   "mode": "overwrite"}))
+    return read_entry(spark, Entry(options={"table_name": name})).select(
+        "document_id", "title", "classification", "owner",
+        _joined("allowed_roles").alias("allowed_roles"))
+
+
+@query("""WITH edges AS (SELECT 'customer:' || c_custkey AS s, 'nation:' || c_nationkey AS t FROM customer
+    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+  ids AS (SELECT s AS id FROM edges UNION SELECT t FROM edges),
+  up AS (SELECT t AS id, string_agg(s, ',' ORDER BY s) AS v FROM edges GROUP BY t),
+  down AS (SELECT s AS id, string_agg(t, ',' ORDER BY t) AS v FROM edges GROUP BY s)
+  SELECT ids.id AS dataset_id, COALESCE(up.v, '') AS upstream, COALESCE(down.v, '') AS downstream
+  FROM ids LEFT JOIN up USING (id) LEFT JOIN down USING (id)""")
+def lineage_both_ways(spark, sf):
+    """Upstream and downstream names over customer, nation and region edges."""
+    edges = w.table(spark, sf, "customer").select(
+        F.concat(F.lit("customer:"), "c_custkey").alias("source"),
+        F.concat(F.lit("nation:"), "c_nationkey").alias("target")).unionByName(
+        w.table(spark, sf, "nation").select(
+            F.concat(F.lit("nation:"), "n_nationkey").alias("source"),
+            F.concat(F.lit("region:"), "n_regionkey").alias("target")))
+    ids = edges.select(F.explode(F.array("source", "target")).alias("dataset_id")).distinct()
+    both = catalog.with_lineage(ids, edges.withColumn("type", F.lit("part_of")))
+    return both.select(
+        "dataset_id", F.array_join(F.array_sort("lineage_upstream"), ",").alias("upstream"),
+        F.array_join(F.array_sort("lineage_downstream"), ",").alias("downstream"))
+
 
 try:  # the operators for training data and their pipeline may be left out
     import corpus_pipeline as _pipeline
