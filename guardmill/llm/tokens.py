@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 
 #: The cache is emptied when it holds more than this.
-CACHE_PIECES = 400_000
-CACHE_BYTES = 24 << 20
+CACHE_PIECES = 1_000_000
+CACHE_BYTES = 48 << 20
+#: New pieces are encoded together, so many to a text.
+TOGETHER = 256
 
+#: A space as byte-level vocabularies write it.
+SPACE = "\u0120"
 _MID_RUN = re.compile(r"\s (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
 _loaded: dict[str, PieceTokenizer] = {}
@@ -44,6 +49,14 @@ class PieceTokenizer:
             spec = json.load(file)
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         self._cut = _cutter(spec)
+        self._between = " " if self._cut is cut_at_blanks else ""
+        # ids that close a word, or in byte-level vocabularies those that open with a space
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        vocabulary = self._tokenizer.get_vocab()
+        self._edge = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self._edge[i] = (bool(suffix) and token.endswith(suffix) if self._between
+                             else token.startswith(SPACE))
         self._cache: dict[str | bytes, bytes] = {}
         self._held, self._pieces, self._bytes = 0, cache_pieces, cache_bytes
 
@@ -73,13 +86,68 @@ class PieceTokenizer:
         return self._tokenizer.encode_batch(list(texts), add_special_tokens=False)
 
     def _learn(self, pieces: list[str | bytes]) -> None:
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            plain = [p.decode("utf-8") if isinstance(p, bytes) else p for p in part]
-            for piece, encoded in zip(part, self._whole(plain), strict=True):
-                ids = np.array(encoded.ids, dtype="<u4").tobytes()
-                self._cache[piece] = ids
-                self._held += len(piece) + len(ids)
+        """Encodes pieces, as many as may stand side by side in one text.
+
+        A piece may follow any other if there is a border before it: after a blank, or where
+        a space and a character open it.
+        """
+        plain = [p.decode("utf-8") if isinstance(p, bytes) else p for p in pieces]
+        joins = [bool(self._between) or (p[:1] == " " and not p[1:2].isspace()
+                                         and len(p) > 1) for p in plain]
+        words = [j and _is_word(p if self._between else p[1:])
+                 for j, p in zip(joins, plain, strict=True)]
+        for chosen, encode, share in (
+                (words, self._tokenizer.encode_batch_fast, self._share_words),
+                ([j and not w for j, w in zip(joins, words, strict=True)],
+                 self._tokenizer.encode_batch, self._share)):
+            side = [i for i, c in enumerate(chosen) if c]
+            for at in range(0, len(side), 16 * TOGETHER):
+                part = side[at:at + 16 * TOGETHER]
+                groups = [part[i:i + TOGETHER] for i in range(0, len(part), TOGETHER)]
+                texts = [self._between.join([plain[i] for i in g]) for g in groups]
+                encoded = encode(texts, add_special_tokens=False)
+                for group, one in zip(groups, encoded, strict=True):
+                    share(group, pieces, plain, one)
+        alone = [i for i, j in enumerate(joins) if not j]
+        for at in range(0, len(alone), 4096):
+            part = alone[at:at + 4096]
+            for i, encoded in zip(part, self._whole([plain[i] for i in part]), strict=True):
+                self._keep(pieces[i], np.array(encoded.ids, dtype="<u4").tobytes())
+
+    def _share_words(self, group: list[int], pieces: list, plain: list[str],
+                     encoded) -> None:
+        """The same for pieces of one word each, by the ids that open or close a word."""
+        ids = np.array(encoded.ids, dtype="<u4")
+        edges = np.flatnonzero(self._edge[ids])
+        if len(edges) != len(group):
+            joined = self._between.join([plain[i] for i in group])
+            return self._share(group, pieces, plain, self._whole([joined])[0])
+        ends = (edges + 1 if self._between else np.append(edges[1:], len(ids))).tolist()
+        start = 0
+        for i, end in zip(group, ends, strict=True):
+            self._keep(pieces[i], ids[start:end].tobytes())
+            start = end
+
+    def _share(self, group: list[int], pieces: list, plain: list[str], encoded) -> None:
+        """Gives the ids of a joined text to the pieces in which they begin."""
+        ids = np.array(encoded.ids, dtype="<u4")
+        begins = np.array([o[0] for o in encoded.offsets], dtype=np.int64)
+        lengths = np.array([len(plain[i]) + len(self._between) for i in group])
+        ends = np.searchsorted(begins, np.cumsum(lengths)).tolist()
+        start = 0
+        for i, end in zip(group, ends, strict=True):
+            self._keep(pieces[i], ids[start:end].tobytes())
+            start = end
+
+    def _keep(self, piece: str | bytes, ids: bytes) -> None:
+        self._cache[piece] = ids
+        self._held += len(piece) + len(ids)
+
+
+def _is_word(text: str) -> bool:
+    """Letters that stay letters when they are normalised and lower-cased."""
+    return text.isalpha() and (text.isascii() or (
+        unicodedata.is_normalized("NFC", text) and text.lower().isalpha()))
 
 
 def _cutter(spec: dict):
