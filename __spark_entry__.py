@@ -399,7 +399,7 @@ def cache_latest(spark, sf):
 
 
 @query(f"""WITH {o.DOCS}, {o.chunks('docs')} SELECT {o.CHUNK_ID} AS chunk_id, document_id, classification,
-    'key-7' AS key_id, 64 AS embedding_dim, 'AES-256-GCM' AS embedding_algorithm, TRUE AS sealed FROM chunks""")
+    'key-7' AS key_id, 64 AS embedding_dim, 'AES-256-GCM' AS embedding_algorithm, TRUE AS sealed, TRUE AS same FROM chunks""")
 def embeddings_with_cache(spark, sf):
     """Gold rows after a cold run on three classes and a warm run on all documents."""
     folder = scratch_path(spark, "embed-cache")
@@ -410,18 +410,37 @@ def embeddings_with_cache(spark, sf):
     early = chunks.filter(F.col("classification") != "restricted")
     pipeline.build_embeddings(early, keys, settings, reader, writer)
     gold = pipeline.build_embeddings(chunks, keys, settings, reader, writer)
-    return gold.select("chunk_id", "document_id", "classification", "key_id",
-                       "embedding_dim", "embedding_algorithm",
-                       (F.octet_length("embedding_ciphertext") == 4 * w.DIM + 16)
-                       .alias("sealed"))
+    return _with_same_vectors(gold, chunks, keys, settings).select(
+        "chunk_id", "document_id", "classification", "key_id", "embedding_dim",
+        "embedding_algorithm", (F.octet_length("embedding_ciphertext") == 4 * w.DIM + 16)
+        .alias("sealed"), "same")
 
 
-@query("""SELECT vec_id, label, len(embedding)::INTEGER AS dim,
-    round(list_sum(embedding::DOUBLE[]), 6) AS total,
-    round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squares FROM embeddings""")
+def _with_same_vectors(gold, chunks, keys, settings):
+    """`same`: the opened vector is the one the encoder gives for the chunk's text."""
+    fresh = settings.vectors(chunks, "chunk_text").select(
+        "chunk_id", F.col("vector").alias("fresh"))
+    opened = embedding.open_vectors(gold, keys).join(fresh, "chunk_id")
+    return opened.withColumn("same", F.col("vector").eqNullSafe(F.col("fresh"))
+                             & F.col("vector").isNotNull())
+
+
+@query("""SELECT vec_id, label, CASE WHEN vec_id % 50 <> 7 THEN len(embedding)::INTEGER END AS dim,
+    CASE WHEN vec_id % 50 <> 7 THEN round(list_sum(embedding::DOUBLE[]), 6) END AS total,
+    CASE WHEN vec_id % 50 <> 7 THEN round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) END AS squares,
+    CASE WHEN label < 5 THEN 'key-3' ELSE 'key-7' END AS key_id FROM embeddings""")
 def encrypted_roundtrip(spark, sf):
-    """Vectors packed, sealed, opened and unpacked again."""
-    opened = embedding.open_vectors(_gold_vectors(spark, sf), w.keys(spark, sf))
+    """Vectors packed, sealed under two keys, some tampered with, opened and unpacked."""
+    rows = w.vector_rows(spark, sf).withColumn("vector", vectors.pack_f32("embedding"))
+    old, new = (embedding.sealed_rows(rows.filter(part), w.keys(spark, sf), key, "given",
+                                      w.DIM, w.STAMP)
+                for part, key in ((F.col("label") < 5, "key-3"), (F.col("label") >= 5, w.KEY_ID)))
+    number = F.substring("chunk_id", 2, 20).cast("long")
+    cut = F.expr("substring(embedding_ciphertext, 2)")
+    tampered = settled(old.unionByName(new)).withColumn("embedding_ciphertext", F.when(
+        number % 50 == 7, F.concat(F.lit(b"\x00"), cut)).otherwise(
+        F.col("embedding_ciphertext")))
+    opened = embedding.open_vectors(tampered, w.keys(spark, sf))
     floats = opened.withColumn("v", vectors.unpack_f32(F.col("vector"),
                                                        F.col("embedding_dim")))
     labels = w.vector_rows(spark, sf).select("chunk_id", "vec_id", "label")
@@ -431,8 +450,8 @@ def encrypted_roundtrip(spark, sf):
             x.cast("double") * x if square else x.cast("double"))), 6)
 
     return floats.join(labels, "chunk_id").select(
-        "vec_id", "label", F.size("v").alias("dim"), total(False).alias("total"),
-        total(True).alias("squares"))
+        "vec_id", "label", F.when(F.col("v").isNotNull(), F.size("v")).alias("dim"),
+        total(False).alias("total"), total(True).alias("squares"), "key_id")
 
 
 @query(f"""WITH {o.SILVER} SELECT {o.CHUNK_ID} AS chunk_id, score >= 0.5 AS was_sealed,
@@ -960,7 +979,7 @@ def stream_silver(spark, sf):
 
 
 @query(f"""WITH {o.DOCS}, {o.chunks('docs')} SELECT {o.CHUNK_ID} AS chunk_id, document_id,
-    'key-7' AS key_id FROM chunks""")
+    'key-7' AS key_id, TRUE AS same FROM chunks""")
 def stream_gold(spark, sf):
     """Embeddings of arriving documents through the cache."""
     cached, out, marks = (scratch_path(spark, n) for n in ("cache", "gold", "gold-marks"))
@@ -969,7 +988,9 @@ def stream_gold(spark, sf):
     incremental.stream_gold(_document_stream(spark, sf), w.keys(spark, sf), w.settings(),
                             reader, writer, out, marks).awaitTermination()
     gold = spark.read.schema(table_schema("gold_embeddings")).parquet(out)
-    return gold.select("chunk_id", "document_id", "key_id")
+    chunks = chunking.chunk_documents(w.catalogue(spark, sf))
+    return _with_same_vectors(gold, chunks, w.keys(spark, sf), w.settings()).select(
+        "chunk_id", "document_id", "key_id", "same")
 
 
 # --- sources, sinks and small operators --------------------------------------------------------
@@ -996,7 +1017,10 @@ def bronze_from_json(spark, sf):
 
 
 @query("""SELECT event_id::VARCHAR AS request_id, user_id::VARCHAR AS user_id,
-    CASE event_type WHEN 'error' THEN 'access_denied' WHEN 'signup' THEN 'login' ELSE 'search' END AS event_type
+    CASE event_type WHEN 'error' THEN 'access_denied' WHEN 'signup' THEN 'login' ELSE 'search' END AS event_type,
+    CASE event_type WHEN 'error' THEN 'denied' ELSE 'success' END AS status,
+    strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, floor(value)::INTEGER AS returned_count,
+    CASE WHEN event_type = 'view' THEN event_id % 5 END AS filtered_out_count, 10 AS nulls
   FROM events""")
 def audit_written_and_read(spark, sf):
     """Audit events appended to JSON lines by type and read back."""
@@ -1004,7 +1028,11 @@ def audit_written_and_read(spark, sf):
     for part in ("search", "login", "access_denied"):
         write_json_rows(_audit_events(spark, sf).filter(F.col("event_type") == part), path,
                         mode="append")
-    return read_audit(spark, path).select("request_id", "user_id", "event_type")
+    events = read_audit(spark, path)
+    given = ["request_id", "user_id", "event_type", "status", "timestamp", "returned_count",
+             "filtered_out_count"]
+    others = [F.col(c).isNull().cast("int") for c in events.columns if c not in given]
+    return events.select(*given, sum(others, F.lit(0)).alias("nulls"))
 
 
 @query("""WITH firsts AS (SELECT o_custkey, c, min((turn, o_orderkey)) AS p FROM (
