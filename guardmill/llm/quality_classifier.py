@@ -20,10 +20,10 @@ from .columns import document_text, need_columns
 #: weight the same throughout long texts.
 PIECE = 2048
 #: Pieces per label and half that are learnt from: the documented bound of the sample.
-SAMPLE_PIECES = 1500
+SAMPLE_PIECES = 3000
 #: Bytes of each dictionary.
-DICTIONARY_BYTES = 128 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 512 << 10
+LEVEL = 6
 
 
 @dataclass(frozen=True)
