@@ -53,21 +53,20 @@ def _choose(padded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The selector of every word and the place of its first number."""
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.arange(n, dtype=np.int64)
-    best = np.full(n, len(SELECTORS) - 1, dtype=np.int64)
+    at = np.arange(n, dtype=np.int32)
+    best = np.full(n, len(SELECTORS) - 1, dtype=np.int8)
+    # the bits of every number; above 2^53 perhaps one too many, which is only less tight
+    need = np.minimum(np.frexp(padded[:n].astype(np.float64))[1], 60).astype(np.int8)
+    fitting = np.cumsum(np.bincount(need, minlength=61))
     limits: dict[int, np.ndarray] = {}
-    top = int(padded[:n].max()).bit_length()
-    smallest = int(padded[:n].min()).bit_length()
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        if bits < smallest:
-            break
+        # so many in a row may only be had beyond the end, where zeros follow
+        if fitting[bits] < count and not need[-1] <= bits:
+            continue
         if bits not in limits:
-            if bits >= top:
-                limits[bits] = np.full(n, n + _MOST)
-            else:
-                wide = np.where(padded[:n] >> np.uint64(bits) > 0, at, n + _MOST)
-                limits[bits] = np.minimum.accumulate(wide[::-1])[::-1]
+            wide = np.where(need > bits, at, np.int32(n + _MOST))
+            limits[bits] = np.minimum.accumulate(wide[::-1])[::-1]
         best[limits[bits] - at >= count] = s
     step = _COUNTS[best].tolist()
     starts, i = [], 0
