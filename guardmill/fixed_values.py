@@ -87,6 +87,16 @@ ROLES = (
     ("hr_manager", "confidential", False, True, False, False, False),
 )
 
+# Reasons of an access decision; names and lists follow the open ends
+REASON_UNAUTHENTICATED = "Unauthenticated user; public records only"
+REASON_PUBLIC = "Public record; accessible to everyone"
+REASON_UNKNOWN = "Unknown classification: "
+REASON_ALL_RECORDS = "User may access all records"
+REASON_CLEARANCE = "Insufficient clearance: "
+REASON_ROLE = "User role "
+REASON_DEPARTMENT = "User department "
+REASON_GRANTED = "User has required clearance and role for "
+
 # --- Lineage: source, target, type ------------------------------------------------
 
 LINEAGE = (
@@ -367,6 +377,12 @@ INDEX_FIELDS = (
     "chunk_id", "document_id", "classification", "allowed_roles", "department", "owner",
     "version", "sensitivity_level",
 )
+NODE_DEFAULTS = {
+    "node_type": "entity", "label": "", "classification": "internal", "department": "",
+    "source_chunk_id": "", "source_document_id": "", "confidence": 1.0,
+    "extraction_method": "metadata",
+}
+EDGE_DEFAULTS = {"confidence": 1.0, "extraction_method": "metadata"}
 NODE_FORBIDDEN = ("sensitive_label", "raw_text")
 AUDIT_FIELDS = (
     "timestamp", "event_type", "user_id", "role", "query", "mode", "returned_count",

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from guardmill import fixed_values as fv
 from guardmill.contracts import Contracts, Policy
 
 _SEP = "\x1f"
@@ -106,33 +107,32 @@ def reason(contracts: Contracts, user: UserColumns, classification: Column, role
     """Why `allowed` says what it says, tested in the order the decision uses."""
     roles = _record_roles(roles)
     named = F.coalesce(F.nullif(classification, F.lit("")), F.lit("unknown"))
-    text = F.concat(F.lit("Unknown classification: "), named)
+    text = F.concat(F.lit(fv.REASON_UNKNOWN), named)
     for policy in contracts.policies.values():
         if policy.open_to_all:
             why = F.lit(
-                "Public record; accessible to everyone" if policy.classification == "public"
-                else f"User has required clearance and role for {policy.classification}")
+                fv.REASON_PUBLIC if policy.classification == "public"
+                else fv.REASON_GRANTED + policy.classification)
         else:
             needed = ", ".join(sorted(policy.clearances))
             why = (
-                F.when(user.sees_all(contracts), F.lit("User may access all records"))
+                F.when(user.sees_all(contracts), F.lit(fv.REASON_ALL_RECORDS))
                 .when(~_clearance_ok(policy, user),
-                      F.concat(F.lit("Insufficient clearance: "), user.clearance,
+                      F.concat(F.lit(fv.REASON_CLEARANCE), user.clearance,
                                F.lit(f" not in [{needed}]")))
                 .when(~_role_ok(policy, user, roles),
-                      F.concat(F.lit("User role "), user.role,
+                      F.concat(F.lit(fv.REASON_ROLE), user.role,
                                F.lit(" not in allowed_roles: ["),
                                F.array_join(roles, ", "), F.lit("]")))
                 .when(~_department_ok(policy, user, department),
-                      F.concat(F.lit("User department "),
+                      F.concat(F.lit(fv.REASON_DEPARTMENT),
                                F.coalesce(user.department, F.lit("none")),
                                F.lit(" != record department "),
                                F.coalesce(department, F.lit("none"))))
-                .otherwise(F.lit("User has required clearance and role for "
-                                 f"{policy.classification}")))
+                .otherwise(F.lit(fv.REASON_GRANTED + policy.classification)))
         text = F.when(named == policy.classification, why).otherwise(text)
     return F.when(user.known, text).otherwise(
-        F.lit("Unauthenticated user; public records only"))
+        F.lit(fv.REASON_UNAUTHENTICATED))
 
 
 def _token(policy: Policy, *parts: str | Column) -> Column:

@@ -54,8 +54,9 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError("chunk overlap must lie in [0, size)")
 
 
-def word_windows(word_list: Column, size: int, overlap: int) -> Column:
-    """array<struct<index, start, end, text>> of overlapping windows.
+def word_windows(word_list: Column, size: int, overlap: int,
+                 with_text: bool = True) -> Column:
+    """array<struct<index, start, end, text>> of overlapping windows; text only on demand.
 
     Pass a materialised column, not an expression: the lambda reads it once per window.
     """
@@ -63,11 +64,12 @@ def word_windows(word_list: Column, size: int, overlap: int) -> Column:
     n = F.size(word_list)
 
     def window(start: Column, index: Column) -> Column:
-        return F.struct(
-            index.cast("int").alias("index"),
-            start.cast("int").alias("start"),
-            F.least(start + size, n).cast("int").alias("end"),
-            F.array_join(F.slice(word_list, start + 1, F.lit(size)), " ").alias("text"))
+        span = [index.cast("int").alias("index"), start.cast("int").alias("start"),
+                F.least(start + size, n).cast("int").alias("end")]
+        if with_text:
+            words = F.slice(word_list, start + 1, F.lit(size))
+            span.append(F.array_join(words, " ").alias("text"))
+        return F.struct(*span)
 
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(
         F.array().cast("array<int>"))

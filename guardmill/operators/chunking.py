@@ -35,8 +35,8 @@ def _inherited(docs: DataFrame) -> list:
     return columns
 
 
-def document_windows(docs: DataFrame, size: int, overlap: int,
-                     text_column: str = "text") -> DataFrame:
+def document_windows(docs: DataFrame, size: int, overlap: int, text_column: str = "text",
+                     with_text: bool = True) -> DataFrame:
     """One row per document with `windows`, the array of its chunks."""
     text.check_window(size, overlap)
     split = docs.select(
@@ -44,18 +44,19 @@ def document_windows(docs: DataFrame, size: int, overlap: int,
         text.words(F.col(text_column)).alias("__words"))
     return split.select(
         "document_id", *INHERITED,
-        text.word_windows(F.col("__words"), size, overlap).alias("windows"))
+        text.word_windows(F.col("__words"), size, overlap, with_text).alias("windows"))
 
 
 def chunk_documents(docs: DataFrame, size: int = fv.DEFAULT_CHUNK_SIZE,
-                    overlap: int = fv.DEFAULT_OVERLAP,
-                    text_column: str = "text") -> DataFrame:
-    """One row per chunk, with the transient `chunk_text`; no shuffle.
+                    overlap: int = fv.DEFAULT_OVERLAP, text_column: str = "text",
+                    with_text: bool = True) -> DataFrame:
+    """One row per chunk, with the transient `chunk_text` unless only spans are wanted; no
+    shuffle.
 
     The window texts are built inside the row and exploded, so a generated row carries its
     own window and not the whole word list of the document.
     """
-    windows = document_windows(docs, size, overlap, text_column)
+    windows = document_windows(docs, size, overlap, text_column, with_text)
     chunks = exploded(windows, "windows", "w", "document_id", *INHERITED)
     return chunks.select(
         text.chunk_key(F.col("document_id"), F.coalesce("document_hash", F.lit("None")),
@@ -64,7 +65,7 @@ def chunk_documents(docs: DataFrame, size: int = fv.DEFAULT_CHUNK_SIZE,
         F.col("w.index").alias("chunk_index"),
         F.struct("w.start", "w.end").alias("chunk_span"),
         *INHERITED,
-        F.col("w.text").alias("chunk_text"))
+        *([F.col("w.text").alias("chunk_text")] if with_text else []))
 
 
 def score_sensitivity(chunks: DataFrame) -> DataFrame:

@@ -16,13 +16,6 @@ from guardmill.operators.index import upsert
 from guardmill.operators.joins import hot_keys, lookup_join, spread_join
 from guardmill.operators.scratch import settled
 
-_NODE_DEFAULTS = {
-    "node_type": "entity", "label": "", "classification": "internal", "department": "",
-    "source_chunk_id": "", "source_document_id": "", "confidence": 1.0,
-    "extraction_method": "metadata",
-}
-_EDGE_DEFAULTS = {"confidence": 1.0, "extraction_method": "metadata"}
-
 
 def _with_defaults(df: DataFrame, table: str, defaults: Mapping[str, Any]) -> DataFrame:
     columns = []
@@ -40,11 +33,11 @@ def _with_defaults(df: DataFrame, table: str, defaults: Mapping[str, Any]) -> Da
 
 
 def conform_nodes(df: DataFrame) -> DataFrame:
-    return _with_defaults(df, "graph_nodes", _NODE_DEFAULTS)
+    return _with_defaults(df, "graph_nodes", fv.NODE_DEFAULTS)
 
 
 def conform_edges(df: DataFrame) -> DataFrame:
-    return _with_defaults(df, "graph_edges", _EDGE_DEFAULTS)
+    return _with_defaults(df, "graph_edges", fv.EDGE_DEFAULTS)
 
 
 def put_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:

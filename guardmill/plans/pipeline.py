@@ -12,7 +12,7 @@ from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.operators import cache as cache_ops
 from guardmill.operators import embedding
-from guardmill.operators.chunking import chunk_workset, silver_columns
+from guardmill.operators.chunking import chunk_documents, chunk_workset, silver_columns
 from guardmill.operators.facts import facts_from_documents
 from guardmill.operators.index import index_rows, upsert
 from guardmill.sources.io import Entry, read_entry, write_entry
@@ -81,9 +81,12 @@ def fresh_embeddings(chunks: DataFrame, keys: DataFrame,
 
 
 def build_embeddings(chunks: DataFrame, keys: DataFrame, settings: EmbeddingSettings,
-                     reader: Entry | None = None, writer: Entry | None = None) -> DataFrame:
+                     reader: Entry | None = None, writer: Entry | None = None,
+                     spans: DataFrame | None = None) -> DataFrame:
     """Gold rows for all chunks; only those not in the cache are encoded.
 
+    `spans`, the same chunks without their text, saves building the texts of the hits.
+
     Fresh rows are appended to the cache first and gold is then read from the cache, so
     both tables hold the same bytes whatever is recomputed later. The step may be repeated:
     rows already cached are hits the second time.
@@ -100,7 +103,8 @@ def build_embeddings(chunks: DataFrame, keys: DataFrame, settings: EmbeddingSett
 
     _, misses = cache_ops.split(embeddable, usable())
     write_entry(cache_ops.cache_rows(fresh_embeddings(misses, keys, settings)), writer)
-    hits, _ = cache_ops.split(embeddable.drop("chunk_text"), usable())
+    known = embeddable.drop("chunk_text") if spans is None else spans
+    hits, _ = cache_ops.split(known, usable())
     return cache_ops.gold_from_hits(hits, settings.key_id, settings.created_at)
 
 
@@ -125,8 +129,9 @@ def run_gold(bronze_with_text: DataFrame, keys: DataFrame, settings: EmbeddingSe
     write_entry(silver_columns(workset), writers["silver_chunks"])
     facts = document_facts(bronze_with_text, settings.created_at, size, overlap)
     facts.select(*sorted(facts.columns)).write.mode("overwrite").json(facts_path)
+    spans = chunk_documents(bronze_with_text, size, overlap, with_text=False)
     gold = build_embeddings(workset, keys, settings, readers.get("embed_cache"),
-                            writers.get("embed_cache"))
+                            writers.get("embed_cache"), spans)
     write_entry(gold, writers["gold_embeddings"])
 
 

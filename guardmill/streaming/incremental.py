@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,13 +45,16 @@ def stream_gold(documents: DataFrame, keys: DataFrame, settings: EmbeddingSettin
                 trigger: dict | None = None) -> StreamingQuery:
     """Embeds arriving documents batch by batch through the cache.
 
-    Each micro-batch overwrites its own folder below `path`, and chunks already cached are
-    hits, so a batch replayed after a failure leaves the same rows.
+    Each micro-batch overwrites its own folder below `path`, named after the checkpoint and
+    the batch, and chunks already cached are hits, so a batch replayed after a failure leaves
+    the same rows and a job with another checkpoint leaves earlier output alone.
     """
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def embed(batch: DataFrame, batch_id: int) -> None:
         gold = build_embeddings(chunk_workset(batch, size, overlap), keys, settings, reader,
                                 writer)
-        gold.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        gold.write.mode("overwrite").parquet(f"{path}/job={job}/batch={batch_id}")
 
     return (documents.writeStream.foreachBatch(embed)
             .option("checkpointLocation", checkpoint)

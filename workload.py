@@ -27,16 +27,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A text table spread over the cores where the scan alone would not do it.
+    """A text table, spread over `spark.guardmill.textPartitions` tasks if that is set.
 
-    The given files have one row group each. A table of many files or row groups has more
-    scan tasks than cores and passes through unchanged.
+    For files of one row group, which one scan task has to read. Tables of many files or row
+    groups are left to the scan.
     """
     df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, df.columns[0])
+    parts = spark.conf.get("spark.guardmill.textPartitions", None)
+    return df.repartition(int(parts), df.columns[0]) if parts else df
 
 
 def pick(values, index: Column) -> Column:
