@@ -1,11 +1,14 @@
+import uuid
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.functions import vectors
-from guardmill.operators import embedding
+from guardmill.operators import embedding, scratch
 from guardmill.plans import pipeline, retrieval
 
 DIM = 4
@@ -134,6 +137,52 @@ def test_pairs_carry_every_decision(spark, gold, users, keys, contracts):
     assert audit["5"].status == "denied"
 
 
+def test_pairs_store_no_denied_payload(spark, gold, users, keys, contracts, tmp_path,
+                                       monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_path",
+                        lambda _, label: str(tmp_path / f"{label}-{uuid.uuid4().hex}"))
+    pairs = spark.createDataFrame([("2", "c3"), ("2", "c4"), ("2", "c2")],
+                                  "request_id string, chunk_id string")
+    out = retrieval.retrieve_pairs(requests(spark, ("2", "ana", "q", 3)), pairs, gold, users,
+                                   keys, contracts)
+    assert by_request(out.results) == {"2": ["c2"]}
+    denied = {bytes(r.embedding_ciphertext) for r in gold.filter(
+        "chunk_id IN ('c3', 'c4')").collect()}
+    files = list(tmp_path.rglob("*.parquet"))
+    assert files and len(denied) == 2
+    for file in files:
+        for column in pq.read_table(file).columns:
+            assert not denied & {v for v in column.to_pylist() if isinstance(v, bytes)}
+
+
+def test_pairs_with_a_chunk_of_two_rows(spark, gold, users, keys, contracts):
+    again = gold.filter("chunk_id = 'c3'").withColumn(
+        "classification", F.lit("public")).withColumn("embedding_id", F.lit("other"))
+    pairs = spark.createDataFrame([("2", "c3"), ("2", "c4")],
+                                  "request_id string, chunk_id string")
+    out = retrieval.retrieve_pairs(requests(spark, ("2", "ana", "q", 3)), pairs,
+                                   gold.unionByName(again), users, keys, contracts)
+    row = out.audit.first()
+    assert row.access_decisions == {"c3": True, "c4": False}
+    assert by_request(out.results) == {"2": ["c3"]}
+
+
+def test_search_decisions_of_both_modes(spark, gold, users, keys, contracts, tmp_path):
+    batch = requests(spark, ("1", "ana", "q", 1), ("5", "ghost", "q", 3))
+    pairs = spark.createDataFrame([(r, c[0]) for r in ("1", "5") for c in ROWS],
+                                  "request_id string, record_id string")
+    for mode, ghost in (("secure", set()), ("insecure", {"c1"})):
+        found = retrieval.secure_retrieve(batch, gold, users, keys, contracts, mode)
+        retrieval.store_decisions(found, str(tmp_path / mode))
+        stored = found._replace(
+            granted=spark.read.parquet(str(tmp_path / mode / "granted")),
+            members=spark.read.parquet(str(tmp_path / mode / "members")))
+        judged = retrieval.decided(stored, pairs).collect()
+        assert len(judged) == 2 * len(ROWS)
+        assert {(r.request_id, r.record_id) for r in judged if r.allowed} == {
+            ("1", "c1"), ("1", "c2"), ("1", "c5"), *(("5", c) for c in ghost)}
+
+
 def test_index_lookup_and_strategies(spark, gold, keys):
     table = pipeline.build_index(gold.filter("chunk_id <> 'c5'"), keys)
     batch = requests(spark, ("1", "adm", "q", 9))
