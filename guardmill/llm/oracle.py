@@ -120,3 +120,72 @@ MIXING = f"""WITH RECURSIVE d AS (SELECT doc_id, source,
       AND takes.block = p.k GROUP BY 1)
   SELECT d.doc_id, d.size, s.source_size, s.target, COALESCE(got.taken, 0) AS taken
   FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN got USING (doc_id)"""
+
+_MARKS = "!#*$%&"
+_TAILS = "#*$%&"
+_RULES = 11
+
+
+def _occurrences(text: str, parts: list[str]) -> str:
+    return " + ".join(f"(strlen({text}) - strlen(replace({text}, '{part}', ''))) // {len(part)}"
+                      for part in parts)
+
+
+def _low(share: str, good: float, bad: float) -> str:
+    return f"CASE WHEN {share} >= {bad}::DOUBLE THEN 0 WHEN {share} <= {good}::DOUBLE THEN 1 ELSE -1 END"
+
+
+_N = "greatest(n_words, 1)::DOUBLE"
+_VOTES = ", ".join([
+    "CASE WHEN n_words < 20 THEN 0 WHEN n_words >= 40 THEN 1 ELSE -1 END",
+    f"CASE WHEN word_chars / {_N} < 2.5 OR word_chars / {_N} > 12 THEN 0 "
+    f"WHEN word_chars / {_N} BETWEEN 3 AND 9 THEN 1 ELSE -1 END",
+    _low(f"n_symbols / {_N}", 0.05, 0.2),
+    _low("n_dup_lines / greatest(n_lines, 1)::DOUBLE", 0.1, 0.3),
+    _low(f"n_repeat_words / {_N}", 0.05, 0.2),
+    _low("n_upper / greatest(word_chars, 1)::DOUBLE", 0.1, 0.3),
+    _low(f"n_marks / {_N}", 0.1, 0.3),
+    _low(f"n_doubled / {_N}", 0.05, 0.2),
+    _low(f"n_tails / {_N}", 0.05, 0.2),
+    _low(f"n_bars / {_N}", 0.05, 0.2),
+    f"CASE WHEN n_distinct / {_N} < 0.15::DOUBLE THEN 0 WHEN n_distinct / {_N} > 0.3::DOUBLE THEN 1 ELSE -1 END",
+])
+_ODDS = f"""ln(prior / (1 - prior)) + list_sum(list_transform(range(1, {_RULES + 1}),
+      lambda j: CASE votes[j] WHEN 1 THEN ln(kg[j] / kb[j])
+        WHEN 0 THEN ln((1 - kg[j]) / (1 - kb[j])) ELSE 0::DOUBLE END))"""
+
+# kg and kb: chance of a keep vote given a good and a bad document, per rule
+QUALITY_RULES = f"""WITH RECURSIVE t AS (SELECT doc_id, COALESCE(text, '') AS t,
+    translate(COALESCE(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') || ' ' AS flat,
+    {_words('text')} AS w, list_filter(string_split(COALESCE(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM documents),
+  g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM t WHERE len(w) >= 5),
+  h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 4], ' ')) AS n FROM g),
+  r AS (SELECT doc_id, len(list_distinct(flatten(list(range(p, p + 5)))))::BIGINT AS n_repeat_words
+    FROM h WHERE n > 1 GROUP BY 1),
+  c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    COALESCE(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks,
+    {_occurrences('t', [m * 2 for m in _MARKS])} AS n_doubled,
+    {_occurrences('flat', [m + ' ' for m in _TAILS])} AS n_tails,
+    {_occurrences('t', ['|'])} AS n_bars, len(list_distinct(w)) AS n_distinct
+    FROM t LEFT JOIN r USING (doc_id)),
+  v AS (SELECT *, [{_VOTES}] AS votes FROM c),
+  p AS (SELECT votes, count(*)::DOUBLE AS n FROM v GROUP BY 1),
+  em AS (SELECT 0 AS round, 0.85::DOUBLE AS prior, list_transform(range({_RULES}), lambda i: 0.98::DOUBLE) AS kg,
+      list_transform(range({_RULES}), lambda i: 0.75::DOUBLE) AS kb
+    UNION ALL SELECT round + 1, max(prior), list(good ORDER BY j), list(least(bad, good) ORDER BY j) FROM (
+      SELECT round, j, least(0.99::DOUBLE, greatest(0.5::DOUBLE, sum(n * x) / sum(n))) AS prior,
+        least(0.999::DOUBLE, greatest(0.001::DOUBLE, (1.96::DOUBLE + COALESCE(sum(n * x) FILTER (votes[j] = 1), 0))
+          / (2 + COALESCE(sum(n * x) FILTER (votes[j] >= 0), 0)))) AS good,
+        least(0.999::DOUBLE, greatest(0.001::DOUBLE, (1.5::DOUBLE + COALESCE(sum(n * (1 - x)) FILTER (votes[j] = 1), 0))
+          / (2 + COALESCE(sum(n * (1 - x)) FILTER (votes[j] >= 0), 0)))) AS bad
+      FROM (SELECT round, votes, n, unnest(range(1, {_RULES + 1})) AS j, 1 / (1 + exp(-({_ODDS}))) AS x
+        FROM em, p WHERE round < 50) GROUP BY round, j) GROUP BY round),
+  fit AS (SELECT * FROM em WHERE round = 50),
+  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 1 / (1 + exp(-({_ODDS}))) >= 0.5 AS kept FROM b, fit"""

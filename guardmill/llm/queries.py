@@ -97,7 +97,7 @@ def op9_quality_classifier(spark, sf):
     return quality_classifier.classify_documents(documents(spark, sf), labels)
 
 
-@_query()
+@_query(oracle.QUALITY_RULES)
 def op10_quality_rules(spark, sf):
     """Quality rules as weak supervision."""
     return quality_rules.judge_documents(documents(spark, sf)).drop("posterior")
