@@ -1064,18 +1064,25 @@ def replaced_nodes(spark, sf):
     return graph.put_nodes(nodes, debt).select("node_id", "classification", "department")
 
 
-@query(f"""WITH {o.GRAPH} SELECT 'nodes' AS part, count(*) AS n, count(DISTINCT node_id) AS ids FROM nodes
-  UNION ALL SELECT 'edges', count(*), count(DISTINCT s) FROM edges""")
+_GRAPH_ROWS = f"""WITH {o.GRAPH} SELECT 'node' AS part, node_id AS a, classification AS b, department AS c FROM nodes
+  UNION ALL SELECT 'edge', s, t, rel FROM edges"""
+
+
+def _graph_rows(nodes, edges):
+    return nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("a"),
+                        F.col("classification").alias("b"), F.col("department").alias("c")
+                        ).unionByName(edges.select(
+                            F.lit("edge").alias("part"), F.col("source_id").alias("a"),
+                            F.col("target_id").alias("b"),
+                            F.col("relation_type").alias("c")))
+
+
+@query(_GRAPH_ROWS)
 def graph_written_and_read(spark, sf):
+    """The graph through its two Parquet tables."""
     path = scratch_path(spark, "graph")
     write_graph(*_graph(spark, sf), path)
-    nodes, edges = load_graph(spark, path)
-
-    def summed(df, part, key):
-        return df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"),
-                      F.countDistinct(key).alias("ids"))
-
-    return summed(nodes, "nodes", "node_id").unionByName(summed(edges, "edges", "source_id"))
+    return _graph_rows(*load_graph(spark, path))
 
 
 @query("""SELECT 'event:' || event_id AS node_id, event_type AS label, CASE WHEN event_id % 2 = 0 THEN 'kind,user' ELSE 'user' END AS kept FROM events""")
@@ -1220,8 +1227,7 @@ def facts_from_objects(spark, sf):
         "fact_id", "subject", "object", "document_id", "chunk_id")
 
 
-@query(f"""WITH {o.GRAPH} SELECT 'node' AS part, node_id AS a, classification AS b, department AS c FROM nodes
-  UNION ALL SELECT 'edge', s, t, rel FROM edges""")
+@query(_GRAPH_ROWS)
 def graph_from_json(spark, sf):
     """The graph as JSON files of nodes and edges, one file per piece."""
     path = scratch_path(spark, "graph-json")
@@ -1232,13 +1238,7 @@ def graph_from_json(spark, sf):
     n = nodes.groupBy(piece).agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
     e = edges.groupBy(other).agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
     n.join(e, "piece", "full").write.partitionBy("piece").json(path)
-    nodes, edges = read_graph(spark, f"{path}/*")
-    return nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("a"),
-                        F.col("classification").alias("b"), F.col("department").alias("c")
-                        ).unionByName(edges.select(
-                            F.lit("edge").alias("part"), F.col("source_id").alias("a"),
-                            F.col("target_id").alias("b"),
-                            F.col("relation_type").alias("c")))
+    return _graph_rows(*read_graph(spark, f"{path}/*"))
 
 
 @query(f"""WITH {o.DOCS} SELECT document_id, title, classification, owner, array_to_string(allowed_roles, ',') AS allowed_roles FROM docs""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardmill.functions.text import unix_newlines
 from guardmill.operators.joins import hot_keys, spread_join
+from guardmill.operators.scratch import settled
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -42,14 +43,14 @@ def with_document_text(docs: DataFrame, folder: str, output: str = "text") -> Da
     that many rows share is salted.
     """
     spark = docs.sparkSession
-    listing = list_files(spark, folder)
+    listing = settled(list_files(spark, folder))  # a folder is listed once
     exact = listing.select(F.col("relative_path").alias("source_path"),
                            F.col("path").alias("exact_path"))
     by_name = (listing.groupBy("file_name").agg(F.min("path").alias("named_path")))
-    located = (docs.withColumn("file_name", F.substring_index("source_path", "/", -1))
-               .join(exact, "source_path", "left").join(by_name, "file_name", "left")
-               .withColumn("path", F.coalesce("exact_path", "named_path"))
-               .drop("exact_path", "named_path", "file_name"))
+    located = settled(docs.withColumn("file_name", F.substring_index("source_path", "/", -1))
+                      .join(exact, "source_path", "left").join(by_name, "file_name", "left")
+                      .withColumn("path", F.coalesce("exact_path", "named_path"))
+                      .drop("exact_path", "named_path", "file_name"))
     hot = hot_keys(located.select("path").filter(F.col("path").isNotNull()), ["path"])
     texts = file_texts(spark, folder).withColumnRenamed("text", output)
     joined = spread_join(located, texts, ["path"], "left", hot)
