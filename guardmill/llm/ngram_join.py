@@ -34,7 +34,7 @@ WORDS = 5
 #: Similarity from which two documents link, in hundredths.
 PERCENT = 75
 #: A task hands over its n-grams whenever it holds this many, or this many documents.
-BATCH_GRAMS = 2 << 20
+BATCH_GRAMS = 1 << 20
 BATCH_DOCS = 60_000
 TEXT_BYTES = 2 << 20
 #: An n-gram in so many documents of one batch is sent once for all of them.

@@ -14,6 +14,8 @@ from guardmill.operators.scratch import scratch_path, settled
 from .columns import document_text, need_columns
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory that the state stores of an executor share.
+STATE_MB = "96"
 #: A digest is hot when its group holds more than this share of the rows.
 HOT_SHARE = 0.001
 
@@ -73,8 +75,12 @@ def keep_state(stream: DataFrame, path: str) -> DataFrame:
     with _settings(spark, **{
             "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-            # many small stores: no megabytes set aside for each one's logs
-            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}):
+            # many small stores: no megabytes set aside for each one's logs, one bound on the
+            # memory of all of an executor's, and closed soon after the job
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+            "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": STATE_MB,
+            "spark.sql.streaming.stateStore.maintenanceInterval": "10s"}):
         query = (seen.writeStream.outputMode("update").foreachBatch(store)
                  .option("checkpointLocation", f"{path}/checkpoint")
                  .trigger(availableNow=True).start())
