@@ -18,7 +18,8 @@ def _with_least(edges: DataFrame) -> DataFrame:
         "a", F.least("a", "m").alias("least"),
         F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
-    return salted.join(least, ["a", "salt"]).drop("salt")
+    # the optimizer's estimate leaves the copies out, so it must not broadcast them
+    return salted.join(least.hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
