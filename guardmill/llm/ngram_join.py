@@ -16,6 +16,7 @@ of documents with a chance of about n^2 / 2^56.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ TEXT_BYTES = 2 << 20
 #: An n-gram in so many documents of one batch is sent once for all of them.
 LOCAL_HOT = 32
 _HOT_SHARE = 0.001
+#: Sets of a larger component are compared block by block.
+PAIR_BLOCK = 512
+_COLUMNS = 4096
 #: Longer posting lists are compared list block by list block.
 LIST_BLOCK = 256
 _ALL = 0xFFFF
@@ -454,6 +458,108 @@ def _few(hot: DataFrame, most: int = 100_000) -> DataFrame:
     return hot if hot.limit(most + 1).count() <= most else hot.limit(0)
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of xs shares with each set of ys."""
+    size = [len(v) for v in (*xs, *ys)]
+    row = np.repeat(np.arange(len(size)), size)
+    _, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    left = row < len(xs)
+    common = (np.bincount(at[left], minlength=len(at)) > 0) & (
+        np.bincount(at[~left], minlength=len(at)) > 0)
+    row, at = row[common[at]], (np.cumsum(common) - 1)[at[common[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    found = np.zeros((len(xs), len(ys)), dtype=np.float64)
+    last = int(at[-1]) + 1 if len(at) else 0
+    for low in range(0, last, _COLUMNS):
+        i, j = np.searchsorted(at, (low, low + _COLUMNS))
+        held = np.zeros((len(size), min(_COLUMNS, last - low)), dtype=np.float32)
+        held[row[i:j], at[i:j] - low] = 1
+        found += held[:len(xs)] @ held[len(xs):].T
+    return found.astype(np.int64)
+
+
+def _block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the table of the sets that link, of two blocks or within one."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    own, n = table.column("own").to_numpy(), table.column("n").to_numpy()
+    tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    both = overlaps([tokens[k] for k in x], [tokens[k] for k in y])
+    link = (100 + percent) * both >= percent * (n[x][:, None] + n[y][None, :])
+    p, q = np.nonzero(np.triu(link, 1) if i == j else link)
+    return x[p], y[q]
+
+
+def _blocks(classes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, i, j, own, node, n, tokens, copies: every two sets of a component share one key.
+
+    Linked sets share a component, so only sets of one component meet. A component is cut
+    into blocks of about PAIR_BLOCK sets and each pair of blocks is a key of its own: a set
+    is sent once per block of its component, not once per set.
+    """
+    parts = settled(roots.groupBy(F.col("b").alias("root")).agg(F.ceil(
+        (F.count(F.lit(1)) + 1) / PAIR_BLOCK).cast("int").alias("blocks")))
+    members = roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        parts.select(F.col("root").alias("node"), "root"))
+    hot = parts.filter("blocks > 1").select("root")
+    placed = spread_join(members, parts, ["root"], "inner", _few(hot))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (placed.join(groups.select("node", "copies"), "node").join(classes, "node")
+             .withColumn("own", own).withColumn(
+                 "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return dealt.select(
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "node", "n", "tokens", "copies")
+
+
+def linked_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: all pairs of sets that link, each once, a < b."""
+    def build(table: pa.Table) -> pa.Table:
+        x, y = _block_links(table, percent)
+        node = table.column("node").to_numpy()
+        a, b = node[x], node[y]
+        return pa.table([pa.array(np.minimum(a, b), pa.int64()),
+                         pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return blocks.groupBy("root", "i", "j").applyInArrow(build, "a long, b long")
+
+
+def class_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, links: the documents whose set is another one that links with the node's.
+
+    Links are summed where they are found, one row per set and key, so a large group's pairs
+    are not rows here.
+    """
+    def build(table: pa.Table) -> pa.Table:
+        x, y = _block_links(table, percent)
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        links = np.zeros(len(node), dtype=np.int64)
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
+        return pa.table([pa.array(node, pa.int64()), pa.array(links, pa.int64())],
+                        ["node", "links"])
+
+    found = blocks.groupBy("root", "i", "j").applyInArrow(build, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
+                     identity: str = "doc_id",
+                     text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: (documents, pairs).
+
+    Documents: the rows of `similar_documents` with `n_links`, the number of other documents
+    that link with the row's, and `node`, the class of all rows with an equal set, null where
+    nothing can link. Pairs, computed only when read: a, b of all different classes that link, each once. Two
+    documents link iff their classes are the same or a pair.
+    """
+    judged = _judged(docs, words, percent, identity, text)
+    blocks = _blocks(judged.classes, judged.groups, judged.roots)
+    return (_with_component(judged, class_links(blocks, percent)),
+            linked_pairs(blocks, percent))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                       identity: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: uid, doc_id, n_shingles, component_id.
@@ -469,12 +575,26 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     after that, all candidate pairs between sets that are still apart are compared. A pair
     inside a component is not compared again, as it can't change the result.
     """
+    return _with_component(_judged(docs, words, percent, identity, text))
+
+
+class _Judged(NamedTuple):
+    sets: DataFrame
+    groups: DataFrame
+    classes: DataFrame
+    roots: DataFrame
+
+
+_DIGEST = ["n_shingles", "digest1", "digest2"]
+
+
+def _judged(docs: DataFrame, words: int, percent: int, identity: str, text: str) -> _Judged:
+    """The documents' sets, the groups of equal sets, one set of each, their components."""
     sets = gram_sets(docs, words, percent, identity, text)
     alive = sets.filter("tokens IS NOT NULL")
-    digest = ["n_shingles", "digest1", "digest2"]
-    groups = settled(alive.groupBy(*digest).agg(F.min("uid").alias("node"),
-                                                F.min("doc_id").alias("least_id"),
-                                                F.count(F.lit(1)).alias("copies")))
+    groups = settled(alive.groupBy(*_DIGEST).agg(F.min("uid").alias("node"),
+                                                 F.min("doc_id").alias("least_id"),
+                                                 F.count(F.lit(1)).alias("copies")))
     classes = settled(alive.join(groups.select(F.col("node").alias("uid")), "uid")
                       .select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"),
                               "tokens"))
@@ -483,23 +603,31 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     more = verified(remaining_pairs(postings, roots, percent), classes, percent)
     if more.head(1):
         roots = components(roots.unionByName(more))
-    return _with_component(sets, groups, roots, digest)
+    return _Judged(sets, groups, classes, roots)
 
 
-def _with_component(sets: DataFrame, groups: DataFrame, roots: DataFrame,
-                    digest: list[str]) -> DataFrame:
-    rooted = groups.join(roots.withColumnRenamed("a", "node"), "node", "left").select(
-        *digest, "least_id", "copies", F.coalesce("b", "node").alias("root"))
+def _with_component(judged: _Judged, links: DataFrame | None = None) -> DataFrame:
+    rooted = judged.groups.join(
+        judged.roots.withColumnRenamed("a", "node"), "node", "left").select(
+        *_DIGEST, "node", "least_id", "copies", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = settled(rooted.join(least, "root").select(*digest, "component_id", "copies"))
+    more = []
+    if links is not None:
+        rooted = rooted.join(links, "node", "left").withColumn(
+            "n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        more = ["n_links", "node"]
+    found = settled(rooted.join(least, "root").select(*_DIGEST, "component_id", "copies",
+                                                      *more))
     total = found.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    hot = found.filter(F.col("copies") > max(64.0, total * _HOT_SHARE)).select(*digest)
+    hot = found.filter(F.col("copies") > max(64.0, total * _HOT_SHARE)).select(*_DIGEST)
     member = F.col("tokens").isNotNull()
-    joined = spread_join(sets.filter(member).drop("tokens"), found.drop("copies"), digest,
-                         "inner", hot)
-    alone = sets.filter(~member).select(
-        "uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.select("uid", "doc_id", "n_shingles", "component_id").unionByName(alone)
+    joined = spread_join(judged.sets.filter(member).drop("tokens"), found.drop("copies"),
+                         _DIGEST, "inner", hot)
+    columns = ["uid", "doc_id", "n_shingles", "component_id", *more]
+    alone = judged.sets.filter(~member).withColumns({
+        "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"),
+        "node": F.lit(None).cast("long")})
+    return joined.select(*columns).unionByName(alone.select(*columns))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,

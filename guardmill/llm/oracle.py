@@ -37,6 +37,14 @@ NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(_FOLD)} AS w FROM d
   SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, COALESCE(c.least, d.doc_id) AS component_id
   FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
 
+#: The same links, and how many a document has.
+NGRAM_LINKS = NGRAM_JOIN[:NGRAM_JOIN.rindex("  SELECT")].rstrip() + """,
+  k AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+  SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, COALESCE(c.least, d.doc_id) AS component_id,
+    COALESCE(k.n_links, 0) AS n_links
+  FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+  LEFT JOIN k ON k.a = d.doc_id"""
+
 SUBSTRING_DEDUP = f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents),
   k AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM w WHERE len(w) >= 50),
   h AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM k),

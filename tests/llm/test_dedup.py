@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import EXTRA, components, edge_rows, edited, frame, prose, without_repeats
+from brute import (EXTRA, components, edge_rows, edited, frame, grams, prose,
+                   without_repeats)
 
 from guardmill.llm import components as cc
 from guardmill.llm import ngram_join, stream_dedup, substring_dedup, wordhash
@@ -93,6 +94,36 @@ def test_similar_documents_in_large_groups(spark, monkeypatch):
     assert {r.doc_id for r in stay.collect()} == {c for _, _, c in components(rows)}
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "PAIR_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 100)
+    rows = edge_rows() + near_rows()
+    sets = [grams(r[1]) for r in rows]
+
+    def link(x, y):
+        return x and 100 * len(x & y) >= 75 * len(x | y)
+
+    found, pairs = ngram_join.linked_documents(frame(spark, rows, True))
+    assert counted(found, "doc_id", "n_shingles", "n_links") == Counter(
+        (r[0], len(x), sum(bool(link(x, y)) for y in sets) - bool(x))
+        for r, x in zip(rows, sets, strict=True))
+    assert counted(found, "doc_id", "n_shingles", "component_id") == components(rows)
+    # classes are the different sets; of those that link every pair is there, once
+    classes = list({x for x in sets if x})
+    want = sum(bool(link(x, y)) for i, x in enumerate(classes) for y in classes[:i])
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == want and all(a < b for a, b in got)
+    # copies at a class count one by one
+    node = {r.node: r for r in found.filter("node IS NOT NULL").collect()}
+    copies = Counter(r.node for r in found.collect())
+    links = Counter()
+    for a, b in got:
+        links[a] += copies[b]
+        links[b] += copies[a]
+    assert all(r.n_links == links[n] + copies[n] - 1 for n, r in node.items())
+
+
 def test_overlap_bounds():
     chance = np.random.default_rng(0)
     for _ in range(200):
@@ -174,5 +205,6 @@ def test_empty_tables(spark):
     empty = frame(spark, [], True)
     assert stream_dedup.dedup_documents(empty).count() == 0
     assert ngram_join.similar_documents(empty).count() == 0
+    assert [df.count() for df in ngram_join.linked_documents(empty)] == [0, 0]
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert len(EXTRA) > 10
