@@ -1,5 +1,6 @@
 """Sharding, mixing, the classifier, the rules and the pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -90,6 +91,41 @@ def test_mix_of_nothing(spark):
             ] == [0, 0]
 
 
+def test_mix_of_a_large_input_takes_small_sources(spark):
+    """Above 2^20 words a small source is still taken up to its target."""
+    filler = " ".join(["w"] * 100_000)
+    rows = [(i, filler, None, "a", 0) for i in range(60)]
+    rows += [(100, prose(1, 3), None, "b", 0), (101, prose(2, 13), None, "c", 0)]
+    found = {r.doc_id: r for r in mixed(spark, rows)}
+    for i, size in ((100, 3), (101, 13)):
+        assert found[i].target == 3.0 * size
+        assert abs(found[i].taken - 3 * size) <= 3, found[i]
+    got = mixing.mixed_documents(frame(spark, rows, True))
+    assert got.filter("doc_id >= 100").count() >= 4
+
+
+def test_source_words_count_the_slots(spark):
+    sizes = {"a": 700, "b": 3, "c": 0, "d": 150, "e": 40}
+    goals = {"a": 500.5, "b": 9.0, "c": 0.0, "d": 263.5, "e": 120.0}
+    table = spark.createDataFrame([("s" + k, sizes[k], goals[k]) for k in sizes],
+                                  "skey string, source_size long, target double")
+    for slots in (0, 1, 893, 100_000):
+        want, low, total = {}, 0, sum(goals.values())
+        points = [(i * mixing.GOLDEN + (1 << 31)) % (1 << 32) for i in range(slots)]
+        for k in sizes:
+            high = low + goals[k]
+            since, until = (math.ceil(v / total * 2 ** 32) for v in (low, high))
+            want["s" + k] = min(3 * sizes[k], sum(since <= p < until for p in points))
+            low = high
+        got = mixing.source_words(table, slots)
+        assert {r.skey: r.words for r in got.collect()} == want, slots
+    # beyond 2^32 slots, and their error does not grow with them
+    slots = 5 * 10 ** 12
+    got = mixing.source_words(table.withColumn("source_size", F.lit(slots)), slots).collect()
+    assert sum(r.words for r in got) == slots
+    assert all(abs(r.words - slots * goals[r.skey[1]] / total) < 100 for r in got)
+
+
 def test_mixed_rows(spark):
     rows = [(i, prose(i, 50), None, "big" if i < 90 else "small", 0) for i in range(100)]
     docs = frame(spark, rows, True)
