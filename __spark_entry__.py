@@ -1203,15 +1203,43 @@ def gold_pipeline(spark, sf):
                 F.col("object").alias("detail"))))
 
 
+#: Rows of one JSON file, on average; a file is one row of one task when it is read.
+_FILE_ROWS = 50_000
+_OBJECTS = 10_000
+
+
+def _pieces(rows: int) -> int:
+    return max(1, -(-rows // _FILE_ROWS))
+
+
+def _write_users(user, path):
+    """JSON arrays of users below their department, one to a file."""
+    piece = F.pmod(F.xxhash64("user_id"), F.lit(_pieces(user.count()))).alias("piece")
+    listed = user.groupBy("department", piece).agg(
+        F.to_json(F.collect_list(F.struct(*user.columns))).alias("value"))
+    (listed.select("department", "value").write.option("maxRecordsPerFile", 1)
+     .partitionBy("department").text(path))
+
+
+def _write_graph(nodes, edges, path):
+    """JSON objects of nodes and edges, one to a file."""
+    pieces = F.lit(_pieces(max(nodes.count(), edges.count())))
+    nodes = nodes.select(*table_schema("graph_nodes").names)
+    piece = F.pmod(F.xxhash64("node_id"), pieces).alias("piece")
+    # by the whole edge: a source may have any number of them
+    other = F.pmod(F.xxhash64(*edges.columns), pieces).alias("piece")
+    n = nodes.groupBy(piece).agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
+    e = edges.groupBy(other).agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
+    n.join(e, "piece", "full").write.partitionBy("piece").json(path)
+
+
 @query(f"""WITH {o.USERS} SELECT p.user_id, c.c_name AS name, p.role, p.department, p.clearance_level
   FROM people p JOIN customer c ON c.c_custkey::VARCHAR = p.user_id""")
 def users_from_json(spark, sf):
-    """customers as JSON arrays of users, one file per nation, with passwords to drop."""
+    """customers as JSON arrays of users, files per nation, with passwords to drop."""
     path = scratch_path(spark, "users")
     user = w.users(spark, sf).withColumn("password", F.lit("secret"))
-    listed = user.groupBy("department").agg(
-        F.to_json(F.collect_list(F.struct(*user.columns))).alias("value"))
-    listed.select("department", "value").write.partitionBy("department").text(path)
+    _write_users(user, path)
     return read_users(spark, f"{path}/*").select(
         "user_id", "name", "role", "department", "clearance_level")
 
@@ -1222,7 +1250,8 @@ def facts_from_objects(spark, sf):
     path = scratch_path(spark, "objects")
     found = pipeline.document_facts(w.incident_catalogue(spark, sf), w.STAMP)
     row = F.to_json(F.struct(*found.columns), {"pretty": "true"})
-    found.select(row.alias("value")).write.text(path)
+    (found.select(row.alias("value")).write.option("maxRecordsPerFile", _OBJECTS)
+     .text(path))
     return read_facts(spark, path, layout="objects").select(
         "fact_id", "subject", "object", "document_id", "chunk_id")
 
@@ -1231,13 +1260,7 @@ def facts_from_objects(spark, sf):
 def graph_from_json(spark, sf):
     """The graph as JSON files of nodes and edges, one file per piece."""
     path = scratch_path(spark, "graph-json")
-    nodes, edges = _graph(spark, sf)
-    nodes = nodes.select(*table_schema("graph_nodes").names)
-    piece = F.pmod(F.xxhash64(F.col("node_id")), F.lit(8)).alias("piece")
-    other = F.pmod(F.xxhash64(F.col("source_id")), F.lit(8)).alias("piece")
-    n = nodes.groupBy(piece).agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
-    e = edges.groupBy(other).agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
-    n.join(e, "piece", "full").write.partitionBy("piece").json(path)
+    _write_graph(*_graph(spark, sf), path)
     return _graph_rows(*read_graph(spark, f"{path}/*"))
 
 
