@@ -197,3 +197,34 @@ QUALITY_RULES = f"""WITH RECURSIVE t AS (SELECT doc_id, COALESCE(text, '') AS t,
   b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND 1 / (1 + exp(-({_ODDS}))) >= 0.5 AS kept FROM b, fit"""
+
+
+_USABLE = ("embedding IS NOT NULL AND len(list_filter(embedding, "
+           "lambda c: c IS NULL OR NOT isfinite(c))) = 0")
+_DOT = "list_reduce(list_prepend(0::HUGEINT, list_transform(list_zip({a}, {b}), " \
+       "lambda z: z[1]::HUGEINT * z[2])), lambda s, z: s + z)::BIGINT"
+
+EXACT_TOPK = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda c:
+      CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {_USABLE}),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT.format(a='q.x', b='c.x')} AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+HARD_NEGATIVES = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda c:
+      CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x,
+      CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+      {_DOT.format(a='a.x', b='c.x')} AS score
+    FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id IS DISTINCT FROM c.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+      CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+        ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT s.same
+      AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+  FROM n WHERE rank <= 3"""

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from guardmill.operators.scratch import scratch_path
 from guardmill.shipping import prepare_session
 
-from . import mixing, ngram_join, oracle, packing, quality_classifier, quality_rules
-from . import sharding, stream_dedup, substring_dedup, token_files, warc
+from . import exact_topk, hard_negatives, mixing, ngram_join, oracle, packing
+from . import quality_classifier, quality_rules, sharding, stream_dedup, substring_dedup
+from . import token_files, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +38,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet")
+
+
 @_query(oracle.NGRAM_JOIN)
 def op1_ngram_join(spark, sf):
     """Components of documents that share three quarters of their word 5-grams."""
@@ -101,3 +107,24 @@ def op9_quality_classifier(spark, sf):
 def op10_quality_rules(spark, sf):
     """Quality rules as weak supervision."""
     return quality_rules.judge_documents(documents(spark, sf)).drop("posterior")
+
+
+@_query(oracle.HARD_NEGATIVES)
+def op11_hard_negatives(spark, sf):
+    """Hard negatives per positive of every anchor; some labels are changed first."""
+    found = F.col("vec_id")
+    label = F.when(found % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(embeddings(spark, sf), found % 50 == 0, label)
+
+
+@_query()
+def op12_whitening(spark, sf):
+    """All embeddings on the 32 strongest whitened components."""
+    found = whitening.whiten_vectors(embeddings(spark, sf))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@_query(oracle.EXACT_TOPK)
+def op13_exact_topk(spark, sf):
+    """The ten best rows for every hundredth one."""
+    return exact_topk.nearest_rows(embeddings(spark, sf), F.col("vec_id") % 100 == 0)
