@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ TEXT_BYTES = 2 << 20
 #: An anchor is hot with more than this share of all anchors; at most 1 / share can be.
 HOT_SHARE = 1e-5
 HOT_LEAST = 64
+#: Families of hashes tried, should windows of different words meet.
+ATTEMPTS = 5
+#: Bits of a word's hash in the first family.
+WORD_BITS = 64
 #: Rows of the sorted anchors that are compared together, cut between anchors.
 SLICE_ROWS = 200_000
 
@@ -43,6 +48,17 @@ _RUN = ["doc", "mark", "pos", "n", "src", "src_mark", "src_pos"]
 _CLAIM = "struct<src:bigint,src_mark:int,src_pos:int,n:int,digest:binary>"
 
 
+class Family(NamedTuple):
+    """How words are hashed: `strong` as in wordhash, and the bits that are kept."""
+
+    strong: int = 0
+    bits: int = 64
+
+
+def _family(attempt: int) -> Family:
+    return Family(attempt) if attempt else Family(0, WORD_BITS)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of every `width` values in a row."""
     least, span = values, 1
@@ -56,8 +72,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """All windows of some texts: text, place, anchor and hash."""
 
-    def __init__(self, texts: list[bytes], words: int, anchor: int):
-        hashes, bounds = wordhash.hash_texts(texts)
+    def __init__(self, texts: list[bytes], words: int, anchor: int, family: Family = Family()):
+        hashes, bounds = wordhash.hash_texts(texts, strong=family.strong)
+        hashes >>= np.uint64(64 - family.bits)
         starts, self.owner = wordhash.window_starts(bounds, words)
         self.pos = starts - bounds[:-1][self.owner]
         if not len(starts):
@@ -104,14 +121,14 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, ...]]:
         yield held
 
 
-def hot_anchors(texts: DataFrame, words: int, anchor: int) -> np.ndarray:
+def hot_anchors(texts: DataFrame, words: int, anchor: int, family: Family = Family()) -> np.ndarray:
     """Anchors with more than HOT_SHARE of all: sorted, at most 1 / HOT_SHARE numbers."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
             found: list[np.ndarray] = []
             for _, _, bodies in _portions(batch):
-                windows = Windows(bodies, words, anchor)
+                windows = Windows(bodies, words, anchor, family)
                 first, _ = windows.runs(np.ones(len(windows.pos), dtype=bool))
                 found.append(windows.anchor[first])
             keys, times = np.unique(np.concatenate([np.empty(0, np.uint64), *found]),
@@ -132,7 +149,8 @@ def hot_anchors(texts: DataFrame, words: int, anchor: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in hot], dtype=np.int64)).view(np.uint64)
 
 
-def window_rows(texts: DataFrame, hot: np.ndarray, words: int, anchor: int) -> DataFrame:
+def window_rows(texts: DataFrame, hot: np.ndarray, words: int, anchor: int,
+                family: Family = Family()) -> DataFrame:
     """One row per run of windows with one anchor; see the module's text.
 
     Windows of hot anchors are rows of their own under their own hash, so passages around a
@@ -145,7 +163,7 @@ def window_rows(texts: DataFrame, hot: np.ndarray, words: int, anchor: int) -> D
         hot = shared.value
         for batch in batches:
             for docs, marks, bodies in _portions(batch):
-                windows = Windows(bodies, words, anchor)
+                windows = Windows(bodies, words, anchor, family)
                 doc = np.array(docs, dtype=np.int64)[windows.owner]
                 mark = np.array(marks, dtype=np.int32)[windows.owner]
                 is_hot = np.zeros(len(doc), dtype=bool)
@@ -259,11 +277,13 @@ def _run_batch(columns: tuple) -> pa.RecordBatch:
 
 
 def repeated_runs(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR,
-                  identity: str = "doc_id", text: str = "text") -> DataFrame:
+                  identity: str = "doc_id", text: str = "text",
+                  family: Family = Family()) -> DataFrame:
     """doc, mark, pos, n, src, src_mark, src_pos: n windows from `pos` on also start, one
     after the other, at `src_pos` of a document with a lesser id."""
     texts = _texts(docs, identity, text)
-    rows = window_rows(texts, hot_anchors(texts, words, anchor), words, anchor)
+    hot = hot_anchors(texts, words, anchor, family)
+    rows = window_rows(texts, hot, words, anchor, family)
     met = rows.repartition("key").sortWithinPartitions("key", "doc")
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,11 +389,31 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR,
     columns are not read.
 
     Every path is compared with the words at its source. Windows meet by 64-bit hashes (48
-    within an anchor), so a difference is next to impossible; it ends the job with an error
-    and nothing is removed in error.
+    within an anchor), so a difference is next to impossible. Where there is one, all windows
+    are found again with other hashes, of words by BLAKE2b, and compared again, so nothing is
+    removed in error and no source is missed behind a wrong one.
     """
     need_columns(docs, identity, text)
-    paths = settled(compact_paths(repeated_runs(docs, words, anchor, identity, text)))
+    for attempt in range(ATTEMPTS):
+        done = _cut_documents(docs, words, anchor, identity, text, keep_text,
+                              _family(attempt))
+        if not _wrong_sources(done):
+            break
+    else:
+        raise ValueError(f"windows met other ones under {ATTEMPTS} families of hashes")
+    named = [F.col("doc").alias(identity), "n_words", "n_removed", "kept_sha256"]
+    if keep_text:
+        named += ["kept_text", F.transform("claims", lambda c: F.struct(
+            c["src"].alias("source"), c["src_pos"].alias("source_word"),
+            (c["n"] + (words - 1)).alias("n_words"))).alias("spans")]
+    return done.select(*named)
+
+
+def _cut_documents(docs: DataFrame, words: int, anchor: int, identity: str, text: str,
+                   keep_text: bool, family: Family) -> DataFrame:
+    """Every document cut, with a digest of each path and of the words at its source."""
+    paths = settled(compact_paths(
+        repeated_runs(docs, words, anchor, identity, text, family)))
     spans = paths.groupBy("doc", "mark").agg(F.collect_list(
         F.struct("pos", "n", "src", "src_mark", "src_pos")).alias("spans"))
     asked = (paths.select("src", "src_mark", "src_pos", "n").distinct()
@@ -404,14 +444,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR,
                     ["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "claims",
                      "truths"])
 
-    done = settled(joined.mapInArrow(cut, schema))
-    _check_sources(done)
-    named = [F.col("doc").alias(identity), "n_words", "n_removed", "kept_sha256"]
-    if keep_text:
-        named += ["kept_text", F.transform("claims", lambda c: F.struct(
-            c["src"].alias("source"), c["src_pos"].alias("source_word"),
-            (c["n"] + (words - 1)).alias("n_words"))).alias("spans")]
-    return done.select(*named)
+    return settled(joined.mapInArrow(cut, schema))
 
 
 def _cut_row(row: dict, words: int, keep_text: bool) -> tuple:
@@ -436,11 +469,11 @@ def _cut_row(row: dict, words: int, keep_text: bool) -> tuple:
             kept.decode("utf-8") if keep_text else None, claims, truths)
 
 
-def _check_sources(done: DataFrame) -> None:
+def _wrong_sources(done: DataFrame) -> bool:
+    """Whether a path's words differ from those at its source."""
     key = ["src", "src_mark", "src_pos", "n"]
     claims = done.select(F.explode("claims").alias("c")).select("c.*").distinct()
     truths = done.select(F.explode("truths").alias("t")).select("t.*").distinct()
     wrong = claims.join(truths.withColumnRenamed("digest", "truth"), key, "left").filter(
         ~F.col("digest").eqNullSafe(F.col("truth")))
-    if wrong.head(1):
-        raise ValueError("a window's hash met that of another text")
+    return bool(wrong.head(1))

@@ -208,3 +208,63 @@ def test_empty_tables(spark):
     assert [df.count() for df in ngram_join.linked_documents(empty)] == [0, 0]
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert len(EXTRA) > 10
+
+
+def swapped_words(letters="ab", times=10):
+    """A word of 1,024 letters that swaps and repeats itself, and it with letters swapped."""
+    word = letters[0]
+    for _ in range(times):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_that_swap_and_repeat_themselves(spark):
+    one, other = swapped_words()
+    for times in range(1, 12):
+        a, b = (w.encode() for w in swapped_words("ab", times))
+        assert wordhash.hash_words(a)[0][0] != wordhash.hash_words(b)[0][0]
+    tail = prose(70, 60)
+    rows = [(1, one, None, None, 0), (2, other, None, None, 0),
+            (3, f"{one} {tail}", None, None, 0), (4, f"{other} {tail}", None, None, 0),
+            (5, " ".join([one] * 60), None, None, 0), (6, " ".join([other] * 60), None, None, 0)]
+    found = ngram_join.similar_documents(frame(spark, rows))
+    assert counted(found, "doc_id", "n_shingles", "component_id") == components(rows)
+    cut = substring_dedup.remove_repeats(frame(spark, rows))
+    assert counted(cut, "doc_id", "n_words", "n_removed", "kept_sha256") == \
+        without_repeats(rows)
+
+
+def test_word_hashes_by_length():
+    words = [bytes([97 + (i * j) % 23 for j in range(1, n + 1)])
+             for n in (1, 7, 8, 9, 16, 17, 255, 256, 257, 3000) for i in range(1, 20)]
+    for strong in (0, 1, 2):
+        hashes, places = wordhash.hash_words(b"\n ".join(words), strong=strong)
+        assert len(hashes) == len(words) and places[1] == 3
+        assert len(set(hashes.tolist())) == len(set(words))
+        alone = [int(wordhash.hash_words(b" " * (i % 9) + w, strong=strong)[0][0])
+                 for i, w in enumerate(words)]
+        assert hashes.tolist() == alone
+    assert wordhash.hash_words(b"ab")[0] != wordhash.hash_words(b"ab", strong=1)[0]
+    assert wordhash.hash_words(b"ab", strong=1)[0] != wordhash.hash_words(b"ab", strong=2)[0]
+
+
+def test_repeats_where_hashes_collide_often(spark, monkeypatch):
+    """Windows that meet others by their hash cost a second pass and no wrong result."""
+    tried = []
+    monkeypatch.setattr(substring_dedup, "WORD_BITS", 1)
+    inside = substring_dedup._wrong_sources
+    monkeypatch.setattr(substring_dedup, "_wrong_sources",
+                        lambda done: tried.append(inside(done)) or tried[-1])
+    passage = prose(80, 70)
+    rows = [(i, f"{prose(90 + i, 40)} {passage} {prose(95 + i, 30)}", None, None, 0)
+            for i in range(5)]
+    rows += [(10 + i, " ".join(["x y"[2 * (i % 2)]] * 55 + [prose(i, 1)]), None, None, 0)
+             for i in range(6)]
+    rows += [(20, " ".join(["p", "q"] * 60), None, None, 0),
+             (21, " ".join(["r", "s"] * 60), None, None, 0),
+             (22, " ".join(["t", "u"] * 60), None, None, 0),
+             (23, " ".join(["r", "s"] * 60), None, None, 0)]
+    cut = substring_dedup.remove_repeats(frame(spark, rows))
+    assert counted(cut, "doc_id", "n_words", "n_removed", "kept_sha256") == \
+        without_repeats(rows)
+    assert tried == [True, False]
