@@ -26,7 +26,7 @@ GENERATIONS = 12
 ROUNDS = 3
 #: Share of a parent's bins, the fullest, that a crossover injects at most.
 INJECTED = 0.5
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 4 << 20
 
 _PIECES = ("uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 _STATE = ("block long, island int, uids binary, lengths binary, people binary, bins int, "

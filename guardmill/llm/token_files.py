@@ -31,7 +31,7 @@ MAGIC = b"S8BTOK01"
 BLOCK = 8192
 #: A file is closed after the document that brings it over this many ids.
 FILE_IDS = 64 << 20
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 4 << 20
 _COUNTS = struct.Struct("<III")
 _INDEX = struct.Struct("<QQQQ")
 _FILES = "part long, file string, docs long, ids long, bytes long"

@@ -2,28 +2,49 @@
 
 A tokenizer that cuts a text at white space before anything else gives the ids of a text as
 the ids of its pieces, one after the other. Texts repeat their words, so each piece is
-encoded by the tokenizers library once and then looked up.
+encoded by the tokenizers library once and then looked up, whole batches at a time in Arrow.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import compress, count, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The cache is emptied when it holds more than this.
-CACHE_PIECES = 1_000_000
-CACHE_BYTES = 48 << 20
+#: The cache keeps no more than this, but for the pieces of the texts at hand. Bytes are
+#: those of the characters, ids and PIECE_BYTES for the rest of an entry (measured: a string's
+#: head, its number, its place in the table and in the array of ends).
+CACHE_PIECES = 300_000
+CACHE_BYTES = 56 << 20
+PIECE_BYTES = 160
 #: New pieces are encoded together, so many to a text.
 TOGETHER = 256
 
 #: A space as byte-level vocabularies write it.
 SPACE = "\u0120"
+#: The pattern of the word vocabulary whose parts are known here.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MID_RUN = re.compile(r"\s (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
+# Visible ASCII and the letters from U+00C0 to U+00FF: one code point each in NFC, lower case
+# letter by letter. Within this alphabet, for byte-level vocabularies with line feeds, the two
+# patterns are these.
+_LETTERS = "\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_LOWER = "\u00DF-\u00F6\u00F8-\u00FF"
+_PLAIN = re.compile(f"[!-@\\[-~{_LOWER}]+")
+_SPACED = re.compile(f" ?[\n!-~{_LETTERS}]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PLAIN_PARTS = re.compile(f"{_ENDINGS}|[a-z{_LOWER}]+|[0-9]|[^a-z0-9{_LOWER}]+")
+_SPACED_PARTS = re.compile(
+    f"{_ENDINGS}| ?[A-Za-z{_LETTERS}]+| ?[0-9]+| ?[^\\sA-Za-z0-9{_LETTERS}]+"
+    r"|\s+(?!\S)|\s+")
 _loaded: dict[str, PieceTokenizer] = {}
 
 
@@ -35,7 +56,11 @@ def load(path: str) -> PieceTokenizer:
 
 
 class PieceTokenizer:
-    """Ids as `tokenizers` gives them for the whole text without special tokens added."""
+    """Ids as `tokenizers` gives them for the whole text without special tokens added.
+
+    Known pieces are numbers into flat arrays of ids. When there are too many, only those of
+    the texts at hand stay.
+    """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES,
                  cache_bytes: int = CACHE_BYTES):
@@ -57,41 +82,167 @@ class PieceTokenizer:
         for token, i in vocabulary.items():
             self._edge[i] = (bool(suffix) and token.endswith(suffix) if self._between
                              else token.startswith(SPACE))
-        self._cache: dict[str | bytes, bytes] = {}
-        self._held, self._pieces, self._bytes = 0, cache_pieces, cache_bytes
+        self._simple = _simple_parts(spec)
+        self._as_bytes = _byte_letters()
+        self._pieces, self._bytes = cache_pieces, cache_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self._cache: dict[str, int] = {}
+        self._held = 0
+        self._ids = np.empty(0, dtype=np.uint32)
+        self._ends = np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids per text."""
         if self._cut is None:
             return [np.array(e.ids, dtype=np.uint32) for e in self._whole(texts)]
-        cut, whole = [], {}
+        out: list[np.ndarray | None] = [None] * len(texts)
+        by_arrow, by_hand = [], []
         for i, text in enumerate(texts):
             if any(s in text for s in self._special):  # the library finds these anywhere
-                cut.append(())
-                whole[i] = np.array(self._whole([text])[0].ids, dtype=np.uint32)
+                out[i] = np.array(self._whole([text])[0].ids, dtype=np.uint32)
+            elif not self._between and _MID_RUN.search(text):
+                by_hand.append(i)
             else:
-                cut.append(self._cut(text))
-        wanted = set().union(*cut) if cut else set()
-        missing = wanted.difference(self._cache)
+                by_arrow.append(i)
+        keys, codes, bounds = self._split([texts[i] for i in by_arrow])
+        for i in by_hand:
+            pieces = self._cut(texts[i])
+            codes.append(np.arange(len(keys), len(keys) + len(pieces)))
+            bounds.append(len(pieces))
+            keys += pieces
+        entries = self._entries(keys)[np.concatenate([np.empty(0, np.int64), *codes])]
+        for i, ids in zip([*by_arrow, *by_hand], self._gather(entries, bounds), strict=True):
+            out[i] = ids
+        return out
+
+    def _split(self, texts: list[str]) -> tuple[list[str], list[np.ndarray], list[int]]:
+        """Different pieces, the pieces of all texts as places among them, and how many each
+        text has."""
+        column = pa.array(texts, pa.large_string())
+        if self._simple and self._simple[2]:  # all letters are lower-cased later on
+            column = pc.ascii_lower(column)
+        lists = (pc.ascii_split_whitespace(column) if self._between
+                 else pc.split_pattern(column, " "))
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        if self._between:
+            listed = flat.dictionary_encode()
+            return (_strings(listed.dictionary), [_places(listed)], counts.tolist())
+        # every piece but a text's first stands behind a space
+        first = np.zeros(len(flat), dtype=bool)
+        first[(np.cumsum(counts) - counts)] = True
+        listed = flat.filter(pa.array(~first)).dictionary_encode()
+        keys = [" " + piece for piece in _strings(listed.dictionary)]
+        codes = np.empty(len(flat), dtype=np.int64)
+        codes[~first] = _places(listed)
+        codes[first] = np.arange(len(keys), len(keys) + len(counts))
+        keys += _strings(flat.filter(pa.array(first)))
+        return keys, [codes], counts.tolist()
+
+    def _entries(self, keys: list[str]) -> np.ndarray:
+        """Numbers of the pieces; new ones are learnt."""
+        found = self._numbers(keys)
+        missing = np.flatnonzero(found < 0).tolist()
+        if not missing:
+            return found
         if len(self._cache) + len(missing) > self._pieces or self._held > self._bytes:
-            self._cache, self._held, missing = {}, 0, wanted
-        if missing:
-            self._learn(list(missing))
-        get = self._cache.__getitem__
-        return [whole[i] if i in whole else
-                np.frombuffer(b"".join(map(get, pieces)), dtype="<u4")
-                for i, pieces in enumerate(cut)]
+            kept, at = np.unique(found[found >= 0], return_index=True)
+            names = [keys[i] for i in np.flatnonzero(found >= 0)[at].tolist()]
+            ids, lengths = self._joined(kept)
+            self._clear()
+            self._add(names, ids, np.cumsum(lengths))
+            found = self._numbers(keys)
+        new = [keys[i] for i in missing]
+        self._learn(list(dict.fromkeys(new)))
+        found[missing] = self._numbers(new)
+        return found
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Number of each piece in the cache, -1 for unknown ones."""
+        return np.fromiter(map(self._cache.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New pieces with all their ids one after the other, and where each one's end."""
+        self._cache.update(zip(pieces, count(len(self._cache))))
+        self._ends = np.concatenate([self._ends, self._ends[-1] + ends])
+        self._ids = np.concatenate([self._ids, ids.astype(np.uint32)])
+        self._held += sum(map(len, pieces)) + len(pieces) * PIECE_BYTES + 4 * len(ids)
+
+    def _joined(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all entries one after the other, and their numbers."""
+        starts = self._ends[entries]
+        lengths = self._ends[entries + 1] - starts
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._ids[np.repeat(starts - (ends - lengths), lengths)
+                         + np.arange(total)], lengths
+
+    def _gather(self, entries: np.ndarray, counts: list[int]) -> list[np.ndarray]:
+        """The ids of each text, from the entries of its pieces."""
+        ids, lengths = self._joined(entries)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        cuts = before[np.cumsum([0, *counts])]
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _whole(self, texts: Sequence[str]):
         return self._tokenizer.encode_batch(list(texts), add_special_tokens=False)
 
-    def _learn(self, pieces: list[str | bytes]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces of common letters by their parts, others side by side in short texts."""
+        others = pieces
+        if self._simple:
+            alphabet, parts, _ = self._simple
+            plain = [alphabet(p) is not None for p in pieces]
+            self._learn_parts(list(compress(pieces, plain)), parts)
+            others = [p for p, s in zip(pieces, plain, strict=True)
+                      if not s and p not in self._cache]
+        if others:
+            found: dict[str, np.ndarray] = {}
+            self._learn_together(others, found)
+            self._add(list(found), np.concatenate(list(found.values())),
+                      np.cumsum([len(i) for i in found.values()]))
+
+    def _learn_parts(self, pieces: list[str], parts: Callable) -> None:
+        """Cuts pieces as the tokenizer does and has its model encode the new parts. A part
+        is a piece of its own."""
+        model, letters, cache = self._tokenizer.model.tokenize, self._as_bytes, self._cache
+        # one flat list: a list per piece would keep the collector of garbage busy
+        ids: list[int] = []
+        ends, new = [0], {}
+        for piece in pieces:
+            if piece in new:
+                continue
+            found = parts(piece)
+            for part in found:
+                if part in cache or part in new:
+                    continue
+                written = part
+                if not (part.isascii() and part.isalnum()):
+                    written = (SPACE + part[1:] if part[0] == " " and part.isascii()
+                               and "\n" not in part else part.translate(letters))
+                ids += [t.id for t in model(written)]
+                new[part] = len(new)
+                ends.append(len(ids))
+            if len(found) > 1:
+                for part in found:
+                    at = new.get(part)
+                    if at is not None:
+                        ids += ids[ends[at]:ends[at + 1]]
+                    else:
+                        at = cache[part]
+                        ids += self._ids[self._ends[at]:self._ends[at + 1]].tolist()
+                new[piece] = len(new)
+                ends.append(len(ids))
+        self._add(list(new), np.array(ids, dtype=np.uint32), np.array(ends[1:], np.int64))
+
+    def _learn_together(self, plain: list[str], found: dict[str, np.ndarray]) -> None:
         """Encodes pieces, as many as may stand side by side in one text.
 
         A piece may follow any other if there is a border before it: after a blank, or where
         a space and a character open it.
         """
-        plain = [p.decode("utf-8") if isinstance(p, bytes) else p for p in pieces]
         joins = [bool(self._between) or (p[:1] == " " and not p[1:2].isspace()
                                          and len(p) > 1) for p in plain]
         words = [j and _is_word(p if self._between else p[1:])
@@ -107,28 +258,29 @@ class PieceTokenizer:
                 texts = [self._between.join([plain[i] for i in g]) for g in groups]
                 encoded = encode(texts, add_special_tokens=False)
                 for group, one in zip(groups, encoded, strict=True):
-                    share(group, pieces, plain, one)
+                    share(group, plain, one, found)
         alone = [i for i, j in enumerate(joins) if not j]
         for at in range(0, len(alone), 4096):
             part = alone[at:at + 4096]
             for i, encoded in zip(part, self._whole([plain[i] for i in part]), strict=True):
-                self._keep(pieces[i], np.array(encoded.ids, dtype="<u4").tobytes())
+                found[plain[i]] = np.array(encoded.ids, dtype=np.uint32)
 
-    def _share_words(self, group: list[int], pieces: list, plain: list[str],
-                     encoded) -> None:
+    def _share_words(self, group: list[int], plain: list[str], encoded,
+                     found: dict[str, np.ndarray]) -> None:
         """The same for pieces of one word each, by the ids that open or close a word."""
         ids = np.array(encoded.ids, dtype="<u4")
         edges = np.flatnonzero(self._edge[ids])
         if len(edges) != len(group):
             joined = self._between.join([plain[i] for i in group])
-            return self._share(group, pieces, plain, self._whole([joined])[0])
+            return self._share(group, plain, self._whole([joined])[0], found)
         ends = (edges + 1 if self._between else np.append(edges[1:], len(ids))).tolist()
         start = 0
         for i, end in zip(group, ends, strict=True):
-            self._keep(pieces[i], ids[start:end].tobytes())
+            found[plain[i]] = ids[start:end]
             start = end
 
-    def _share(self, group: list[int], pieces: list, plain: list[str], encoded) -> None:
+    def _share(self, group: list[int], plain: list[str], encoded,
+               found: dict[str, np.ndarray]) -> None:
         """Gives the ids of a joined text to the pieces in which they begin."""
         ids = np.array(encoded.ids, dtype="<u4")
         begins = np.array([o[0] for o in encoded.offsets], dtype=np.int64)
@@ -136,12 +288,16 @@ class PieceTokenizer:
         ends = np.searchsorted(begins, np.cumsum(lengths)).tolist()
         start = 0
         for i, end in zip(group, ends, strict=True):
-            self._keep(pieces[i], ids[start:end].tobytes())
+            found[plain[i]] = ids[start:end]
             start = end
 
-    def _keep(self, piece: str | bytes, ids: bytes) -> None:
-        self._cache[piece] = ids
-        self._held += len(piece) + len(ids)
+
+def _places(listed: pa.DictionaryArray) -> np.ndarray:
+    return listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 def _is_word(text: str) -> bool:
@@ -165,9 +321,35 @@ def _cutter(spec: dict):
     return None
 
 
-def cut_at_blanks(text: str) -> list[bytes]:
+def _simple_parts(spec: dict) -> tuple | None:
+    """For the two ways of cutting known here: what tells pieces of common letters, how they
+    are cut into parts, and whether ASCII letters may be lower-cased first."""
+    if _cutter(spec) is cut_before_spaces:
+        return _SPACED.fullmatch, _SPACED_PARTS.findall, False
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if (_cutter(spec) is cut_at_blanks and kinds == ["NFC", "Replace", "Lowercase"]
+            and steps[0]["pattern"] == {"Regex": WORD_PATTERN}
+            and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+            and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")):
+        return _PLAIN.fullmatch, _PLAIN_PARTS.findall, True
+    return None
+
+
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes the letters that are more than one byte, the space
+    and the line feed."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    writer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {code: writer.pre_tokenize_str(chr(code))[0][0]
+            for code in (0x0A, 0x20, *range(0xC0, 0x100))}
+
+
+def cut_at_blanks(text: str) -> list[str]:
     """Runs of anything but ASCII white space."""
-    return text.encode("utf-8").split()
+    return [p.decode("utf-8") for p in text.encode("utf-8").split()]
 
 
 def cut_before_spaces(text: str) -> list[str]:
