@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from itertools import compress, count, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -208,21 +209,33 @@ class PieceTokenizer:
         """Cuts pieces as the tokenizer does and has its model encode the new parts. A part
         is a piece of its own."""
         model, letters, cache = self._tokenizer.model.tokenize, self._as_bytes, self._cache
+        get_id = attrgetter("id")
         # one flat list: a list per piece would keep the collector of garbage busy
         ids: list[int] = []
-        ends, new = [0], {}
+        # nearly all new pieces are one word of ASCII letters
+        if self._between:
+            words = [p for p in pieces if p.isascii() and p.isalpha()]
+            written = words
+        else:
+            words = [p for p in pieces if p[0] == " " and p.isascii() and p[1:].isalpha()]
+            written = [SPACE + p[1:] for p in words]
+        ends = [0]
+        for word in written:
+            ids.extend(map(get_id, model(word)))
+            ends.append(len(ids))
+        new = dict(zip(words, count()))
         for piece in pieces:
             if piece in new:
                 continue
             found = parts(piece)
             for part in found:
-                if part in cache or part in new:
+                if part in new or part in cache:
                     continue
-                written = part
+                word = part
                 if not (part.isascii() and part.isalnum()):
-                    written = (SPACE + part[1:] if part[0] == " " and part.isascii()
-                               and "\n" not in part else part.translate(letters))
-                ids += [t.id for t in model(written)]
+                    word = (SPACE + part[1:] if part[0] == " " and part.isascii()
+                            and "\n" not in part else part.translate(letters))
+                ids.extend(map(get_id, model(word)))
                 new[part] = len(new)
                 ends.append(len(ids))
             if len(found) > 1:
