@@ -9,13 +9,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_WAREHOUSE = "spark.sql.warehouse.dir"
 _owners: list[list[str]] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, `spark.checkpoint.dir`; all executors share it.
 
-    There is no default: a machine-local folder would be lost with its machine.
+    Where it is unset, a folder in the warehouse, which driver and executors share as well;
+    never a machine-local folder, which would be lost with its machine.
     """
     context = spark.sparkContext
     configured = spark.conf.get(_SETTING, None)
@@ -26,7 +28,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    raise RuntimeError(f"set {_SETTING} to a folder all executors share")
+    warehouse = spark.conf.get(_WAREHOUSE, None)
+    if not warehouse:
+        raise RuntimeError(f"set {_SETTING} to a folder all executors share")
+    folder = f"{warehouse.rstrip('/')}/_guardmill_scratch"
+    context.setCheckpointDir(folder)
+    return folder
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -12,16 +12,8 @@ _shipped: set[str] = set()
 
 
 def prepare_session(spark: SparkSession) -> None:
-    """Ships the package and, on a single machine without `spark.checkpoint.dir`, sets one.
-
-    On a cluster the setting is never made up: the folder has to be shared.
-    """
+    """Makes the package importable in the session's Python workers."""
     ship_package(spark)
-    context = spark.sparkContext
-    alone = context.master == "local" or context.master.startswith("local[")
-    unset = not spark.conf.get("spark.checkpoint.dir", None)
-    if alone and unset and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="guardmill-checkpoint-"))
 
 
 def ship_package(spark: SparkSession) -> None:
