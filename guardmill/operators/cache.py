@@ -35,10 +35,39 @@ def latest(cache: DataFrame) -> DataFrame:
     return cache.groupBy(*KEY).agg(newest.alias("row")).select(*KEY, "row.*")
 
 
-def marked(chunks: DataFrame, cache: DataFrame, name: str = "hit") -> DataFrame:
-    """Every chunk with its cached payload, if any, and a hit flag: one join."""
-    # only rows of the keys at hand are compared, so the cost follows the chunks, not history
-    rows = latest(cache.join(chunks.select(*KEY).distinct(), list(KEY), "left_semi"))
+def latest_in_buckets(cache: DataFrame) -> DataFrame:
+    """`latest` for a cache that is a table bucketed by KEY.
+
+    The newest row is found by what orders it alone, then its payload is joined back: both
+    within a bucket, so no row of the cache is shuffled and no ciphertext is sorted or
+    aggregated but that of the winners.
+    """
+    payload = [c for c in PAYLOAD if c in cache.columns]
+    order = [c for c in ("created_at", "embedding_nonce") if c in payload]
+    marks = [F.xxhash64(F.lit(0), *payload).alias("__row")]
+    rows = cache.select(*KEY, *payload, *marks)
+    newest = cache.select(*KEY, *order, *marks).groupBy(*KEY).agg(
+        F.max(F.struct(*order, "__row")).alias("__newest")).select(
+        *KEY, F.col("__newest.__row").alias("__chosen"))
+    # joined by the bucket's columns alone: a third key would call for another shuffle. Rows
+    # that are equal in all columns have one mark, and one of them stays.
+    same = F.col("__row").bitwiseXOR(F.col("__chosen")) == 0
+    return rows.join(newest.hint("merge"), list(KEY)).filter(same).groupBy(*KEY).agg(
+        *(F.any_value(c).alias(c) for c in payload))
+
+
+def marked(chunks: DataFrame, cache: DataFrame, name: str = "hit",
+           bucketed: bool = False) -> DataFrame:
+    """Every chunk with its cached payload, if any, and a hit flag: one join.
+
+    A cache that is a table bucketed by KEY (`bucketed`) stays where it is; only the chunks
+    are shuffled, to its buckets.
+    """
+    if bucketed:
+        rows = latest_in_buckets(cache)
+    else:
+        # only rows of the keys at hand are compared: the cost follows the chunks
+        rows = latest(cache.join(chunks.select(*KEY).distinct(), list(KEY), "left_semi"))
     clash = [c for c in rows.columns if c in chunks.columns and c not in KEY]
     joined = chunks.drop(*clash).join(rows.withColumn(name, F.lit(True)), list(KEY), "left")
     return joined.withColumn(name, F.coalesce(name, F.lit(False)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardmill import fixed_values as fv
+from guardmill.operators.scratch import settled
+from guardmill.sources.io import read_or_none
+
+#: Folders of a stored index.
+BUCKETS = 64
+_BUCKETS, _BUCKET = "buckets", "bucket"
 
 
 def candidate_id(*names: str, last: str | None = None) -> Column:
@@ -60,6 +66,41 @@ def upsert(index: DataFrame | None, incoming: DataFrame, key: str = "id",
     return stored.unionByName(fresh, True)
 
 
+def upsert_stored(incoming: DataFrame, folder: str, key: str = "id",
+                  order: str = "updated_at", buckets: int = BUCKETS) -> list[int]:
+    """Upserts into an index stored below `folder`; returns the buckets that were rewritten.
+
+    The index lies in one folder per hash of the key. Only buckets of incoming rows are read
+    and replaced, the files of all others stay as they are. The new rows are complete in the
+    checkpoint folder before the first bucket is replaced, and the same upsert once more gives
+    the same rows, so a job that failed half way is run again. `buckets` holds for the life of
+    the index; another number is an error.
+    """
+    spark = incoming.sparkSession
+    rows = settled(incoming.withColumn(
+        _BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    touched = sorted(r[0] for r in rows.select(_BUCKET).distinct().collect())
+    if not touched:
+        return []
+    stored = read_stored(spark, folder, with_bucket=True)
+    if stored is not None:
+        if stored.agg(F.max(_BUCKETS)).first()[0] not in (None, buckets):
+            raise ValueError(f"the index below {folder} has another number of buckets")
+        stored = stored.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKETS)
+    merged = settled(upsert(stored, rows, key, order).withColumn(_BUCKETS, F.lit(buckets)))
+    (merged.repartition(len(touched), _BUCKET).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKETS, _BUCKET)
+     .parquet(folder))
+    return touched
+
+
+def read_stored(spark: SparkSession, folder: str,
+                with_bucket: bool = False) -> DataFrame | None:
+    """The stored index, None where there is none yet."""
+    found = read_or_none(spark, format="parquet", path=folder, mergeSchema="true")
+    return found if found is None or with_bucket else found.drop(_BUCKETS, _BUCKET)
+
+
 def _hashable(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.MapType):
         return F.array_sort(F.map_entries(name))

@@ -14,7 +14,7 @@ from guardmill.operators import cache as cache_ops
 from guardmill.operators import embedding
 from guardmill.operators.chunking import chunk_documents, chunk_workset, silver_columns
 from guardmill.operators.facts import facts_from_documents
-from guardmill.operators.index import index_rows, upsert
+from guardmill.operators.index import index_rows, upsert, upsert_stored
 from guardmill.sources.io import Entry, read_entry, write_entry
 from guardmill.sources.tables import read_or_none
 
@@ -117,6 +117,25 @@ def build_index(gold: DataFrame, keys: DataFrame, index: DataFrame | None = None
     return upsert(index, index_rows(opened))
 
 
+def sync_index(gold: DataFrame, keys: DataFrame, folder: str) -> list[int]:
+    """Upserts all decodable gold rows into the index stored below `folder`, in place."""
+    opened = embedding.open_vectors(embedding.decodable(gold), keys, strict=True)
+    return upsert_stored(index_rows(opened), folder)
+
+
+def write_gold_by_class(gold: DataFrame, path: str) -> None:
+    """Gold in one folder per classification, so that permission prunes files. Rows are
+    spread within a class: a class that most rows have is many files. Rows without a class,
+    which nobody may read, lie in a folder of their own."""
+    gold.write.mode("overwrite").partitionBy("classification").parquet(path)
+
+
+def read_gold_by_class(spark, path: str) -> DataFrame:
+    """The stored gold with the contract's columns in their order."""
+    schema = table_schema("gold_embeddings")
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def run_gold(bronze_with_text: DataFrame, keys: DataFrame, settings: EmbeddingSettings,
              readers: dict[str, Entry], writers: dict[str, Entry], facts_path: str,
              size: int = fv.DEFAULT_CHUNK_SIZE, overlap: int = fv.DEFAULT_OVERLAP) -> None:

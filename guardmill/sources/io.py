@@ -6,10 +6,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+_ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -60,17 +63,32 @@ def read_source(spark: SparkSession, *, stream: bool = False,
     return reader.options(**rest).load(path)
 
 
+def read_or_none(spark: SparkSession, **options) -> DataFrame | None:
+    """The source, or None where it does not exist yet."""
+    try:
+        return read_source(spark, **options)
+    except AnalysisException as error:
+        if error.getCondition() in _ABSENT:
+            return None
+        raise
+
+
+
 def write_sink(df: DataFrame, *, stream: bool = False, **options: Any) -> StreamingQuery | None:
     """Writes to a table or path.
 
     A batch overwrites unless `mode` says otherwise. For a stream `mode` is the output mode
     (append by default), `trigger` a mapping of trigger arguments, and the running query is
-    returned.
+    returned. A batch table may be bucketed: `bucketBy` names the columns and `buckets` their
+    number; rows are dealt by these columns first, so a write adds one file to a bucket.
     """
     table, path, rest = _target(options)
     sink_format = rest.pop("format", None)
     mode = rest.pop("mode", None)
     partition_by = rest.pop("partitionBy", None)
+    bucket_by, buckets = rest.pop("bucketBy", None), int(rest.pop("buckets", 0))
+    if bucket_by and (stream or table is None or buckets < 1):
+        raise ValueError("only batch tables are bucketed, into one bucket at least")
     if stream:
         trigger = rest.pop("trigger", None)
         writer = df.writeStream.outputMode(mode or "append").options(**rest)
@@ -81,7 +99,12 @@ def write_sink(df: DataFrame, *, stream: bool = False, **options: Any) -> Stream
         if trigger:
             writer = writer.trigger(**trigger)
         return writer.toTable(table) if table is not None else writer.start(path)
+    if bucket_by:
+        bucket_by = [bucket_by] if isinstance(bucket_by, str) else list(bucket_by)
+        df = df.repartition(buckets, *bucket_by)
     writer = df.write.mode(mode or "overwrite").options(**rest)
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by)
     if sink_format:
         writer = writer.format(sink_format)
     if partition_by:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 from guardmill.contracts import table_schema
 from guardmill.functions.rows import exploded
 from guardmill.operators.graph import conform_edges, conform_nodes
-from guardmill.sources.io import Entries, read_source
+from guardmill.sources.io import Entries, read_or_none, read_source
 
 # A flat JSON object; strings may hold braces and escapes.
 _FLAT_OBJECT = r'\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}'
@@ -33,19 +32,6 @@ def default_entries(data_root: str, lake_root: str) -> tuple[Entries, Entries]:
     return Entries.from_mapping(readers), Entries.from_mapping(writers)
 
 
-def read_or_none(spark: SparkSession, **options) -> DataFrame | None:
-    """The source, or None where it does not exist yet."""
-    try:
-        return read_source(spark, **options)
-    except AnalysisException as error:
-        if error.getCondition() in _ABSENT:
-            return None
-        raise
-
-
-_ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
 def read_or_empty(spark: SparkSession, table: str, **options) -> DataFrame:
     """The source, or an empty frame of the contract schema where it does not exist."""
     found = read_or_none(spark, **options)
