@@ -559,7 +559,7 @@ def topk_by_class(spark, sf):
     requests = w.label_requests(spark, sf).join(lower.select("user_id"), "user_id", "left_semi")
     found = retrieval.secure_retrieve(
         requests, pipeline.read_gold_by_class(spark, path), users, w.keys(spark, sf),
-        CONTRACTS, by_class=True)
+        CONTRACTS)
     return found.results.select("request_id", F.col("rank").cast("bigint").alias("rank"),
                                 "chunk_id", "document_id", "classification", "score")
 

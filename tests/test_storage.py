@@ -35,7 +35,7 @@ def test_files_of_forbidden_classes_are_not_read(spark, sf, tmp_path):
 
     resolved = settled(retrieval.resolved_requests(requests, users, entry.CONTRACTS))
     within = retrieval.open_classes(gold, resolved)
-    assert "dynamicpruning" in plan_of(within)
+    assert "PartitionFilters: [classification" in plan_of(within)
     classes = {r.classification for r in within.select("classification").distinct().collect()}
     assert classes <= {"public", "internal"} and "public" in classes
     # files of the other classes may be destroyed: none of them is opened
@@ -44,7 +44,7 @@ def test_files_of_forbidden_classes_are_not_read(spark, sf, tmp_path):
             file.write_bytes(b"not a file that could be read")
             file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
     assert within.select("chunk_id", "embedding_ciphertext").count() > 0
-    rows = retrieval.readable_candidates(gold, resolved, entry.CONTRACTS, by_class=True)
+    rows = retrieval.readable_candidates(gold, resolved, entry.CONTRACTS)
     plain = retrieval.readable_candidates(entry._sealed_vectors(spark, sf), resolved,
                                           entry.CONTRACTS)
     assert sorted(r[0] for r in rows.select("chunk_id").collect()) == sorted(
