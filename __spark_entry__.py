@@ -23,7 +23,7 @@ from guardmill.operators import audit, authorize, cache, catalog, cells, chunkin
 from guardmill.operators import embedding, facts
 from guardmill.operators import grants, graph, index, quality
 from guardmill.operators.scratch import scratch_path, settled
-from guardmill.plans import pipeline, retrieval, views
+from guardmill.plans import jobs, pipeline, retrieval, views
 from guardmill.shipping import prepare_session
 from guardmill.sources import texts
 from guardmill.sources.io import Entries, Entry, read_entry, read_source, write_entry
@@ -227,6 +227,9 @@ def score_sensitivity(spark, sf):
     return _silver_columns(pipeline.silver_chunks(w.catalogue(spark, sf)))
 
 
+_VIEW_COLUMNS = {name: tuple(columns) for name, _, columns, _ in fv.SAFE_VIEWS}
+
+
 # --- safe views ---------------------------------------------------------------------------
 
 
@@ -286,12 +289,42 @@ def v_internal_chunks(spark, sf):
 @query(f"""WITH {o.VECTORS} SELECT chunk_id, document_id, 'AES-256-GCM' AS embedding_algorithm,
     64 AS embedding_dim, 'float32' AS embedding_dtype, 'given' AS embedding_model, classification,
     array_to_string(allowed_roles, ',') AS allowed_roles, department, source_path,
+    'owner-' || (vec_id % 7) AS owner, '1.0' AS version, sha256(vec_id::VARCHAR) AS document_hash,
+    '2024-06-01T00:00:00Z' AS created_at,
     {o.uuid5("'embedding|' || chunk_id || '|' || sha256(vec_id::VARCHAR) || '|2024-06-01T00:00:00Z'")} AS embedding_id
   FROM vecs""")
 def safe_gold_catalog(spark, sf):
     view = views.safe_view(_sealed_vectors(spark, sf), "gold_embedding_catalog")
-    return view.withColumn("allowed_roles", _joined("allowed_roles")).drop(
-        "owner", "version", "document_hash", "created_at")
+    return view.withColumn("allowed_roles", _joined("allowed_roles"))
+
+
+@query(o.catalog_views(_VIEW_COLUMNS))
+def catalog_views(spark, sf):
+    """Every column of the stored views over external tables, read back by name."""
+    root, mark = scratch_path(spark, "external"), uuid.uuid4().hex[:10]
+    raw = {"bronze_documents": w.bronze(spark, sf), "silver_chunks": _silver(spark, sf),
+           "gold_embeddings": _sealed_vectors(spark, sf)}
+    for name, df in raw.items():
+        df.write.parquet(f"{root}/{name}")
+    views.create_catalog_views(spark, {n: f"{root}/{n}" for n in raw}, f"raw_{mark}",
+                               f"safe_{mark}")
+    parts = []
+    for view, columns in _VIEW_COLUMNS.items():
+        found = spark.table(f"safe_{mark}.{view}")
+        if tuple(found.columns) != columns:
+            raise ValueError(f"{view} has other columns: {found.columns}")
+        shown = {"allowed_roles": _joined("allowed_roles"),
+                 "sensitivity_score": F.format_number(
+                     F.round(F.col("sensitivity_score").cast("double"), 3), 3)}
+        parts.append(found.select(
+            F.lit(view).alias("view"),
+            F.array_join(F.array(*(F.lit(c) for c in columns)), ",").alias("columns"),
+            F.concat_ws("|", *(shown.get(c, F.col(c).cast("string")) if c in shown
+                               else F.col(c).cast("string") for c in columns)).alias("shown")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 @query(f"""WITH {o.VECTORS} SELECT classification, department, count(*) AS n FROM vecs
@@ -1083,20 +1116,23 @@ def _document_graph(spark, sf):
     return graph.build_graph(silver, pipeline.document_facts(docs, w.STAMP))
 
 
-@query(f"""WITH {o.DOCUMENT_FACTS}, f AS (SELECT * FROM facts)
-  SELECT 'part_of' AS relation_type, count(*) AS edges, count(DISTINCT chunk_id) AS sources, count(DISTINCT document_id) AS targets FROM ids
-  UNION ALL SELECT 'mentions', 2 * count(*), count(DISTINCT chunk_id),
-    count(DISTINCT (classification, allowed_roles, department, lower(subject))) + count(DISTINCT (classification, allowed_roles, department, lower(object))) FROM f
-  UNION ALL SELECT 'derived_from', 2 * count(*),
-    count(DISTINCT (classification, allowed_roles, department, lower(subject))) + count(DISTINCT (classification, allowed_roles, department, lower(object))), count(DISTINCT chunk_id) FROM f
-  UNION ALL SELECT 'relates_to', count(*), count(DISTINCT (classification, allowed_roles, department, lower(subject))),
-    count(DISTINCT (classification, allowed_roles, department, lower(object))) FROM f""")
+@query(f"""WITH {o.DOCUMENT_FACTS}, f AS (SELECT chunk_id,
+    'entity:' || {o.uuid5("concat_ws('|', classification, array_to_string(list_sort(allowed_roles), ','), department, lower(subject))")} AS s,
+    'entity:' || {o.uuid5("concat_ws('|', classification, array_to_string(list_sort(allowed_roles), ','), department, lower(object))")} AS o FROM facts),
+  e AS (SELECT 'part_of' AS relation_type, chunk_id AS source_id, document_id AS target_id FROM ids
+    UNION ALL SELECT 'mentions', chunk_id, s FROM f UNION ALL SELECT 'mentions', chunk_id, o FROM f
+    UNION ALL SELECT 'derived_from', s, chunk_id FROM f UNION ALL SELECT 'derived_from', o, chunk_id FROM f
+    UNION ALL SELECT 'relates_to', s, o FROM f)
+  SELECT relation_type, source_id, target_id, count(*) AS n FROM e GROUP BY ALL
+  UNION ALL SELECT 'node', id, kind, 1 FROM (SELECT DISTINCT chunk_id AS id, 'chunk' AS kind FROM ids UNION SELECT document_id, 'document' FROM ids
+    UNION SELECT s, 'entity' FROM f UNION SELECT o, 'entity' FROM f)""")
 def build_graph(spark, sf):
-    """Edges of the document graph, summed per relation."""
-    _, edges = _document_graph(spark, sf)
-    return edges.groupBy("relation_type").agg(
-        F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources"),
-        F.countDistinct("target_id").alias("targets"))
+    """All edges of the document graph with their number, and all nodes with their type."""
+    nodes, edges = _document_graph(spark, sf)
+    return edges.groupBy("relation_type", "source_id", "target_id").agg(
+        F.count(F.lit(1)).alias("n")).unionByName(nodes.select(
+            F.lit("node").alias("relation_type"), F.col("node_id").alias("source_id"),
+            F.col("node_type").alias("target_id"), F.lit(1).cast("bigint").alias("n")))
 
 
 @query(f"""WITH {o.DOCUMENT_FACTS}, marks AS (SELECT *, min(struct_pack(d := document_id, c := chunk_id, l := subject)) OVER (PARTITION BY classification, allowed_roles, department, lower(subject)) AS first_s,
@@ -1136,7 +1172,12 @@ def nodes_of_chunks(spark, sf):
       {{'c': 'gold_embeddings_no_plaintext_vectors', 'm': 0, 't': 18}}]) FROM g
     UNION ALL SELECT 'trino_governed_views', unnest([{{'c': 'trino_governed_views_no_embedding_ciphertext', 'm': 0, 't': total}},
       {{'c': 'trino_governed_views_no_embedding_nonce', 'm': 0, 't': total}}, {{'c': 'trino_governed_views_no_key_id', 'm': 0, 't': total}}]) FROM g)
-  SELECT dataset_id, f.c AS "check", f.m = 0 AS passed, f.m::BIGINT AS missing, f.t::BIGINT AS total FROM report""")
+  SELECT dataset_id, f.c AS "check", 'check' AS kind, f.m = 0 AS passed, f.m::BIGINT AS missing, f.t::BIGINT AS total,
+    CASE WHEN f.m > 0 THEN f.m || '/' || f.t || CASE
+      WHEN f.c LIKE '%have_owner' THEN ' missing owner' WHEN f.c LIKE '%confidential_have%' THEN ' confidential chunks missing allowed_roles'
+      WHEN f.c LIKE '%have_allowed_roles' THEN ' missing allowed_roles' ELSE ' missing encryption key_id' END END AS message FROM report
+  UNION ALL SELECT 'silver_chunks', 'silver_chunks', 'warning', NULL, NULL, NULL, 'No silver records found' FROM s WHERE total = 0
+  UNION ALL SELECT 'region', 'region', 'warning', NULL, NULL, NULL, 'No contract found for dataset region'""")
 def quality_report(spark, sf):
     """Checks over bronze, silver, gold and a safe view, with defects put in."""
     d = F.col("document_id").cast("bigint")
@@ -1151,9 +1192,57 @@ def quality_report(spark, sf):
     report = quality.quality_report(spark, {
         "bronze_documents": damaged, "silver_chunks": silver, "gold_embeddings": gold,
         "trino_governed_views": views.safe_view(gold, "gold_embedding_catalog"),
+        "region": w.table(spark, sf, "region"),
     }, CONTRACTS)
-    return report.filter("kind = 'check'").select(
-        "dataset_id", "check", "passed", "missing", "total")
+    return report.select("dataset_id", "check", "kind", "passed", "missing", "total",
+                         "message")
+
+
+@query(f"""WITH {o.SILVER}, {o.chunk_counts('scored')},
+  b AS (SELECT count(*) AS total, count(*) FILTER (doc_id % 10 = 0) AS no_owner, count(*) FILTER (doc_id % 7 = 0) AS no_roles FROM documents),
+  rows AS (
+    SELECT 'bronze_documents' AS d, unnest([{{'c': 'bronze_documents_have_document_id', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'bronze_documents_have_classification', 'm': 0, 't': total, 'w': ''}}, {{'c': 'bronze_documents_have_owner', 'm': no_owner, 't': total, 'w': ' missing owner'}},
+      {{'c': 'bronze_documents_have_allowed_roles', 'm': no_roles, 't': total, 'w': ' missing allowed_roles'}}]) AS f FROM b
+    UNION ALL SELECT 'silver_chunks', unnest([{{'c': 'silver_chunks_have_chunk_id', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'silver_chunks_have_document_id', 'm': 0, 't': total, 'w': ''}}, {{'c': 'silver_chunks_have_classification', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'silver_chunks_confidential_have_allowed_roles', 'm': 0, 't': guarded, 'w': ''}}]) FROM counts
+    UNION ALL SELECT 'gold_embeddings', unnest([{{'c': 'gold_embeddings_have_embedding_id', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'gold_embeddings_link_to_chunk', 'm': 0, 't': total, 'w': ''}}, {{'c': 'gold_embeddings_link_to_document', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'gold_embeddings_have_classification', 'm': 0, 't': total, 'w': ''}}, {{'c': 'gold_embeddings_have_encryption_metadata', 'm': 0, 't': total, 'w': ''}},
+      {{'c': 'gold_embeddings_no_plaintext_vectors', 'm': 0, 't': 18, 'w': ''}}]) FROM counts
+    UNION ALL SELECT 'trino_governed_views', unnest([{{'c': 'trino_governed_views_no_embedding_ciphertext', 'm': 0, 't': 0, 'w': ''}},
+      {{'c': 'trino_governed_views_no_embedding_nonce', 'm': 0, 't': 0, 'w': ''}}, {{'c': 'trino_governed_views_no_key_id', 'm': 0, 't': 0, 'w': ''}}]))
+  SELECT d AS dataset_id, f.c AS "check", 'check' AS kind, f.m = 0 AS passed, f.m::BIGINT AS missing, f.t::BIGINT AS total,
+    CASE WHEN f.m > 0 THEN f.m || '/' || f.t || f.w END AS message FROM rows
+  UNION ALL VALUES ('trino_governed_views', 'trino_governed_views', 'warning', NULL, NULL, NULL, 'No trino records found'),
+    ('nation', 'nation', 'warning', NULL, NULL, NULL, 'No contract found for dataset nation')
+  UNION ALL SELECT 'summary', 'failed', 'summary', FALSE, (count(*) FILTER (f.m > 0))::BIGINT, count(*)::BIGINT, '2 warnings' FROM rows""")
+def quality_of_gold_job(spark, sf):
+    """Bronze and gold written by one job; the checks are counted while it writes."""
+    root = scratch_path(spark, "checked-job")
+    readers, writers = default_entries(f"{root}/in", f"{root}/lake")
+    d = F.col("document_id").cast("bigint")
+    damaged = w.catalogue(spark, sf).drop("text").withColumn(
+        "owner", F.when(d % 10 != 0, F.col("owner"))).withColumn(
+        "allowed_roles", F.when(d % 7 != 0, F.col("allowed_roles")))
+    write_json_rows(damaged, f"{root}/in/metadata")
+
+    def nations(watch):
+        watch("nation", w.table(spark, sf, "nation"))
+
+    report = jobs.run_with_report(spark, CONTRACTS, f"{root}/quality", jobs.several(
+        jobs.bronze_job(spark, readers, writers, w.STAMP),
+        jobs.gold_job(w.catalogue(spark, sf), w.keys(spark, sf), w.settings(), readers, writers,
+                      f"{root}/facts"), nations), expected=["trino_governed_views"])
+    total = spark.read.schema(
+        "passed bigint, total bigint, warnings bigint, status string").json(
+        f"{root}/quality/summary")
+    return report.unionByName(total.select(
+        F.lit("summary").alias("dataset_id"), F.col("status").alias("check"),
+        F.lit("summary").alias("kind"), (F.col("status") == "passed").alias("passed"),
+        (F.col("total") - F.col("passed")).alias("missing"), "total",
+        F.concat(F.col("warnings").cast("string"), F.lit(" warnings")).alias("message")))
 
 
 def _audit_events(spark, sf):
@@ -1288,6 +1377,60 @@ def stream_gold(spark, sf):
         "chunk_id", "document_id", "key_id", "same")
 
 
+def _write_raw_files(held, folder):
+    """name, text as one file each below a folder of that name; name, source_path."""
+    held.write.mode("append").partitionBy("name").option("lineSep", "\n").text(folder)
+
+
+def _raw_catalogue(spark, folder):
+    """Catalogue rows of the files that lie below `folder`."""
+    listed = texts.list_files(spark, folder, "part-*").select(
+        F.col("relative_path").alias("source_path"),
+        F.regexp_extract("relative_path", r"name=(\d+)/", 1).cast("long").alias("n"))
+    n = F.col("n")
+    return listed.select(
+        "n", F.concat(F.lit("file-"), n).alias("document_id"), F.lit("a file").alias("title"),
+        "source_path", w.pick(fv.CLASSIFICATION_LEVELS, n % 4).alias("classification"),
+        F.lit("owner").alias("owner"), F.concat(F.lit("src"), n % 3).alias("department"),
+        w.roles_for(n % 3).alias("allowed_roles"), F.lit("1.0").alias("version"),
+        F.lit(w.STAMP).alias("created_at"), F.lit(False).alias("contains_sensitive_info"),
+        F.sha2(n.cast("string"), 256).alias("document_hash"))
+
+
+@query(f"""WITH files AS (SELECT doc_id // {{n}} AS n, 'file-' || (doc_id // {{n}}) AS document_id, sha256((doc_id // {{n}})::VARCHAR) AS document_hash,
+    {o.LEVELS}[doc_id // {{n}} % 4 + 1] AS classification,
+    replace(replace(string_agg(COALESCE(text, ''), chr(10) ORDER BY doc_id, text), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text
+    FROM documents GROUP BY doc_id // {{n}}), {o.chunks('files')}
+  SELECT {o.CHUNK_ID} AS chunk_id, document_id, chunk_index, span_start, span_end, classification FROM chunks""".replace(
+    "{n}", "200"))
+def stream_raw_documents(spark, sf):
+    """Raw files as a stream: half of them first, the others later; the catalogue rows of a
+    third come last and are picked up by a rerun."""
+    root = scratch_path(spark, "raw-stream")
+    folder, catalogue, out = f"{root}/raw", f"{root}/catalogue", f"{root}/out"
+    name = F.floor(F.col("doc_id") / _FILE_DOCUMENTS).alias("name")
+    held = settled(w.table(spark, sf, "documents").groupBy(name).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]),
+        "\n", "").alias("text")).select("name", "text"))
+
+    def bronze(rows):
+        return pipeline.bronze_documents(rows, w.STAMP).write.mode("append").parquet(catalogue)
+
+    for half in (0, 1):
+        _write_raw_files(held.filter(F.col("name") % 2 == half), folder)
+        known = _raw_catalogue(spark, folder).filter(
+            (F.col("n") % 2 == half) & (F.col("n") % 3 != 1))
+        bronze(known)
+        incremental.stream_raw_documents(spark, folder, catalogue, out, f"{root}/marks",
+                                         pattern="part-*").awaitTermination()
+    bronze(_raw_catalogue(spark, folder).filter(F.col("n") % 3 == 1))
+    incremental.rerun_unmatched(spark, folder, catalogue, out, "late")
+    return incremental.streamed_chunks(spark, out).select(
+        "chunk_id", "document_id", "chunk_index",
+        F.col("chunk_span.start").alias("span_start"),
+        F.col("chunk_span.end").alias("span_end"), "classification")
+
+
 # --- sources, sinks and small operators --------------------------------------------------------
 
 
@@ -1359,6 +1502,40 @@ def replaced_nodes(spark, sf):
     return graph.put_nodes(nodes, debt).select("node_id", "classification", "department")
 
 
+@query(f"""WITH {o.GRAPH} SELECT s AS source_id, t AS target_id, rel AS relation_type, count(*) AS n FROM (
+    SELECT s, t, rel FROM edges UNION ALL SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey, 'governs' FROM nation
+    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'part_of' FROM nation) GROUP BY ALL""")
+def appended_edges(spark, sf):
+    """Graph edges after more were added; equal edges stay several."""
+    _, edges = _graph(spark, sf)
+    nations = w.table(spark, sf, "nation")
+    region = F.concat(F.lit("region:"), "n_regionkey")
+    nation = F.concat(F.lit("nation:"), "n_nationkey")
+    for source, target, relation in ((region, nation, "governs"), (nation, region, "part_of")):
+        edges = graph.put_edges(edges, nations.select(
+            source.alias("source_id"), target.alias("target_id"),
+            F.lit(relation).alias("relation_type")))
+    return edges.groupBy("source_id", "target_id", "relation_type").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT count(DISTINCT doc_id // {{n}}) AS files, (SELECT count(*) FROM nation) + count(DISTINCT CASE WHEN doc_id // {{n}} % 4 <> 1 THEN doc_id // {{n}} END) AS documents,
+    (SELECT count(*) FROM nation) AS documents_without_file, count(DISTINCT CASE WHEN doc_id // {{n}} % 4 = 1 THEN doc_id // {{n}} END) AS files_without_document
+  FROM documents""".replace("{n}", "200"))
+def catalogue_coverage(spark, sf):
+    """Files without a catalogue row (every fourth) and rows without a file (of nation)."""
+    folder = scratch_path(spark, "covered")
+    number = F.floor(F.col("doc_id") / _FILE_DOCUMENTS).cast("string").alias("value")
+    (w.table(spark, sf, "documents").select(number).distinct().write
+     .option("maxRecordsPerFile", 1).text(folder))
+    n = F.trim(F.regexp_replace("text", "\n", "")).cast("long")
+    rows = texts.file_texts(spark, folder, "part-*").filter(n % 4 != 1).select(
+        F.col("path").alias("source_path"))
+    absent = w.table(spark, sf, "nation").select(
+        F.concat(F.lit("nation-"), "n_nationkey").alias("source_path"))
+    return texts.catalogue_coverage(rows.unionByName(absent), folder, "part-*")
+
+
 _GRAPH_ROWS = f"""WITH {o.GRAPH} SELECT 'node' AS part, node_id AS a, classification AS b, department AS c FROM nodes
   UNION ALL SELECT 'edge', s, t, rel FROM edges"""
 
@@ -1393,13 +1570,16 @@ def safe_nodes(spark, sf):
         "node_id", "label", F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("kept"))
 
 
-@query(f"""WITH {o.VECTORS} SELECT chunk_id, document_id, classification, department, 64 AS embedding_dim FROM vecs""")
+@query(f"""WITH {o.VECTORS} SELECT chunk_id, document_id, classification, department, 64 AS embedding_dim,
+    'AES-256-GCM' AS embedding_algorithm, 'float32' AS embedding_dtype, 'given' AS embedding_model,
+    array_to_string(allowed_roles, ',') AS allowed_roles, source_path, 'owner-' || (vec_id % 7) AS owner,
+    '1.0' AS version, '2024-06-01T00:00:00Z' AS created_at,
+    {o.uuid5("'embedding|' || chunk_id || '|' || sha256(vec_id::VARCHAR) || '|2024-06-01T00:00:00Z'")} AS embedding_id
+  FROM vecs""")
 def screen_safe_gold(spark, sf):
     """Gold rows as a screen may show them: no ciphertext, key id, hash or other binary."""
     shown = views.screen_safe(_sealed_vectors(spark, sf))
-    return shown.drop("embedding_id", "embedding_algorithm", "embedding_dtype",
-                      "embedding_model", "allowed_roles", "owner", "source_path", "version",
-                      "created_at")
+    return shown.withColumn("allowed_roles", _joined("allowed_roles"))
 
 
 # --- audit decisions, remaining sources, sinks and jobs -----------------------------------

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +44,8 @@ def _count_finding(check: str, bad: Column, total: Column, words: str,
     return _finding(check, "check", bad == 0, bad, total, message, applies)
 
 
-def _dataset_findings(dataset: Dataset, df: DataFrame) -> DataFrame:
+def _plan(dataset: Dataset, df: DataFrame) -> tuple[dict[str, Column], list[Column]]:
+    """What to count over the rows of a dataset, and the findings from those counts."""
     total = F.count(F.lit(1)).cast("bigint")
     measures = {"total": total}
     findings: list[Column] = []
@@ -83,13 +85,64 @@ def _dataset_findings(dataset: Dataset, df: DataFrame) -> DataFrame:
     findings.append(_warning(dataset.id, F.concat(
         F.lit(f"No {dataset.id.split('_')[0]} records found")), F.col("total") == 0))
 
-    one = df.agg(*(m.alias(name) for name, m in measures.items()))
-    return (one.select(F.explode(F.array(*findings)).alias("f"))
+    return measures, findings
+
+
+def _dataset_findings(dataset: Dataset, df: DataFrame) -> DataFrame:
+    measures, findings = _plan(dataset, df)
+    return _found(dataset, findings, df.agg(*(m.alias(n) for n, m in measures.items())))
+
+
+def _found(dataset: Dataset, findings: list[Column], counts: DataFrame) -> DataFrame:
+    return (counts.select(F.explode(F.array(*findings)).alias("f"))
             .filter("f.applies")
             .select(F.lit(dataset.id).alias("dataset_id"), "f.check", "f.kind", "f.passed",
                     "f.missing", "f.total", "f.message"))
 
 
+class WriteChecks:
+    """Quality checks counted while rows are written, at no second scan.
+
+    `watch` puts the counts of a dataset's checks onto a frame; the next action on that frame
+    takes them. `report` is that of `quality_report` over all frames watched. The counts of
+    a frame that is never written are waited for, so only watch what is.
+    """
+
+    def __init__(self, contracts: Contracts):
+        self._contracts = contracts
+        self._watched: list[tuple[str, Observation | None, DataFrame | None]] = []
+
+    def watch(self, dataset_id: str, df: DataFrame) -> DataFrame:
+        if dataset_id not in self._contracts.datasets:
+            self._watched.append((dataset_id, None, df))
+            return df
+        measures, _ = _plan(self._contracts.datasets[dataset_id], df)
+        taken = Observation(f"{dataset_id} {uuid.uuid4().hex}")
+        self._watched.append((dataset_id, taken, df))
+        return df.observe(taken, *(m.alias(n) for n, m in measures.items()))
+
+    def absent(self, dataset_id: str) -> None:
+        """A dataset that should have been there."""
+        self._watched.append((dataset_id, None, None))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        parts = []
+        for dataset_id, taken, df in self._watched:
+            if taken is None:
+                parts.append(quality_report(spark, {dataset_id: df}, self._contracts))
+                continue
+            dataset = self._contracts.datasets[dataset_id]
+            measures, findings = _plan(dataset, df)
+            counts = taken.get
+            one = spark.createDataFrame([tuple(counts[n] for n in measures)],
+                                        ", ".join(f"`{n}` bigint" for n in measures))
+            parts.append(_found(dataset, findings, one))
+        report = parts[0] if parts else spark.createDataFrame([], REPORT)
+        for part in parts[1:]:
+            report = report.unionByName(part)
+        return report
+
+
 def _warning(dataset_id: str, message: Column, applies: Column) -> Column:
     nothing = F.lit(None).cast("bigint")
     return _finding(dataset_id, "warning", F.lit(None).cast("boolean"), nothing, nothing,

@@ -136,22 +136,31 @@ def read_gold_by_class(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+Watch = Callable[[str, DataFrame], DataFrame]
+
+
+def _unwatched(dataset_id: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def run_gold(bronze_with_text: DataFrame, keys: DataFrame, settings: EmbeddingSettings,
              readers: dict[str, Entry], writers: dict[str, Entry], facts_path: str,
-             size: int = fv.DEFAULT_CHUNK_SIZE, overlap: int = fv.DEFAULT_OVERLAP) -> None:
+             size: int = fv.DEFAULT_CHUNK_SIZE, overlap: int = fv.DEFAULT_OVERLAP,
+             watch: Watch = _unwatched) -> None:
     """Writes silver chunks, facts and gold embeddings from one workset.
 
     The workset holds plain text, so it is recomputed from the documents per output instead
-    of being stored: cutting words is cheaper than spilling every text once more.
+    of being stored: cutting words is cheaper than spilling every text once more. `watch` may
+    put observations on the silver and gold rows that are written.
     """
     workset = chunk_workset(bronze_with_text, size, overlap)
-    write_entry(silver_columns(workset), writers["silver_chunks"])
+    write_entry(watch("silver_chunks", silver_columns(workset)), writers["silver_chunks"])
     facts = document_facts(bronze_with_text, settings.created_at, size, overlap)
     facts.select(*sorted(facts.columns)).write.mode("overwrite").json(facts_path)
     spans = chunk_documents(bronze_with_text, size, overlap, with_text=False)
     gold = build_embeddings(workset, keys, settings, readers.get("embed_cache"),
                             writers.get("embed_cache"), spans)
-    write_entry(gold, writers["gold_embeddings"])
+    write_entry(watch("gold_embeddings", gold), writers["gold_embeddings"])
 
 
 def run_silver(bronze_with_text: DataFrame, writers: dict[str, Entry],
@@ -160,8 +169,7 @@ def run_silver(bronze_with_text: DataFrame, writers: dict[str, Entry],
 
 
 def run_bronze(spark, readers: dict[str, Entry], writers: dict[str, Entry],
-               ingested_at: str) -> None:
+               ingested_at: str, watch: Watch = _unwatched) -> None:
     raw = read_entry(spark, readers["metadata_documents"])
-    write_entry(bronze_documents(raw, ingested_at), writers["bronze_documents"])
-
-
+    write_entry(watch("bronze_documents", bronze_documents(raw, ingested_at)),
+                writers["bronze_documents"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardmill.functions.text import unix_newlines
@@ -15,11 +15,12 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(folder).select("path"))
     return files.select(
-        "path", _relative(F.col("path"), folder).alias("relative_path"),
+        "path", relative_path(F.col("path"), folder).alias("relative_path"),
         F.substring_index("path", "/", -1).alias("file_name"))
 
 
-def _relative(path, folder: str):
+def relative_path(path: Column, folder: str) -> Column:
+    """A listed path below `folder`."""
     # the listing may add a scheme in front of the folder
     base = folder.rstrip("/") + "/"
     return F.substring(path, F.instr(path, base) + F.lit(len(base)), F.length(path))

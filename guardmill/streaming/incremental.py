@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
+from guardmill.functions.text import unix_newlines
 from guardmill.operators.chunking import chunk_workset, silver_columns
+from guardmill.operators.scratch import settled
 from guardmill.plans.pipeline import EmbeddingSettings, bronze_documents, build_embeddings
-from guardmill.sources.io import Entry, read_source, write_sink
+from guardmill.sources.io import Entry, read_or_none, read_source, write_sink
+from guardmill.sources.texts import relative_path
 
 
 def stream_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -59,3 +63,80 @@ def stream_gold(documents: DataFrame, keys: DataFrame, settings: EmbeddingSettin
     return (documents.writeStream.foreachBatch(embed)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def stream_raw_documents(spark: SparkSession, folder: str, catalogue: str, out: str,
+                         checkpoint: str, size: int = fv.DEFAULT_CHUNK_SIZE,
+                         overlap: int = fv.DEFAULT_OVERLAP, pattern: str = "*",
+                         trigger: dict | None = None) -> StreamingQuery:
+    """Chunks raw text files as they arrive below `folder`.
+
+    Every micro-batch of files meets the catalogue (bronze rows stored at `catalogue`, read
+    anew per batch) by source path. Silver rows go to `out`/chunks; files without a catalogue
+    row are listed in `out`/unmatched, for `rerun_unmatched`. A batch overwrites its own
+    folders, so one that is replayed after a failure leaves the same rows.
+    """
+    files = (spark.readStream.format("binaryFile").schema(_FILES)
+             .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+             .load(folder))
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def chunk(batch: DataFrame, batch_id: int) -> None:
+        _chunk_files(batch, folder, catalogue, out, f"job={job}/batch={batch_id}", size,
+                     overlap)
+
+    return (files.writeStream.foreachBatch(chunk).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _chunk_files(files: DataFrame, folder: str, catalogue: str, out: str, place: str,
+                 size: int, overlap: int) -> None:
+    named = files.withColumn("source_path", relative_path(F.col("path"), folder))
+    rows = read_or_none(files.sparkSession, format="parquet", path=catalogue,
+                        schema=table_schema("bronze_documents"))
+    if rows is None:
+        rows = files.sparkSession.createDataFrame([], table_schema("bronze_documents"))
+    text = unix_newlines(F.make_valid_utf8(F.col("content").cast("string")))
+    met = rows.join(named.select("source_path", text.alias("text")), "source_path")
+    silver = silver_columns(chunk_workset(met, size, overlap))
+    silver.write.mode("overwrite").parquet(f"{out}/chunks/{place}")
+    # a file's name is enough to find it again; its content is not kept twice
+    (named.select("path", "source_path").join(rows.select("source_path"), "source_path",
+                                              "left_anti")
+     .write.mode("overwrite").parquet(f"{out}/unmatched/{place}"))
+
+
+def rerun_unmatched(spark: SparkSession, folder: str, catalogue: str, out: str, run: str,
+                    size: int = fv.DEFAULT_CHUNK_SIZE,
+                    overlap: int = fv.DEFAULT_OVERLAP) -> None:
+    """Chunks earlier files whose catalogue rows have come since, as rerun `run`.
+
+    Files that an earlier rerun did are left out; the same rerun once more overwrites itself.
+    """
+    waiting = read_or_none(spark, format="parquet", path=f"{out}/unmatched",
+                           schema="path string, source_path string")
+    if waiting is None:
+        return
+    rows = read_source(spark, format="parquet", path=catalogue,
+                       schema=table_schema("bronze_documents"))
+    done = read_or_none(spark, format="parquet", path=f"{out}/rerun",
+                        schema="source_path string, run string")
+    waiting = waiting.select("source_path").distinct()
+    if done is not None:
+        waiting = waiting.join(done.filter(F.col("run") != run), "source_path", "left_anti")
+    now = settled(waiting.join(rows.select("source_path"), "source_path", "left_semi"))
+    (now.withColumn("run", F.lit(run)).write.mode("overwrite").partitionBy("run")
+     .option("partitionOverwriteMode", "dynamic").parquet(f"{out}/rerun"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+             .withColumn("source_path", relative_path(F.col("path"), folder))
+             .join(now, "source_path", "left_semi"))
+    _chunk_files(files.drop("source_path"), folder, catalogue, out, f"job=rerun/batch={run}",
+                 size, overlap)
+
+
+def streamed_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """All silver rows below `out`, of stream and reruns."""
+    return spark.read.schema(table_schema("silver_chunks")).parquet(f"{out}/chunks")

@@ -206,3 +206,36 @@ GRAPH = f"""nodes AS (
     UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'part_of' FROM customer
     UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'part_of' FROM nation
     UNION ALL SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey, 'relates_to' FROM nation)"""
+
+
+def chunk_counts(source: str) -> str:
+    """All chunks, and those of the classes that need roles and of documents with roles."""
+    return f"""counts AS (SELECT count(*) AS total,
+    count(*) FILTER (classification IN ('confidential', 'restricted')) AS guarded FROM {source})"""
+
+
+def catalog_views(views: dict[str, tuple[str, ...]]) -> str:
+    """view, columns and all values of every row of the safe views."""
+    tables = {"bronze": "docs", "silver": "named", "gold": "sealed"}
+    levels = {"v_public_chunks": " WHERE classification = 'public'",
+              "v_internal_chunks": " WHERE classification IN ('public', 'internal')"}
+    values = {
+        "allowed_roles": "array_to_string(allowed_roles, ',')",
+        "ingestion_timestamp": "'2024-06-01T00:00:00Z'",
+        "chunk_span": "'start=' || span_start || ',end=' || span_end",
+        "sensitivity_score": "printf('%.3f', score)",
+        "embedding_id": uuid5("'embedding|' || chunk_id || '|' || sha256(vec_id::VARCHAR)"
+                              " || '|2024-06-01T00:00:00Z'"),
+        "embedding_algorithm": "'AES-256-GCM'", "embedding_dim": "'64'",
+        "embedding_dtype": "'float32'", "embedding_model": "'given'"}
+    parts = []
+    for view, columns in views.items():
+        kind = next((k for k in tables if k in view), "silver")
+        shown = ", ".join(values.get(c, f"{c}::VARCHAR") for c in columns)
+        parts.append(f"SELECT '{view}' AS view, '{','.join(columns)}' AS columns, "
+                     f"concat_ws('|', {shown}) AS shown FROM {tables[kind]}"
+                     f"{levels.get(view, '')}")
+    return f"""WITH {SILVER}, named AS (SELECT *, {CHUNK_ID} AS chunk_id FROM scored), {VECTORS},
+  sealed AS (SELECT *, 'owner-' || (vec_id % 7) AS owner, '1.0' AS version,
+    sha256(vec_id::VARCHAR) AS document_hash, '2024-06-01T00:00:00Z' AS created_at FROM vecs)
+  {' UNION ALL '.join(parts)}"""
