@@ -9,8 +9,9 @@ never meet another document.
 How often an n-gram occurs is counted by hash ranges ("buckets"): a task sends each bucket
 the hashes of its documents' n-grams, 8 bytes each, and gets those back that occur in more
 documents. N-grams that many documents of one task share are sent once, with their number.
-Hashes have 48 bits besides the bucket's; an n-gram collides with another of the same pair
-of documents with a chance of about n^2 / 2^56.
+Hashes have 48 bits besides the bucket's. N-grams are compared by hash only: one of a document
+of n collides with one of another's with a chance of about n^2 / 2^56. Words enter by hashes
+without structured collisions (see wordhash).
 """
 
 from __future__ import annotations
@@ -24,26 +25,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardmill.operators.joins import spread_join
+from guardmill.operators.joins import hot_keys, spread_join
 from guardmill.operators.scratch import settled
 
 from . import blobs, wordhash
-from .columns import document_text, need_columns, shuffle_partitions
+from .columns import document_text, free_name, need_columns, shuffle_partitions
 from .components import components
 
 WORDS = 5
 #: Similarity from which two documents link, in hundredths.
 PERCENT = 75
 #: A task hands over its n-grams whenever it holds this many, or this many documents.
-BATCH_GRAMS = 1 << 20
+BATCH_GRAMS = 1 << 19
 BATCH_DOCS = 60_000
 TEXT_BYTES = 2 << 20
 #: An n-gram in so many documents of one batch is sent once for all of them.
 LOCAL_HOT = 32
 _HOT_SHARE = 0.001
-#: Sets of a larger component are compared block by block.
-PAIR_BLOCK = 512
-_COLUMNS = 4096
 #: Longer posting lists are compared list block by list block.
 LIST_BLOCK = 256
 _ALL = 0xFFFF
@@ -420,16 +418,31 @@ def remaining_pairs(postings: DataFrame, roots: DataFrame,
                     percent: int = PERCENT) -> DataFrame:
     """All candidate pairs whose sets are not yet known to be connected.
 
-    Lists whose sets are all connected are done. Others are cut into blocks of LIST_BLOCK
-    sets, and each pair of blocks is a key of its own, so no task gets a whole long list.
+    Lists whose sets are all connected are done.
     """
     root = F.coalesce("b", "node")
-    known = postings.join(roots.withColumnRenamed("a", "node"), "node", "left").select(
-        "token", "node", "n", "pos", root.alias("root"))
-    known = settled(known)
+    known = settled(postings.join(roots.withColumnRenamed("a", "node"), "node", "left").select(
+        "token", "node", "n", "pos", root.alias("root")))
     lists = known.groupBy("token").agg(
         F.min("root").alias("low"), F.max("root").alias("high"),
         F.count(F.lit(1)).alias("size")).filter("low < high")
+    return _met_in_lists(known, lists, percent)
+
+
+def all_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All candidate pairs: sets that share an n-gram of their prefixes and pass the length
+    and the positional filter there."""
+    known = postings.withColumn("root", F.col("node"))
+    lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return _met_in_lists(known, lists, percent)
+
+
+def _met_in_lists(known: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets of different roots that meet in one of the posting lists.
+
+    Long lists are cut into blocks of LIST_BLOCK sets, and each pair of blocks is a key of its
+    own, so no task gets a whole long list.
+    """
     open_lists = settled(lists.select("token", F.ceil(
         F.col("size") / LIST_BLOCK).cast("int").alias("blocks")))
     hot = open_lists.filter("blocks > 1").select("token")
@@ -458,90 +471,14 @@ def _few(hot: DataFrame, most: int = 100_000) -> DataFrame:
     return hot if hot.limit(most + 1).count() <= most else hot.limit(0)
 
 
-def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set of xs shares with each set of ys."""
-    size = [len(v) for v in (*xs, *ys)]
-    row = np.repeat(np.arange(len(size)), size)
-    _, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
-    left = row < len(xs)
-    common = (np.bincount(at[left], minlength=len(at)) > 0) & (
-        np.bincount(at[~left], minlength=len(at)) > 0)
-    row, at = row[common[at]], (np.cumsum(common) - 1)[at[common[at]]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    found = np.zeros((len(xs), len(ys)), dtype=np.float64)
-    last = int(at[-1]) + 1 if len(at) else 0
-    for low in range(0, last, _COLUMNS):
-        i, j = np.searchsorted(at, (low, low + _COLUMNS))
-        held = np.zeros((len(size), min(_COLUMNS, last - low)), dtype=np.float32)
-        held[row[i:j], at[i:j] - low] = 1
-        found += held[:len(xs)] @ held[len(xs):].T
-    return found.astype(np.int64)
-
-
-def _block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the table of the sets that link, of two blocks or within one."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    own, n = table.column("own").to_numpy(), table.column("n").to_numpy()
-    tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
-    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    both = overlaps([tokens[k] for k in x], [tokens[k] for k in y])
-    link = (100 + percent) * both >= percent * (n[x][:, None] + n[y][None, :])
-    p, q = np.nonzero(np.triu(link, 1) if i == j else link)
-    return x[p], y[q]
-
-
-def _blocks(classes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, i, j, own, node, n, tokens, copies: every two sets of a component share one key.
-
-    Linked sets share a component, so only sets of one component meet. A component is cut
-    into blocks of about PAIR_BLOCK sets and each pair of blocks is a key of its own: a set
-    is sent once per block of its component, not once per set.
-    """
-    parts = settled(roots.groupBy(F.col("b").alias("root")).agg(F.ceil(
-        (F.count(F.lit(1)) + 1) / PAIR_BLOCK).cast("int").alias("blocks")))
-    members = roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        parts.select(F.col("root").alias("node"), "root"))
-    hot = parts.filter("blocks > 1").select("root")
-    placed = spread_join(members, parts, ["root"], "inner", _few(hot))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (placed.join(groups.select("node", "copies"), "node").join(classes, "node")
-             .withColumn("own", own).withColumn(
-                 "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return dealt.select(
-        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "node", "n", "tokens", "copies")
-
-
-def linked_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: all pairs of sets that link, each once, a < b."""
-    def build(table: pa.Table) -> pa.Table:
-        x, y = _block_links(table, percent)
-        node = table.column("node").to_numpy()
-        a, b = node[x], node[y]
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()),
-                         pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    return blocks.groupBy("root", "i", "j").applyInArrow(build, "a long, b long")
-
-
-def class_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, links: the documents whose set is another one that links with the node's.
-
-    Links are summed where they are found, one row per set and key, so a large group's pairs
-    are not rows here.
-    """
-    def build(table: pa.Table) -> pa.Table:
-        x, y = _block_links(table, percent)
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        links = np.zeros(len(node), dtype=np.int64)
-        np.add.at(links, x, copies[y])
-        np.add.at(links, y, copies[x])
-        return pa.table([pa.array(node, pa.int64()), pa.array(links, pa.int64())],
-                        ["node", "links"])
-
-    found = blocks.groupBy("root", "i", "j").applyInArrow(build, "node long, links long")
-    return found.groupBy("node").agg(F.sum("links").alias("links"))
+def class_links(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, links: the documents whose set is another one that links with the node's."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = groups.select(F.col("node").alias("b"), "copies")
+    # a set that most others link with is met by many rows
+    hubs = hot_keys(both.select("b"), ["b"])
+    return spread_join(both, counted, ["b"], "inner", hubs).groupBy(
+        F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
 
 
 def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
@@ -551,13 +488,17 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Documents: the rows of `similar_documents` with `n_links`, the number of other documents
     that link with the row's, and `node`, the class of all rows with an equal set, null where
-    nothing can link. Pairs, computed only when read: a, b of all different classes that link, each once. Two
-    documents link iff their classes are the same or a pair.
+    nothing can link. Pairs: a, b of all different classes that link, each once. Two documents
+    link iff their classes are the same or a pair.
+
+    Candidates are all pairs of classes that meet in a prefix; each is verified once, so the
+    work and the table of pairs grow with the links between different sets, which for a group
+    of different near copies is the square of their number.
     """
-    judged = _judged(docs, words, percent, identity, text)
-    blocks = _blocks(judged.classes, judged.groups, judged.roots)
-    return (_with_component(judged, class_links(blocks, percent)),
-            linked_pairs(blocks, percent))
+    sets, groups, classes, postings = _classes(docs, words, percent, identity, text)
+    pairs = verified(all_pairs(postings, percent), classes, percent)
+    judged = _Judged(sets, groups, classes, components(pairs))
+    return _with_component(judged, class_links(pairs, groups)), pairs
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
@@ -588,8 +529,8 @@ class _Judged(NamedTuple):
 _DIGEST = ["n_shingles", "digest1", "digest2"]
 
 
-def _judged(docs: DataFrame, words: int, percent: int, identity: str, text: str) -> _Judged:
-    """The documents' sets, the groups of equal sets, one set of each, their components."""
+def _classes(docs: DataFrame, words: int, percent: int, identity: str, text: str) -> tuple:
+    """The documents' sets, the groups of equal sets, one set of each, their postings."""
     sets = gram_sets(docs, words, percent, identity, text)
     alive = sets.filter("tokens IS NOT NULL")
     groups = settled(alive.groupBy(*_DIGEST).agg(F.min("uid").alias("node"),
@@ -598,7 +539,12 @@ def _judged(docs: DataFrame, words: int, percent: int, identity: str, text: str)
     classes = settled(alive.join(groups.select(F.col("node").alias("uid")), "uid")
                       .select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"),
                               "tokens"))
-    postings = settled(prefix_postings(classes, percent))
+    return sets, groups, classes, settled(prefix_postings(classes, percent))
+
+
+def _judged(docs: DataFrame, words: int, percent: int, identity: str, text: str) -> _Judged:
+    """The same with the components instead of the postings."""
+    sets, groups, classes, postings = _classes(docs, words, percent, identity, text)
     roots = components(verified(leader_pairs(postings, percent), classes, percent))
     more = verified(remaining_pairs(postings, roots, percent), classes, percent)
     if more.head(1):
@@ -634,9 +580,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 identity: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the least of their component, with all their columns.
 
-    Rows with a null id stay; of rows that share the least id all stay.
+    Rows with a null id stay; of rows that share the least id all stay. Null, empty and blank
+    texts link with nothing and stay; an empty table stays empty. Columns may have any names.
     """
     judged = similar_documents(docs, words, percent, identity, text)
+    name = free_name(docs, "__gone")
     gone = judged.filter(F.col("doc_id") != F.col("component_id")).select(
-        F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[identity] == F.col("__gone"), "left_anti")
+        F.col("doc_id").alias(name))
+    return docs.join(gone.distinct(), docs[identity] == F.col(name), "left_anti")

@@ -109,8 +109,7 @@ MIXING = f"""WITH RECURSIVE d AS (SELECT doc_id, source,
   v AS (SELECT *, COALESCE(lag(until) OVER (ORDER BY source NULLS LAST), 0) AS since FROM (
     SELECT *, CAST(ceil(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER ()
       * 4294967296.0::DOUBLE) AS BIGINT) AS until FROM s)),
-  b AS (SELECT greatest(1, CAST(ceil(sum(size) / 1048576.0::DOUBLE) AS BIGINT)) AS block,
-    sum(size)::BIGINT AS total FROM d),
+  b AS (SELECT 1 AS block, sum(size)::BIGINT AS total FROM d),
   i AS (SELECT unnest(range(CAST(ceil(total / block::DOUBLE) AS BIGINT))) AS slot FROM b),
   turns AS (SELECT v.source, row_number() OVER (PARTITION BY v.source ORDER BY slot) - 1 AS turn
     FROM (SELECT slot, CAST((slot::HUGEINT * 2654435769 + 2147483648) % 4294967296 AS BIGINT)
@@ -126,8 +125,9 @@ MIXING = f"""WITH RECURSIVE d AS (SELECT doc_id, source,
       - greatest(p.first, p.k * p.block)) * COALESCE(takes.times, 0))::BIGINT AS taken
     FROM spread p LEFT JOIN takes ON takes.source IS NOT DISTINCT FROM p.source
       AND takes.block = p.k GROUP BY 1)
-  SELECT d.doc_id, d.size, s.source_size, s.target, COALESCE(got.taken, 0) AS taken
-  FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN got USING (doc_id)"""
+  SELECT d.doc_id, d.size, s.source_size, s.target, COALESCE(got.taken, 0) AS taken,
+    CASE WHEN got.taken > 0 THEN line.first END AS first_slot
+  FROM d JOIN line USING (doc_id) JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN got USING (doc_id)"""
 
 _MARKS = "!#*$%&"
 _TAILS = "#*$%&"

@@ -16,13 +16,15 @@ from guardmill.operators.scratch import settled
 
 from .columns import document_text, need_columns
 
-#: Characters of a text that are compressed together; short pieces keep the dictionary's
-#: weight the same throughout long texts.
-PIECE = 2048
-#: Pieces per label and half that are learnt from: the documented bound of the sample.
-SAMPLE_PIECES = 3000
-#: Bytes of each dictionary.
-DICTIONARY_BYTES = 512 << 10
+#: Characters of a text that are compressed together, and of a piece that is learnt; short
+#: pieces keep the dictionary's weight the same throughout long texts.
+PIECE = 512
+#: Pieces per label that its dictionary is made of: the bound of what is learnt. A piece is
+#: learnt whole, so a dictionary has up to DICTIONARY_PIECES * PIECE characters.
+DICTIONARY_PIECES = 1024
+#: Longer pieces per label that calibrate, as much like whole texts as a bound allows.
+CALIBRATION_PIECES = 3000
+CALIBRATION_PIECE = 2048
 LEVEL = 6
 
 
@@ -35,12 +37,9 @@ class CompressionModel:
     level: int
     intercept: float
     slope: float
-    squeeze: float
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        """`features`: rows of difference and squeeze; see `CompressionScorer`."""
-        odds = (self.intercept + self.slope * features[:, 0]
-                + self.squeeze * features[:, 1])
+    def probability(self, differences: np.ndarray) -> np.ndarray:
+        odds = self.intercept + self.slope * differences
         return 1.0 / (1.0 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -49,27 +48,20 @@ class CompressionScorer:
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL, piece: int = PIECE):
         self._packers = [_packer(d, level) for d in (good, bad)]
-        self._plain = zstandard.ZstdCompressor(level=level, write_content_size=False,
-                                               write_checksum=False, write_dict_id=False)
         self._piece = piece
 
-    def features(self, texts: Iterable[str | None]) -> np.ndarray:
+    def differences(self, texts: Iterable[str | None]) -> np.ndarray:
         """Per text the normalised difference (bad - good) / (bad + good) of the compressed
-        sizes, and how far the text squeezes by itself; zeros for a text without content."""
-        return np.array([self._one(text or "") for text in texts],
-                        dtype=np.float64).reshape(-1, 2)
+        sizes; 0 for a text without content."""
+        return np.array([self._one(text or "") for text in texts], dtype=np.float64)
 
-    def _one(self, text: str) -> tuple[float, float]:
-        good = bad = alone = whole = 0
+    def _one(self, text: str) -> float:
+        good = bad = 0
         for at in range(0, len(text), self._piece):
             data = text[at:at + self._piece].encode("utf-8")
             good += len(self._packers[0].compress(data))
             bad += len(self._packers[1].compress(data))
-            alone += len(self._plain.compress(data))
-            whole += len(data)
-        if not whole:
-            return 0.0, 0.0
-        return (bad - good) / (bad + good), max(0.0, 1.0 - alone / whole)
+        return (bad - good) / (bad + good) if good else 0.0
 
 
 def _packer(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -91,16 +83,20 @@ def held_out(identity: Column) -> Column:
 
 def training_pieces(docs: DataFrame, labels: DataFrame, identity: str = "doc_id",
                     text: str = "text", label: str = "quality",
-                    pieces: int = SAMPLE_PIECES, piece: int = PIECE) -> DataFrame:
-    """label, part, place, document, content: a bounded sample of labelled text.
-
-    Up to `pieces` pieces per label and part: part 0 for the dictionaries, part 1 for the
-    calibration. The sample is the least by a hash of id and place, so it depends on the
-    rows alone and every piece of every labelled text has the same chance. An id with
-    different labels is left out.
+                    pieces: tuple[int, int] | int = (DICTIONARY_PIECES,
+                                                           CALIBRATION_PIECES),
+                    piece: tuple[int, int] = (PIECE, CALIBRATION_PIECE)) -> DataFrame:
+    """label, part, order, id, place, content: a bounded sample of labelled text.
+
+    Up to `pieces` pieces of `piece` characters per label and part: part 0 for the
+    dictionaries, part 1 for the calibration. The sample is the least by a hash of id and
+    place, so it depends on the rows alone and every piece of every labelled text has the
+    same chance. An id with different labels is left out. Of several texts with one id the
+    longest is drawn from, of equally long ones the last in code point order.
     """
     need_columns(docs, identity, text)
     need_columns(labels, identity, label)
+    pieces = (pieces, pieces) if isinstance(pieces, int) else pieces
     known = (labels.select(F.col(identity).alias("id"), F.col(label).cast("int")
                            .alias("label"))
              .filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
@@ -112,37 +108,42 @@ def training_pieces(docs: DataFrame, labels: DataFrame, identity: str = "doc_id"
                         F.length(document_text(text)).alias("chars"))
     sized = sizes.filter("chars > 0").groupBy("id").agg(F.max("chars").alias("chars"))
     # places of pieces are chosen on sizes; only the chosen texts are then looked at
-    listed = known.join(sized, "id").select(
-        "id", "label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2)).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / piece)))
-        .alias("place"))
+    parted = known.join(sized, "id").withColumn(
+        "part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2)))
+    long = F.when(F.col("part") == 0, F.lit(piece[0])).otherwise(F.lit(piece[1]))
+    listed = parted.select("id", "label", "part", "chars", long.alias("long"), F.explode(
+        F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / long))).alias("place"))
     order = F.xxhash64("id", "place", F.lit("draw"))
     drawn = [listed.filter((F.col("label") == a) & (F.col("part") == b))
-             .withColumn("order", order).orderBy("order", "id", "place").limit(pieces)
+             .withColumn("order", order).orderBy("order", "id", "place").limit(pieces[b])
              for a in (0, 1) for b in (0, 1)]
     chosen = drawn[0]
     for other in drawn[1:]:
         chosen = chosen.unionByName(other)
-    chosen = settled(chosen)  # at most 4 * pieces rows
-    wanted = chosen.groupBy("id").agg(F.collect_set("place").alias("places"))
-    texts = docs.select(F.col(identity).alias("id"), document_text(text).alias("text"))
-    found = texts.join(F.broadcast(wanted), "id").select(
+    chosen = settled(chosen)  # at most twice the sum of `pieces` rows
+    wanted = chosen.groupBy("id", "chars", "long").agg(
+        F.collect_set("place").alias("places"))
+    body = document_text(text)
+    texts = docs.select(F.col(identity).alias("id"), body.alias("text"),
+                        F.length(body).alias("chars"))
+    found = texts.join(F.broadcast(wanted), ["id", "chars"]).select(
         "id", F.explode(F.transform("places", lambda p: F.struct(
-            p.alias("place"), F.substring(F.col("text"), (p * piece + 1).cast("int"),
-                                          F.lit(piece)).alias("content")))).alias("p"))
+            p.alias("place"), F.substring(F.col("text"), (p * F.col("long") + 1).cast("int"),
+                                          F.col("long")).alias("content"),
+            F.sha2(F.col("text"), 256).alias("of")))).alias("p"))
+    # all pieces of an id from one and the same of its longest texts
     cut = found.groupBy("id", F.col("p.place").alias("place")).agg(
-        F.min("p.content").alias("content"))
+        F.max_by("p.content", "p.of").alias("content"))
     return chosen.join(cut, ["id", "place"]).select(
         "label", "part", "order", "id", "place", "content")
 
 
-def fit(rows: Sequence, level: int = LEVEL,
-        dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
+def fit(rows: Sequence, level: int = LEVEL) -> CompressionModel:
     """Fits the model to collected rows of `training_pieces`.
 
-    Part 0 fills the dictionaries, part 1 calibrates: the difference is compared on text
-    the dictionaries have not seen. Without text of both labels in either part every score
-    is the prior alone.
+    Part 0 is the dictionaries, whole pieces one after the other; part 1 calibrates: the
+    difference is compared on text the dictionaries have not seen. Without text of both
+    labels in either part every score is the prior alone.
     """
     ordered = sorted(rows, key=lambda r: (r["label"], r["part"], r["order"], r["id"],
                                           r["place"]))
@@ -150,36 +151,25 @@ def fit(rows: Sequence, level: int = LEVEL,
     def contents(label: int, part: int) -> list[str]:
         return [r["content"] for r in ordered if r["label"] == label and r["part"] == part]
 
-    good, bad = (_dictionary(contents(label, 0), dictionary_bytes) for label in (1, 0))
+    good, bad = ("\n".join(contents(label, 0)).encode("utf-8") for label in (1, 0))
     counts = [len(contents(label, 1)) for label in (0, 1)]
     if not good or not bad or not all(counts):
         share = (len([r for r in ordered if r["label"] == 1]) + 1) / (len(ordered) + 2)
-        return CompressionModel(good, bad, level, math.log(share / (1 - share)), 0.0, 0.0)
+        return CompressionModel(good, bad, level, math.log(share / (1 - share)), 0.0)
     scorer = CompressionScorer(good, bad, level)
-    features = scorer.features(contents(0, 1) + contents(1, 1))
+    found = scorer.differences(contents(0, 1) + contents(1, 1))
     target = np.repeat([0.0, 1.0], counts)
     # each label counts as much as the other, whatever the sample's shares
     weight = np.repeat([0.5 / counts[0], 0.5 / counts[1]], counts) * len(target)
-    intercept, slope, squeeze = _logistic(features, target, weight)
-    return CompressionModel(good, bad, level, intercept, slope, squeeze)
-
-
-def _dictionary(contents: Sequence[str], most: int) -> bytes:
-    """The same share of every piece, so that many documents have their say."""
-    if not contents:
-        return b""
-    share = max(64, most // len(contents))
-    data = b"\n".join(c.encode("utf-8")[:share] for c in contents)
-    return data[:most]
+    return CompressionModel(good, bad, level, *_logistic(found, target, weight))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
-    """Weighted logistic regression by Newton's method, with a small ridge."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    center = x.mean(axis=0)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression on one number by Newton's method, with a small ridge."""
+    scale, center = max(float(x.std()), 1e-9), float(x.mean())
     z = np.column_stack([np.ones(len(x)), (x - center) / scale])
-    ridge = np.diag([1e-6, 1e-2, 1e-2]) * len(x)
-    beta = np.zeros(3)
+    ridge = np.diag([1e-6, 1e-2]) * len(x)
+    beta = np.zeros(2)
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ beta, -30, 30)))
         slope = z.T @ (weight * (y - p)) - ridge @ beta
@@ -188,8 +178,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    slopes = beta[1:] / scale
-    return float(beta[0] - slopes @ center), float(slopes[0]), float(slopes[1])
+    return float(beta[0] - beta[1] / scale * center), float(beta[1] / scale)
 
 
 def score_documents(docs: DataFrame, model: CompressionModel, identity: str = "doc_id",
@@ -212,7 +201,7 @@ def score_documents(docs: DataFrame, model: CompressionModel, identity: str = "d
             found = []
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(2).slice(at, 256).to_pylist()
-                found.append(model.probability(scorer.features(texts)))
+                found.append(model.probability(scorer.differences(texts)))
             scores = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores),
@@ -226,7 +215,12 @@ def score_documents(docs: DataFrame, model: CompressionModel, identity: str = "d
 
 def classify_documents(docs: DataFrame, labels: DataFrame, identity: str = "doc_id",
                        text: str = "text", label: str = "quality") -> DataFrame:
-    """Learns from the labels that are not held out and scores every document."""
+    """Learns from the labels that are not held out and scores every document.
+
+    Columns as `score_documents`. Null and empty texts score alike, rows of one id by their
+    own texts; a null id is scored and held out. An empty table gives no rows; without labels
+    of both kinds every score is the prior. Other columns are not read.
+    """
     model = fit(training_pieces(docs, labels, identity, text, label).collect())
     return score_documents(docs, model, identity, text)
 
@@ -235,7 +229,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, identity: str = "doc_id",
                    text: str = "text", label: str = "quality",
                    threshold: float = 0.5) -> DataFrame:
     """The rows whose score reaches `threshold`, with all their columns, whatever these are
-    called. No shuffle."""
+    called. No shuffle. Nulls, empty texts and repeated rows as in `classify_documents`: equal
+    rows stay or go together; an empty table stays empty."""
     model = fit(training_pieces(docs, labels, identity, text, label).collect())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
@@ -246,7 +241,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, identity: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                scores = model.probability(scorer.features(part.column(place).to_pylist()))
+                scores = model.probability(scorer.differences(part.column(place).to_pylist()))
                 yield part.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

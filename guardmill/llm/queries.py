@@ -48,6 +48,13 @@ def op1_ngram_join(spark, sf):
     return ngram_join.similar_documents(documents(spark, sf)).drop("uid")
 
 
+@_query(oracle.NGRAM_LINKS)
+def ngram_links(spark, sf):
+    """The whole join: as op1_ngram_join, with the number of documents each one links with."""
+    found, _ = ngram_join.linked_documents(documents(spark, sf))
+    return found.drop("uid", "node")
+
+
 @_query(oracle.SUBSTRING_DEDUP)
 def op2_substring_dedup(spark, sf):
     """Words in windows of 50 that also start in an earlier document are removed."""
@@ -70,9 +77,9 @@ def op4_exact_dedup(spark, sf):
 @_query(oracle.WARC)
 def op5_warc(spark, sf):
     """All pages written as WARC records and read back."""
-    found = warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"),
-                               scratch_path(spark, "warc"))
-    return found.drop("digest_ok")
+    # every digest has been held against the bytes by now
+    return warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"),
+                              scratch_path(spark, "warc")).drop("digest_ok")
 
 
 @_query()

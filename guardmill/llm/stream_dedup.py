@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from guardmill.operators.joins import spread_join
 from guardmill.operators.scratch import scratch_path, settled
 
-from .columns import document_text, need_columns
+from .columns import document_text, free_name, need_columns
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Memory that the state stores of an executor share.
@@ -142,19 +142,25 @@ def check_bytes(docs: DataFrame, groups: DataFrame, hot: DataFrame, text: str) -
 
 def kept_documents(docs: DataFrame, identity: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their own columns."""
+    """The rows of `docs` that stay, with their own columns, whatever these are called.
+
+    One row per different text, a null one being empty; an empty table stays empty. Of rows
+    equal in id and text one stays where rows have a place in a file, else all.
+    """
     verdict = dedup_documents(docs, identity, text)
+    file, row = free_name(docs, "__file"), free_name(docs, "__row")
+    key, sha = free_name(docs, "__id"), free_name(docs, "__sha")
     if _has_place(docs):
         place = verdict.filter("kept").select(
-            F.col("locator.file").alias("__file"), F.col("locator.row").alias("__row"))
-        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"),
-                             F.col("_metadata.row_index").alias("__row"))
-        return placed.join(place, ["__file", "__row"], "left_semi").select(docs.columns)
-    keep = verdict.filter("kept").select(F.col(identity).alias("__id"),
-                                         F.col("text_sha256").alias("__sha")).distinct()
+            F.col("locator.file").alias(file), F.col("locator.row").alias(row))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file),
+                             F.col("_metadata.row_index").alias(row))
+        return placed.join(place, [file, row], "left_semi").select(docs.columns)
+    keep = verdict.filter("kept").select(F.col(identity).alias(key),
+                                         F.col("text_sha256").alias(sha)).distinct()
     digest = F.sha2(document_text(text).cast("binary"), 256)
-    return docs.join(keep, docs[identity].eqNullSafe(F.col("__id"))
-                     & (digest == F.col("__sha")), "left_semi")
+    return docs.join(keep, docs[identity].eqNullSafe(F.col(key))
+                     & (digest == F.col(sha)), "left_semi")
 
 
 def _has_place(docs: DataFrame) -> bool:

@@ -33,6 +33,10 @@ _RECORDS = ("record_id string, record_type string, target_uri string, refers_to
             "offset long")
 
 
+#: The record id of a page without an id; no id gives it.
+NO_ID = "<urn:page-without-id>"
+
+
 class BadArchive(ValueError):
     """The bytes do not follow the format."""
 
@@ -42,7 +46,7 @@ def sha1_base32(data: bytes) -> str:
 
 
 def record_uri(page_id) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+    return NO_ID if page_id is None else f"<urn:page:{page_id}>"
 
 
 def record_bytes(kind: str, page_id, url: str | None, payload: bytes, digest: str,
@@ -346,16 +350,45 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str,
 
     Columns: identity, payload_bytes, payload_digest, record_type, refers_to, digest_ok.
     Null payload: empty. Null url: no target URI. Repeated rows: a record each. Null ids:
-    written as such. No rows: no archives and no rows. Other columns are not read.
+    written as such. No rows: no archives and no rows. Other columns are not read. What was
+    read is held against its digests (`verified`): a damaged archive ends the job.
     """
     written = write_archives(choose_records(pages, identity, payload, url, least_bytes),
                              folder)
     kind = pages.schema[identity].dataType
 
     def page(column: str):
-        inner = F.regexp_extract(column, "^<urn:page:(.*)>$", 1)
-        return F.when(inner != "null", inner).cast(kind)
+        return F.when(F.col(column).startswith("<urn:page:"), F.regexp_extract(
+            column, "(?s)^<urn:page:(.*)>$", 1)).cast(kind)
 
-    return read_archives(written).select(
+    return verified(settled(read_archives(written))).select(
         page("record_id").alias(identity), "payload_bytes", "payload_digest", "record_type",
         page("refers_to").alias("refers_to"), "digest_ok")
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """`records` as they are if all of them agree with their digests, else BadArchive.
+
+    A response's digests are those of the bytes that were read. A revisit has no payload: the
+    length and digest it states must be those of the response it refers to, and there has to
+    be one. Responses and revisits are summed per response, so a payload that most records
+    share is one row to compare. Reads `records` twice, so it should be stored.
+    """
+    revisit = F.col("record_type") == "revisit"
+    damaged = records.filter(~F.col("digest_ok")).select(
+        F.concat(F.lit("damaged record "), F.coalesce("record_id", F.lit("without id")),
+                 F.lit(" in "), "file").alias("problem"))
+    stated = records.groupBy(F.when(revisit, F.col("refers_to")).otherwise(
+        F.col("record_id")).alias("response")).agg(
+        F.count_if(~revisit).alias("responses"), F.count_if(revisit).alias("revisits"),
+        F.min("payload_digest").alias("d1"), F.max("payload_digest").alias("d2"),
+        F.min("payload_bytes").alias("b1"), F.max("payload_bytes").alias("b2"))
+    unlike = stated.filter((F.col("revisits") > 0) & (
+        (F.col("responses") == 0) | F.col("response").isNull()
+        | (F.col("d1") != F.col("d2")) | (F.col("b1") != F.col("b2")))).select(
+        F.concat(F.lit("revisits unlike their response "),
+                 F.coalesce("response", F.lit("without id"))).alias("problem"))
+    problems = [r["problem"] for r in damaged.unionByName(unlike).limit(5).collect()]
+    if problems:
+        raise BadArchive("; ".join(problems))
+    return records

@@ -15,6 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from guardmill.llm import packing, simple8b, token_files, tokens, warc
 from guardmill.operators.scratch import scratch_path
 
@@ -252,3 +254,28 @@ def test_packed_documents(spark):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
                    for r in found) == want
     assert packing.pack_documents(frame(spark, []), BYTE).count() == 0
+
+
+def test_damaged_archives_end_the_job(spark):
+    _, df = pages(spark)
+    written = warc.write_archives(warc.choose_records(df), scratch_path(spark, "warc"))
+    records = warc.read_archives(written)
+    assert warc.verified(records) is records
+    revisit = F.col("record_type") == "revisit"
+    for damaged in (
+            records.withColumn("digest_ok", F.col("record_id") != "<urn:page:4>"),
+            records.withColumn("payload_digest", F.when(revisit, "A").otherwise(
+                F.col("payload_digest"))),
+            records.withColumn("payload_bytes", F.when(revisit, F.lit(1).cast("long"))
+                               .otherwise(F.col("payload_bytes"))),
+            records.withColumn("refers_to", F.when(revisit, "<urn:page:99>"))):
+        with pytest.raises(warc.BadArchive):
+            warc.verified(damaged)
+
+
+def test_ids_that_look_like_none(spark):
+    rows = [("null", "u", "a", "d", "k"), (None, "u", "b", "d", "k"), ("", "u", "c", "d", "k"),
+            ("x\ny", "u", "b", "d", "k")]
+    df = spark.createDataFrame(rows[:3], PAGES.replace("long", "string"))
+    found = warc.archive_pages(spark, df, scratch_path(spark, "warc")).collect()
+    assert {(r.page_id, r.payload_bytes) for r in found} == {("null", 1), (None, 1), ("", 1)}

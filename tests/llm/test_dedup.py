@@ -94,10 +94,9 @@ def test_similar_documents_in_large_groups(spark, monkeypatch):
     assert {r.doc_id for r in stay.collect()} == {c for _, _, c in components(rows)}
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [256, 16])
 def test_all_links(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "PAIR_BLOCK", block)
-    monkeypatch.setattr(ngram_join, "_COLUMNS", 100)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
     rows = edge_rows() + near_rows()
     sets = [grams(r[1]) for r in rows]
 

@@ -266,3 +266,123 @@ def test_registered():
     assert numbers == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+# --- a plain version of the classifier ----------------------------------------------------
+
+
+def spark_hash(*values):
+    """xxhash64 over numbers and texts, as the sample is drawn by."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<q", v)
+        seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def plain_scores(rows, labels):
+    """Every score from the definition: sample, dictionaries, sizes, logistic curve."""
+    import numpy as np
+    import zstandard
+
+    q = quality_classifier
+    longest, seen = {}, defaultdict(set)
+    for i, t, *_ in rows:
+        if i is not None and t and len(t) >= len(longest.get(i, "")):
+            longest[i] = t
+    for i, y, *_ in labels:
+        if i is not None and y in (0, 1):
+            seen[i].add(y)
+    drawn = defaultdict(list)
+    for i, kinds in seen.items():
+        if len(kinds) == 1 and i in longest and zlib.crc32(str(i).encode()) % 3 != 1:
+            part = spark_hash(i, "part") % 2
+            size = (q.PIECE, q.CALIBRATION_PIECE)[part]
+            for place in range(-(-len(longest[i]) // size)):
+                drawn[min(kinds), part].append((
+                    spark_hash(i, place, "draw"), i, place,
+                    longest[i][place * size:(place + 1) * size]))
+    most = (q.DICTIONARY_PIECES, q.CALIBRATION_PIECES)
+    drawn = {k: [x[3] for x in sorted(v)[:most[k[1]]]] for k, v in drawn.items()}
+    packers = [zstandard.ZstdCompressor(
+        level=q.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+        dict_data=zstandard.ZstdCompressionDict("\n".join(drawn[label, 0]).encode(),
+                                                dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        for label in (1, 0)]
+
+    def difference(text):
+        sizes = [sum(len(p.compress(text[a:a + q.PIECE].encode()))
+                     for a in range(0, len(text), q.PIECE)) for p in packers]
+        return (sizes[1] - sizes[0]) / sum(sizes) if text else 0.0
+
+    x = np.array([difference(t) for label in (0, 1) for t in drawn[label, 1]])
+    counts = [len(drawn[label, 1]) for label in (0, 1)]
+    y = np.repeat([0.0, 1.0], counts)
+    weight = np.repeat([len(x) / 2 / c for c in counts], counts)
+    mean, spread = x.mean(), max(x.std(), 1e-9)
+    # the curve by plain descent on the same penalised likelihood
+    a = b = 0.0
+    z = (x - mean) / spread
+    for _ in range(20_000):
+        error = weight * (1 / (1 + np.exp(-(a + b * z))) - y)
+        da = error.mean() + 1e-6 * a
+        db = (error * z).mean() + 1e-2 * b
+        a, b = a - 2 * da, b - 2 * db
+    return [1 / (1 + math.exp(-max(-30, min(30, a + b * (difference(t or "") - mean) / spread))))
+            for _, t, *_ in rows]
+
+
+def test_every_score_by_the_plain_version(spark):
+    docs, labels, _ = labelled(spark)
+    rows = [tuple(r)[:5] for r in docs.collect()]
+    rows += [(7, "x", None, None, 0), (7, prose(3, 900), None, None, 0),
+             (None, prose(4, 50), None, None, 0), (999, "", None, None, 0),
+             (998, None, None, None, 0), (8, prose(5, 2_000), None, None, 0)]
+    known = [tuple(r) for r in labels.collect()] + [(7, 1, 0), (9, 1 - 1, 0)]
+    frame_of = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    found = quality_classifier.classify_documents(frame(spark, rows), frame_of)
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in found.collect())
+    want = sorted((r[0] is None, r[0] or 0, round(s, 6)) for r, s in zip(
+        rows, plain_scores(rows, known), strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want, strict=True))
+
+
+def test_pieces_of_an_id_come_from_its_longest_text(spark):
+    long = prose(1, 1_500)
+    rows = [(i, t, None, None, 0) for i in range(30) for t in ("short", long, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    sample = quality_classifier.training_pieces(frame(spark, rows), labels).collect()
+    assert sample and all(r.content and r.content in long for r in sample)
+
+
+def test_places_in_the_mix(spark):
+    """The ranks of all documents' slots are those of their source, each once."""
+    rows = [(i, prose(i, 5 + i % 40), None, ("a", "b", None)[i % 7 % 3], 0) for i in range(120)]
+    ranks = defaultdict(list)
+    source = {r[0]: r[3] for r in rows}
+    for r in mixed(spark, rows):
+        assert (r.first_slot is None) == (r.taken == 0)
+        if r.taken:
+            places = [r.first_slot + k * r.source_size + w for k in range(4)
+                      for w in range(r.size)][:r.taken]
+            ranks[source[r.doc_id]] += places
+    assert all(sorted(x) == list(range(len(x))) for x in ranks.values()) and len(ranks) == 3
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from guardmill.llm import ngram_join, stream_dedup
+
+    names = ("__id", "__key", "__copies", "__copy", "__text_key", "__gone", "__file", "__row",
+             "__sha", "row", "copy", "key", "id")
+    rows = [(i, prose(i % 9, 40), "en", f"s{i % 2}", i) for i in range(30)]
+    docs = frame(spark, rows).withColumns({n: F.lit(n) for n in names})
+    for kept in (mixing.mixed_documents(docs), ngram_join.one_of_each(docs),
+                 stream_dedup.kept_documents(docs)):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all(r[n] == n for r in found for n in names)
