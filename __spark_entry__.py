@@ -1791,9 +1791,3 @@ if _llm is not None:
     _ORACLES.update(_llm.ORACLES)
     if _pipeline.ORACLE_SQL is not None:
         _ORACLES["pipeline"] = _pipeline.ORACLE_SQL
-
-    @query(_llm.oracle.NGRAM_LINKS)
-    def ngram_links(spark, sf):
-        """op1_ngram_join with the number of documents that each one links with."""
-        found, _ = _llm.ngram_join.linked_documents(_llm.documents(spark, sf))
-        return found.drop("uid", "node")
