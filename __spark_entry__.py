@@ -381,12 +381,14 @@ def facts_written_and_read(spark, sf):
 
 def _cache_inputs(spark, sf):
     """documents as chunks; labels, some stale and some repeated, as cached rows."""
-    docs = w.table(spark, sf, "documents")
+    # hashed before the join, which then moves no text
+    docs = w.table(spark, sf, "documents").select(
+        "doc_id", "source", F.sha2("text", 256).alias("hash"))
     chunks = docs.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"),
-                         F.sha2("text", 256).alias("document_hash"), "source")
+                         F.col("hash").alias("document_hash"), "source")
     cached = w.table(spark, sf, "labels").join(docs, "doc_id").select(
         F.concat(F.lit("c"), "doc_id").alias("chunk_id"),
-        F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise("stale")
+        F.when(F.col("quality") == 1, F.col("hash")).otherwise("stale")
         .alias("document_hash"),
         F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-02-01"),
                           F.concat(F.lit("2024-03-0"), F.col("toxic") + 1)))

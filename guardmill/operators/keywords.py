@@ -36,18 +36,20 @@ def postings(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
-    """question, position, document_id: the first text of its scope that holds all words.
+    """question, found, position, document_id: the first text of its scope that holds all
+    words, one row per row of `questions`.
 
     questions: question, scope, words (lower case, distinct); texts: scope, position,
-    document_id, chunk_text. Questions without words, or whose words no text holds, have no
-    row. Nulls in a scope match nothing; a null text holds nothing; of equal positions the
-    least document id counts.
+    document_id, chunk_text. Questions without words, or whose words no text holds, are not
+    found. Nulls in a scope match nothing; a null text holds nothing; of equal positions the
+    least document id counts. Repeated questions are answered each for itself.
     """
-    asked = settled(questions.filter(F.size("words") > 0).select(
-        "question", "scope", F.array_sort("words").alias("words"),
-        F.xxhash64(F.array_sort("words")).alias("words_key")))
+    words = F.array_sort("words")
+    asked = settled(questions.select("question", "scope", words.alias("words"),
+                                     F.xxhash64(words).alias("words_key")))
     # one question per scope and set of words
-    single = settled(asked.select("scope", "words", "words_key").distinct())
+    single = settled(asked.filter(F.size("words") > 0).select(
+        "scope", "words", "words_key").distinct())
     lowered = F.lower(F.coalesce("chunk_text", F.lit("")))
     held = texts.filter(F.col("scope").isNotNull()).select(
         "scope", "position", "document_id", lowered.alias("lowered"))
@@ -72,10 +74,14 @@ def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
         F.forall("words", lambda word: F.contains("lowered", word)))
     firsts = tested.groupBy("scope", "words_key", "words").agg(F.min("first").alias("f"))
     key = ["scope", "words_key"]
-    often_asked = hot_keys(asked.select(*key), key)
-    return spread_join(asked.withColumnRenamed("words", "__words"), firsts, key, "inner",
-                       often_asked).filter(F.col("__words") == F.col("words")).select(
-        "question", "f.position", "f.document_id")
+    answered = firsts.select(*key, F.col("words").alias("__words"), "f")
+    joined = spread_join(asked, answered, key, "left", hot_keys(asked.select(*key), key))
+    # other words under one hash: that answer is not this question's
+    found = F.col("f").isNotNull() & (F.col("words") == F.col("__words"))
+    return joined.select(
+        "question", F.coalesce(found, F.lit(False)).alias("found"),
+        F.when(found, F.col("f.position")).alias("position"),
+        F.when(found, F.col("f.document_id")).alias("document_id"))
 
 
 def first_values(intents: DataFrame, texts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from guardmill.functions.text import unix_newlines
 from guardmill.operators.joins import hot_keys, spread_join
 from guardmill.operators.scratch import settled
 
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?")
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, relative_path, file_name of every file below `folder`; reads no content."""
@@ -21,8 +25,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 def relative_path(path: Column, folder: str) -> Column:
     """A listed path below `folder`."""
-    # the listing may add a scheme in front of the folder
-    base = folder.rstrip("/") + "/"
+    # listing and folder may write scheme and host differently, or only one of them at all
+    base = _SCHEME.sub("", folder).rstrip("/") + "/"
     return F.substring(path, F.instr(path, base) + F.lit(len(base)), F.length(path))
 
 

@@ -130,3 +130,6 @@ def test_relative_paths(spark, tmp_path):
     (tmp_path / "s" / "f.txt").write_text("x")
     listed = texts.list_files(spark, str(tmp_path), "*.txt").collect()
     assert [r.relative_path for r in listed] == ["s/f.txt"]
+    for folder in (f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert [r.relative_path for r in texts.list_files(spark, folder, "*.txt").collect()
+                ] == ["s/f.txt"]

@@ -52,7 +52,7 @@ def test_first_text_that_holds_all_words(spark):
         if hits:
             want[q] = min(hits, key=lambda h: h[0])
     got = {r.question: (r.position, r.document_id)
-           for r in keywords.first_texts(questions, chunks).collect()}
+           for r in keywords.first_texts(questions, chunks).collect() if r.found}
     assert got == want and got["q10"] == (0, "d0") and len(got) > 200
 
 
@@ -79,3 +79,10 @@ def test_no_questions_and_no_chunks(spark):
     alone = retrieval.answer_questions(asked, chunks.limit(0))
     assert alone.count() == len(ASKED)
     assert alone.select("answer").distinct().count() == 1
+
+
+def test_repeated_questions_are_answered_each_for_itself(spark):
+    asked, chunks = frames(spark)
+    twice = asked.filter("request_id IN ('q1', 'q4', 'q5')")
+    found = retrieval.answer_questions(twice.unionByName(twice).unionByName(twice), chunks)
+    assert found.count() == 9 and found.distinct().count() == 3
