@@ -809,216 +809,6 @@ def extract_answers(spark, sf):
                                       chunks.withColumnRenamed("conv_id", "scope"))
 
 
-@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS}, {o.VECTOR_SCORES},
-  seen AS (SELECT s.*, p.role, {o.allowed('p', 's')} AS ok,
-    row_number() OVER (PARTITION BY s.request_id, {o.allowed('p', 's')} ORDER BY score DESC, chunk_id) AS rank
-    FROM scores s JOIN requests r USING (request_id) JOIN people p ON p.user_id = r.user_id)
-  SELECT request_id, 'search' AS event_type, any_value(role) AS role,
-    string_agg(chunk_id, ',' ORDER BY rank) FILTER (ok AND rank <= 5) AS returned,
-    count(*) FILTER (ok AND rank <= 5) AS returned_count, count(*) FILTER (NOT ok) AS filtered_out_count,
-    count(*) FILTER (ok) AS decrypted_embedding_count, 'success' AS status FROM seen GROUP BY request_id""")
-def secure_audit(spark, sf):
-    """The audit events of the same batch."""
-    found = retrieval.secure_retrieve(
-        w.label_requests(spark, sf), _gold_vectors(spark, sf), w.users(spark, sf),
-        w.keys(spark, sf), CONTRACTS)
-    return found.audit.select(
-        "request_id", "event_type", "role", _joined("returned_ids").alias("returned"),
-        F.col("returned_count").cast("bigint").alias("returned_count"),
-        "filtered_out_count", "decrypted_embedding_count", "status")
-
-
-@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.VECTOR_SCORES},
-  near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank
-    FROM scores WHERE classification <> 'restricted')
-  SELECT request_id, rank, chunk_id, classification, round(1 - score, 6) AS distance FROM near WHERE rank <= 20""")
-def nearest_candidates(spark, sf):
-    """Index lookup with a metadata filter, before any permission check."""
-    table = pipeline.build_index(_gold_vectors(spark, sf), w.keys(spark, sf))
-    found = retrieval.nearest_candidates(w.label_requests(spark, sf), table, 20,
-                                         F.col("classification") != "restricted")
-    return found.select("request_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
-                        "classification", F.round("distance", 6).alias("distance"))
-
-
-@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.VECTOR_SCORES},
-  near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank
-    FROM scores WHERE classification <> 'restricted')
-  SELECT request_id, rank, chunk_id, document_id, department, classification, round(1 - score, 6) AS distance FROM near WHERE rank <= 20""")
-def nearest_by_cells(spark, sf):
-    """The same lookup in a stored index of cells; cells that can't hold a result stay
-    unread."""
-    table = pipeline.build_index(_gold_vectors(spark, sf), w.keys(spark, sf))
-    stored = cells.build_cells(table, scratch_path(spark, "cells"))
-    found = cells.nearest_by_cells(w.label_requests(spark, sf), stored, 20,
-                                   F.col("classification") != "restricted")
-    return found.select("request_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
-                        "document_id", "department", "classification",
-                        F.round("distance", 6).alias("distance"))
-
-
-@query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS}, {o.VECTOR_SCORES},
-  near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM scores),
-  linked AS (SELECT DISTINCT n.request_id, v.chunk_id FROM near n JOIN vecs v USING (document_id) WHERE n.rank <= 3),
-  offered AS (SELECT request_id, chunk_id FROM near WHERE rank <= 20 UNION SELECT * FROM linked),
-  seen AS (SELECT s.*, {o.allowed('p', 's')} AS ok,
-      row_number() OVER (PARTITION BY s.request_id, {o.allowed('p', 's')} ORDER BY score DESC, chunk_id) AS rank
-    FROM offered o JOIN scores s USING (request_id, chunk_id) JOIN requests r USING (request_id)
-    JOIN people p ON p.user_id = r.user_id)
-  SELECT request_id, rank, chunk_id, round(score, 6) + 0.0 AS score FROM seen WHERE ok AND rank <= 5""")
-def hybrid_retrieve(spark, sf):
-    """Index candidates plus chunks of the documents nearest to the request."""
-    gold, keys = _gold_vectors(spark, sf), w.keys(spark, sf)
-    requests = w.label_requests(spark, sf)
-    table = pipeline.build_index(gold, keys)
-    near = retrieval.nearest_candidates(requests, table, 20)
-    members = gold.select("document_id", "chunk_id")
-    edges = members.select(F.col("document_id").alias("source_id"),
-                           F.col("chunk_id").alias("target_id"),
-                           F.lit("relates_to").alias("relation_type"))
-    seeds = near.filter(F.col("rank") <= 3).select(
-        "request_id", F.col("document_id").alias("node_id"))
-    linked = graph.reachable(edges, seeds, max_hops=1).select(
-        "request_id", F.col("reached_id").alias("chunk_id"), F.lit(1).alias("hops"))
-    pairs = retrieval.strategy_pairs("hybrid", near, linked)
-    found = retrieval.retrieve_pairs(requests, pairs, gold, w.users(spark, sf), keys,
-                                     CONTRACTS)
-    return found.results.select("request_id", F.col("rank").cast("bigint").alias("rank"),
-                                "chunk_id", "score")
-
-
-def _chunk_gold(spark, sf):
-    """The gold table of all documents, written and read back as the pipeline does."""
-    chunks = chunking.chunk_documents(w.catalogue(spark, sf))
-    path = scratch_path(spark, "gold")
-    pipeline.fresh_embeddings(chunks, w.keys(spark, sf), w.settings()).write.parquet(path)
-    return spark.read.schema(table_schema("gold_embeddings")).parquet(path)
-
-
-@query(f"""WITH {o.SEMANTIC_SEARCH} SELECT request_id, rank, chunk_id, document_id, round(score, 6) + 0.0 AS score FROM ranked WHERE rank <= top_k""")
-def semantic_search(spark, sf):
-    """All conversation turns against all document chunks, both embedded here."""
-    requests = retrieval.with_query_vectors(w.turn_requests(spark, sf), w.settings())
-    found = retrieval.secure_retrieve(requests, _chunk_gold(spark, sf), w.users(spark, sf),
-                                      w.keys(spark, sf), CONTRACTS)
-    return found.results.select("request_id", F.col("rank").cast("bigint").alias("rank"),
-                                "chunk_id", "document_id", "score")
-
-
-@query(f"""WITH {o.VECTORS}, guests AS (SELECT 'u' || label AS request_id, count(*) AS n FROM embeddings GROUP BY label),
-  seen AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS rank FROM vecs WHERE classification = 'public')
-  SELECT request_id, rank, chunk_id, TRUE AS warned FROM guests CROSS JOIN seen WHERE rank <= 5""")
-def insecure_retrieve(spark, sf):
-    """The demonstration mode: unknown users see public rows; no query vector."""
-    requests = w.label_requests(spark, sf).select(
-        F.concat(F.lit("u"), F.substring("request_id", 2, 9)).alias("request_id"),
-        F.concat(F.lit("guest"), "user_id").alias("user_id"), "query", "top_k")
-    found = retrieval.insecure_retrieve(requests, _gold_vectors(spark, sf),
-                                        w.users(spark, sf), w.keys(spark, sf), CONTRACTS)
-    warned = found.requests.select(
-        "request_id", (F.col("note") == fv.UNSAFE_MODE_WARNING).alias("warned"))
-    return found.results.join(warned, "request_id").select(
-        "request_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "warned")
-
-
-_FACT_ANSWER = f"""CASE WHEN readable > 0 THEN 'The incident commander was ' || first.o || '.'
-    ELSE '{o.REFUSAL}' END"""
-
-
-@query(f"""WITH {o.DOCUMENT_FACTS}, {o.USERS}, {o.QUESTIONS}, {o.FACT_MATCHES}
-  SELECT request_id, known, found > 0 AS fact_found, readable > 0 AS access_granted,
-    {_FACT_ANSWER} AS answer, first.id AS fact_id, (found - readable)::BIGINT AS blocked_count FROM fact_result""")
-def fact_answers(spark, sf):
-    extracted = pipeline.document_facts(w.incident_catalogue(spark, sf), w.STAMP)
-    found = retrieval.fact_retrieve(w.fact_requests(spark, sf), extracted,
-                                    w.users(spark, sf), CONTRACTS)
-    return found.requests.select(
-        "request_id", "known", "fact_found", "access_granted", "answer",
-        F.col("fact.fact_id").alias("fact_id"), "blocked_count")
-
-
-@query(f"""WITH {o.SEMANTIC_SEARCH},
-  ids0 AS (SELECT * FROM ids), cv0 AS (SELECT * FROM cv), cv0_l AS (SELECT * FROM cv_l),
-  totals AS (SELECT count(*) AS n FROM ids),
-  semantic AS (SELECT t.request_id, p.user_id IS NOT NULL AS known, count(r.chunk_id) AS readable,
-      (SELECT n FROM totals) AS total,
-      string_agg(r.chunk_id, ',' ORDER BY r.rank) FILTER (r.rank <= 3) AS sources
-    FROM turns t LEFT JOIN people p ON p.user_id = t.user_id LEFT JOIN ranked r ON r.request_id = t.request_id GROUP BY ALL)
-  SELECT 's' || request_id AS request_id, CASE WHEN readable > 0 THEN 'candidate_list' ELSE 'no_answer' END AS answer_type,
-    CASE WHEN readable > 0 THEN 'answered' ELSE 'no_authorized_information' END AS status, 'semantic' AS strategy,
-    (CASE WHEN known THEN total - readable ELSE 0 END)::BIGINT AS blocked_count, COALESCE(sources, '') AS sources FROM semantic
-  UNION ALL
-  SELECT 'f' || request_id, answer_type, status, strategy, blocked_count, sources FROM (
-    WITH {o.DOCUMENT_FACTS}, {o.USERS}, {o.QUESTIONS}, {o.FACT_MATCHES},
-    {o.word_vectors('fact_asked', 'request_id', 'query', 'fq', 64)},
-    plain_chunks AS (SELECT * FROM ids0),
-    left_over AS (SELECT q.*, f.known FROM fact_asked q JOIN fact_result f USING (request_id) WHERE f.found = 0),
-    open AS (SELECT l.request_id, c.chunk_id FROM left_over l JOIN people p ON p.user_id = l.user_id JOIN plain_chunks c ON {o.allowed('p', 'c')}),
-    fdots AS (SELECT q.k AS request_id, c.k AS chunk_id, sum(q.x * c.x) AS dot FROM fq q JOIN cv0 c ON q.b = c.b GROUP BY ALL),
-    fgraded AS (SELECT o.*, round(COALESCE(d.dot / (ql.norm * cl.norm), 0), 12) AS score FROM open o
-      LEFT JOIN fdots d USING (request_id, chunk_id) LEFT JOIN fq_l ql ON ql.k = o.request_id LEFT JOIN cv0_l cl ON cl.k = o.chunk_id),
-    franked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM fgraded),
-    fsum AS (SELECT request_id, count(*) AS readable, string_agg(chunk_id, ',' ORDER BY rank) FILTER (rank <= 3) AS sources FROM franked GROUP BY request_id)
-    SELECT f.request_id, CASE WHEN f.readable > 0 THEN 'fact_answer' WHEN f.found > 0 OR s.sources IS NULL THEN 'no_answer' ELSE 'no_fact_answer' END AS answer_type,
-      CASE WHEN f.readable > 0 THEN 'answered' WHEN f.found > 0 OR s.sources IS NULL THEN 'no_authorized_information' ELSE 'no_fact_answer' END AS status,
-      CASE WHEN f.found > 0 THEN 'fact_lookup' ELSE 'hybrid' END AS strategy,
-      (CASE WHEN f.found > 0 THEN f.found - f.readable WHEN f.known THEN (SELECT count(*) FROM plain_chunks) - COALESCE(s.readable, 0) ELSE 0 END)::BIGINT AS blocked_count,
-      CASE WHEN f.readable > 0 THEN f.first.c WHEN f.found > 0 THEN '' ELSE COALESCE(s.sources, '') END AS sources
-    FROM fact_result f LEFT JOIN fsum s USING (request_id)) q""")
-def governed_answers(spark, sf):
-    """Fact questions and conversation turns in one governed batch."""
-    turns = w.turn_requests(spark, sf).withColumn(
-        "request_id", F.concat(F.lit("s"), "request_id"))
-    questions = w.fact_requests(spark, sf).withColumn(
-        "request_id", F.concat(F.lit("f"), "request_id"))
-    requests = retrieval.with_query_vectors(turns.unionByName(questions), w.settings())
-    extracted = pipeline.document_facts(w.incident_catalogue(spark, sf), w.STAMP)
-    answered = retrieval.governed_retrieve(requests, _chunk_gold(spark, sf), extracted,
-                                           w.users(spark, sf), w.keys(spark, sf), CONTRACTS)
-    return answered.answers.select(
-        "request_id", "answer_type", "status", "strategy", "blocked_count",
-        F.array_join(F.col("sources.chunk_id"), ",").alias("sources"))
-
-
-@query("""WITH asked AS (SELECT conv_id || ':' || turn AS request_id, conv_id,
-    CASE turn % 4 WHEN 0 THEN 'Who is the OWNER of this?' WHEN 1 THEN 'which department, please'
-      WHEN 2 THEN 'Name the affected system' ELSE text END AS query FROM conversations),
-  chunks AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'Owner: ' || role || chr(10) || text
-      WHEN turn % 3 = 2 THEN 'Affected  System= S' || conv_id || chr(10) || text ELSE text END AS chunk_text FROM conversations),
-  judged AS (SELECT a.request_id, a.query, c.turn,
-    CASE WHEN contains(lower(query), 'incident commander') OR contains(lower(query), 'commander') OR contains(lower(query), ' ic ') THEN 'incident_commander'
-      WHEN contains(lower(query), 'owner') THEN 'owner' WHEN contains(lower(query), 'department') THEN 'department'
-      WHEN contains(lower(query), 'affected system') THEN 'affected_system' END AS intent,
-    list_distinct(list_transform(list_filter(string_split_regex(query, '\\s+'), lambda x: length(x) >= 4), lambda x: lower(x))) AS ws, c.chunk_text
-    FROM asked a JOIN chunks c USING (conv_id)),
-  valued AS (SELECT *, CASE intent
-      WHEN 'owner' THEN NULLIF(regexp_extract(chunk_text, '\\b[Oo]wner\\s*[:=]\\s*([^\\n]+?)(?:\\n|\\z)', 1), '')
-      WHEN 'department' THEN NULLIF(regexp_extract(chunk_text, '\\b[Dd]epartment\\s*[:=]\\s*([^\\n]+?)(?:\\n|\\z)', 1), '')
-      WHEN 'affected_system' THEN NULLIF(regexp_extract(chunk_text, '[Aa]ffected\\s+[Ss]ystem\\s*[:=]\\s*([^\\n]+?)(?:\\n|\\z)', 1), '')
-      WHEN 'incident_commander' THEN NULLIF(regexp_extract(chunk_text, '[Ii]ncident\\s+[Cc]ommander\\s*[:=]\\s*(\\S+)', 1), '')
-      ELSE CASE WHEN len(ws) > 0 AND len(list_filter(ws, lambda x: NOT contains(lower(chunk_text), x))) = 0 THEN 'turn ' || turn END END AS value FROM judged)
-  SELECT request_id, any_value(intent) AS intent, COALESCE(arg_min(CASE intent WHEN 'owner' THEN 'The owner is ' || value || '.'
-      WHEN 'department' THEN 'The department is ' || value || '.' WHEN 'affected_system' THEN 'The affected system is ' || value || '.'
-      WHEN 'incident_commander' THEN 'The incident commander was ' || value || '.'
-      ELSE 'Relevant content found in document ' || value || '.' END, turn) FILTER (value IS NOT NULL),
-    'No authorized information was found for your query.') AS answer FROM valued GROUP BY request_id""")
-def extract_answers(spark, sf):
-    """Every conversation turn as a question over the turns of its conversation."""
-    turns = w.table(spark, sf, "conversations").withColumn(
-        "request_id", F.concat_ws(":", "conv_id", "turn"))
-    t = F.col("turn")
-    asked = turns.select("request_id", "conv_id", F.when(
-        t % 4 == 0, "Who is the OWNER of this?").when(t % 4 == 1, "which department, please")
-        .when(t % 4 == 2, "Name the affected system").otherwise(F.col("text")).alias("query"))
-    chunks = turns.select(
-        "conv_id", t.alias("position"), F.concat(F.lit("turn "), t).alias("document_id"),
-        F.when(t % 2 == 1, F.concat(F.lit("Owner: "), "role", F.lit("\n"), "text"))
-        .when(t % 3 == 2, F.concat(F.lit("Affected  System= S"), "conv_id", F.lit("\n"), "text"))
-        .otherwise(F.col("text")).alias("chunk_text"))
-    pairs = asked.select("request_id", "conv_id").join(chunks, "conv_id").drop("conv_id")
-    return retrieval.extract_answers(asked, pairs)
-
-
 @query(f"""WITH {o.VECTORS}, {o.LABEL_REQUESTS}, {o.USERS}, {o.VECTOR_SCORES},
   seen AS (SELECT s.*, p.role, row_number() OVER (PARTITION BY s.request_id ORDER BY score DESC, chunk_id) AS rank
     FROM scores s JOIN requests r USING (request_id) JOIN people p ON p.user_id = r.user_id WHERE {o.allowed('p', 's')})
