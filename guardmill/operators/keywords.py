@@ -1,10 +1,11 @@
 """Answers to keyword questions by an inverted index of character grams.
 
 A question asks for the first text of its scope that holds all its words, each as a substring.
-Words have at least GRAM characters, so a text that holds them all holds every gram of theirs.
-Postings list the texts of every asked gram; a question meets texts through its rarest gram
-alone and the words are tested on those rows. Equal questions and equal texts of a scope count
-once, so a scope full of copies is no table of pairs.
+A text that holds a word holds every gram of it, so a question is looked up through a few grams
+of its longest words alone and the words are tested on the texts it meets. Each scope keeps a
+sieve of fixed size, a bit per hash of an asked gram: a text lists only grams that pass it, and
+texts that list none go no further. Equal questions and equal texts of a scope count once, so a
+scope full of copies is no table of pairs.
 """
 
 from __future__ import annotations
@@ -18,48 +19,102 @@ from guardmill.operators.joins import hot_keys, spread_join
 from guardmill.operators.scratch import settled
 
 GRAM = 4
-#: Also every overlapping one: the pattern matches an empty string before each gram.
-_GRAMS = rf"(?=(\S{{{GRAM}}}))"
+#: Lengths of grams. A question takes the greatest that its longest word reaches.
+SIZES = (GRAM, 6, 8, 12)
+#: Grams that a question looks at, to go by the rarest of them.
+PROBES = 4
+#: Longs in the sieve of a scope. More questions make it coarser, never wrong.
+SIEVE_LONGS = 32
 
 
-def grams(text: Column) -> Column:
+def grams(text: Column, size: int = GRAM) -> Column:
     """The distinct grams of a text, none across white space."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(1)))
+    # overlapping ones too: the pattern matches an empty string before each gram
+    pattern = rf"(?=(\S{{{size}}}))"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def probes(words: Column) -> Column:
+    """The grams a question is looked up by: of the greatest size that one of its words has,
+    the PROBES least by hash."""
+    def of_size(size):
+        return F.array_distinct(F.flatten(F.transform(words, lambda word: grams(word, size))))
+
+    chosen = F.get(F.filter(F.array(*map(of_size, reversed(SIZES))),
+                            lambda found: F.size(found) > 0), 0)
+    ranked = F.array_sort(F.transform(chosen, lambda gram: F.struct(
+        F.xxhash64(gram).alias("h"), gram.alias("gram"))))
+    return F.transform(F.slice(ranked, 1, PROBES), lambda one: one["gram"])
+
+
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(64 * SIEVE_LONGS)).cast("int")
+
+
+def sieves(asked: DataFrame) -> DataFrame:
+    """scope, sizes, sieve: the gram lengths asked in a scope and a bit per asked gram."""
+    bits = asked.select("scope", F.length("gram").alias("size"), _bit(F.col("gram")).alias("b"))
+    longs = [F.bit_or(F.when(F.shiftright("b", 6) == i, F.expr("shiftleft(1L, b & 63)"))
+                      .otherwise(F.lit(0).cast("long"))) for i in range(SIEVE_LONGS)]
+    return bits.groupBy("scope").agg(F.collect_set("size").alias("sizes"),
+                                     F.array(*longs).alias("sieve"))
+
+
+def sieved(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """`texts` (scope, lowered, more) that may hold an asked (scope, gram), with these as
+    `listed`: all that they hold, and a few others that hash alike."""
+    hot = hot_keys(texts.select("scope"), ["scope"])
+    joined = spread_join(texts, settled(sieves(asked)), ["scope"], "inner", hot)
+    none = F.array().cast("array<string>")
+    held = F.concat(*(F.when(F.array_contains("sizes", size), grams(F.col("lowered"), size))
+                      .otherwise(none) for size in SIZES))
+
+    def passes(gram):
+        return F.getbit(F.get("sieve", F.shiftright(_bit(gram), 6)),
+                        _bit(gram).bitwiseAND(63)) == 1
+
+    return joined.withColumn("listed", F.filter(held, passes)).filter(
+        F.size("listed") > 0).select(*texts.columns, "listed")
+
+
+def _asked_only(listed: DataFrame, asked: DataFrame) -> DataFrame:
+    return exploded(listed, F.col("listed"), "gram", "scope", "text_key").join(
+        asked.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")
 
 
 def postings(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """scope, gram, text_key for the asked (scope, gram); a text's other grams are shed by a
-    semi join. A gram of a scope is a key with one row per text, however many ask for it."""
-    listed = exploded(texts, grams(F.col("lowered")), "gram", "scope", "text_key")
-    return listed.join(asked.select("scope", "gram").distinct(), ["scope", "gram"],
-                       "left_semi")
+    """scope, gram, text_key for the asked (scope, gram), with gram lengths of SIZES.
+
+    A gram of a scope is a key with one row per text, however many ask for it."""
+    return _asked_only(sieved(texts, asked), asked)
 
 
 def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
     """question, found, position, document_id: the first text of its scope that holds all
     words, one row per row of `questions`.
 
-    questions: question, scope, words (lower case, distinct); texts: scope, position,
-    document_id, chunk_text. Questions without words, or whose words no text holds, are not
-    found. Nulls in a scope match nothing; a null text holds nothing; of equal positions the
-    least document id counts. Repeated questions are answered each for itself.
+    questions: question, scope, words (lower case, distinct, one of GRAM characters or more);
+    texts: scope, position, document_id, chunk_text. Questions without words, or whose words no
+    text holds, are not found. Nulls in a scope match nothing; a null text holds nothing; of
+    equal positions the least document id counts. Repeated questions are answered each for
+    itself.
     """
     words = F.array_sort("words")
     asked = settled(questions.select("question", "scope", words.alias("words"),
                                      F.xxhash64(words).alias("words_key")))
     # one question per scope and set of words
-    single = settled(asked.filter(F.size("words") > 0).select(
-        "scope", "words", "words_key").distinct())
+    single = asked.filter((F.size("words") > 0) & F.col("scope").isNotNull()).select(
+        "scope", "words", "words_key").distinct()
+    question_grams = settled(exploded(single, probes(F.col("words")), "gram", "scope",
+                                      "words_key", "words"))
     lowered = F.lower(F.coalesce("chunk_text", F.lit("")))
     held = texts.filter(F.col("scope").isNotNull()).select(
         "scope", "position", "document_id", lowered.alias("lowered"))
-    single_texts = settled(held.groupBy(
+    single_texts = settled(sieved(held, question_grams).groupBy(
         "scope", F.sha2("lowered", 256).alias("text_key")).agg(
         F.min(F.struct("position", "document_id")).alias("first"),
-        F.any_value("lowered").alias("lowered")))
-    word_grams = F.array_distinct(F.flatten(F.transform("words", grams)))
-    question_grams = exploded(single, word_grams, "gram", "scope", "words_key", "words")
-    listed = settled(postings(single_texts, question_grams))
+        F.any_value("lowered").alias("lowered"), F.any_value("listed").alias("listed")))
+    listed = settled(_asked_only(single_texts, question_grams))
     often = listed.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("n"))
     # a gram that no text has makes its question unanswerable: no row, by the inner join
     rarest = question_grams.join(often, ["scope", "gram"], "left").groupBy(
@@ -70,7 +125,7 @@ def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
     met = through.join(listed, ["scope", "gram"])
     # the words move to the texts, not the texts to the words' shuffle of grams
     tested = met.select("scope", "words_key", "words", "text_key").join(
-        single_texts, ["scope", "text_key"]).filter(
+        single_texts.drop("listed"), ["scope", "text_key"]).filter(
         F.forall("words", lambda word: F.contains("lowered", word)))
     firsts = tested.groupBy("scope", "words_key", "words").agg(F.min("first").alias("f"))
     key = ["scope", "words_key"]

@@ -86,3 +86,30 @@ def test_repeated_questions_are_answered_each_for_itself(spark):
     twice = asked.filter("request_id IN ('q1', 'q4', 'q5')")
     found = retrieval.answer_questions(twice.unionByName(twice).unionByName(twice), chunks)
     assert found.count() == 9 and found.distinct().count() == 3
+
+
+def test_a_coarse_sieve_changes_no_answer(spark, monkeypatch):
+    """One word of bits per scope and one gram per question: more texts to test, same answers."""
+    asked, chunks = frames(spark)
+    longer = asked.unionByName(spark.createDataFrame(
+        [("l1", "s1", "reporting harbour"), ("l2", "s1", "reporting works"),
+         ("l3", "hot", "everywhere")], asked.schema))
+    want = sorted(map(repr, retrieval.answer_questions(longer, chunks).collect()))
+    monkeypatch.setattr(keywords, "SIEVE_LONGS", 1)
+    monkeypatch.setattr(keywords, "PROBES", 1)
+    got = sorted(map(repr, retrieval.answer_questions(longer, chunks).collect()))
+    assert got == want and sum("turn" in r or "document d1" in r for r in got) == 1
+
+
+@pytest.mark.parametrize("words,want", [
+    (["reporting", "harbour"], {"reportin", "eporting"}), (["port", "bour"], {"port", "bour"}),
+    (["abc"], set()), ([], set()), (["abcdefghijklmnopqrst"], None)])
+def test_probes_are_grams_of_the_longest_words(spark, words, want):
+    row = spark.createDataFrame([(words,)], "w array<string>").select(
+        keywords.probes(F.col("w"))).first()
+    found = row[0] or []
+    if want is None:
+        assert len(found) == keywords.PROBES
+        assert all(len(g) == 12 and g in words[0] for g in found)
+    else:
+        assert set(found) == want
