@@ -1200,16 +1200,19 @@ def stream_raw_documents(spark, sf):
     third come last and are picked up by a rerun."""
     root = scratch_path(spark, "raw-stream")
     folder, catalogue, out = f"{root}/raw", f"{root}/catalogue", f"{root}/out"
-    name = F.floor(F.col("doc_id") / _FILE_DOCUMENTS).alias("name")
-    held = settled(w.table(spark, sf, "documents").groupBy(name).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]),
-        "\n", "").alias("text")).select("name", "text"))
+    name = F.floor(F.col("doc_id") / _FILE_DOCUMENTS)
+    documents = w.table(spark, sf, "documents")
+
+    def held(half):
+        return documents.filter(name % 2 == half).groupBy(name.alias("name")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))),
+                                     lambda x: x["text"]), "\n", "").alias("text"))
 
     def bronze(rows):
         return pipeline.bronze_documents(rows, w.STAMP).write.mode("append").parquet(catalogue)
 
     for half in (0, 1):
-        _write_raw_files(held.filter(F.col("name") % 2 == half), folder)
+        _write_raw_files(held(half), folder)
         known = _raw_catalogue(spark, folder).filter(
             (F.col("n") % 2 == half) & (F.col("n") % 3 != 1))
         bronze(known)

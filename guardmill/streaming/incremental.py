@@ -12,6 +12,7 @@ from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.functions.text import unix_newlines
 from guardmill.operators.chunking import chunk_workset, silver_columns
+from guardmill.operators.joins import fits
 from guardmill.operators.scratch import settled
 from guardmill.plans.pipeline import EmbeddingSettings, bronze_documents, build_embeddings
 from guardmill.sources.io import Entry, read_or_none, read_source, write_sink
@@ -99,14 +100,23 @@ def _chunk_files(files: DataFrame, folder: str, catalogue: str, out: str, place:
                         schema=table_schema("bronze_documents"))
     if rows is None:
         rows = files.sparkSession.createDataFrame([], table_schema("bronze_documents"))
+    # the batch's paths, read once without their content where the source allows it
+    listed = settled(named.select("path", "source_path"))
+    wanted = settled(rows.join(listed.select("source_path").distinct(), "source_path",
+                               "left_semi"))
     text = unix_newlines(F.make_valid_utf8(F.col("content").cast("string")))
-    met = rows.join(named.select("source_path", text.alias("text")), "source_path")
+    met = named.select("source_path", text.alias("text")).join(
+        _small(wanted), "source_path").select(*rows.columns, "text")
     silver = silver_columns(chunk_workset(met, size, overlap))
     silver.write.mode("overwrite").parquet(f"{out}/chunks/{place}")
     # a file's name is enough to find it again; its content is not kept twice
-    (named.select("path", "source_path").join(rows.select("source_path"), "source_path",
-                                              "left_anti")
-     .write.mode("overwrite").parquet(f"{out}/unmatched/{place}"))
+    (listed.join(wanted.select("source_path"), "source_path", "left_anti")
+     .select("path", "source_path").write.mode("overwrite").parquet(f"{out}/unmatched/{place}"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """`rows` for a join with texts: where they are checked to be few, the texts stay."""
+    return F.broadcast(rows) if fits(rows) else rows
 
 
 def rerun_unmatched(spark: SparkSession, folder: str, catalogue: str, out: str, run: str,
@@ -132,7 +142,7 @@ def rerun_unmatched(spark: SparkSession, folder: str, catalogue: str, out: str,
      .option("partitionOverwriteMode", "dynamic").parquet(f"{out}/rerun"))
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
              .withColumn("source_path", relative_path(F.col("path"), folder))
-             .join(now, "source_path", "left_semi"))
+             .join(_small(now), "source_path", "left_semi"))
     _chunk_files(files.drop("source_path"), folder, catalogue, out, f"job=rerun/batch={run}",
                  size, overlap)
 
