@@ -101,12 +101,12 @@ def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
     """
     words = F.array_sort("words")
     asked = settled(questions.select("question", "scope", words.alias("words"),
-                                     F.xxhash64(words).alias("words_key")))
-    # one question per scope and set of words
-    single = asked.filter((F.size("words") > 0) & F.col("scope").isNotNull()).select(
-        "scope", "words", "words_key").distinct()
-    question_grams = settled(exploded(single, probes(F.col("words")), "gram", "scope",
-                                      "words_key", "words"))
+                                     F.sha2(F.to_json(words), 256).alias("words_key")))
+    # one question per scope and set of words; the words stay behind until texts are tested
+    key = ["scope", "words_key"]
+    single = asked.filter((F.size("words") > 0) & F.col("scope").isNotNull()).groupBy(
+        *key).agg(F.any_value("words").alias("words"))
+    question_grams = settled(exploded(single, probes(F.col("words")), "gram", *key))
     lowered = F.lower(F.coalesce("chunk_text", F.lit("")))
     held = texts.filter(F.col("scope").isNotNull()).select(
         "scope", "position", "document_id", lowered.alias("lowered"))
@@ -116,25 +116,19 @@ def first_texts(questions: DataFrame, texts: DataFrame) -> DataFrame:
         F.any_value("lowered").alias("lowered"), F.any_value("listed").alias("listed")))
     listed = settled(_asked_only(single_texts, question_grams))
     often = listed.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("n"))
-    # a gram that no text has makes its question unanswerable: no row, by the inner join
-    rarest = question_grams.join(often, ["scope", "gram"], "left").groupBy(
-        "scope", "words_key", "words").agg(
+    # a gram that no text has makes its question unanswerable
+    rarest = question_grams.join(often, ["scope", "gram"], "left").groupBy(*key).agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    through = rarest.filter("g.n > 0").select(
-        "scope", "words_key", "words", F.col("g.gram").alias("gram"))
-    met = through.join(listed, ["scope", "gram"])
-    # the words move to the texts, not the texts to the words' shuffle of grams
-    tested = met.select("scope", "words_key", "words", "text_key").join(
+    through = rarest.filter("g.n > 0").select(*key, F.col("g.gram").alias("gram"))
+    met = through.join(listed, ["scope", "gram"]).select(*key, "text_key")
+    tested = met.join(single, key).join(
         single_texts.drop("listed"), ["scope", "text_key"]).filter(
         F.forall("words", lambda word: F.contains("lowered", word)))
-    firsts = tested.groupBy("scope", "words_key", "words").agg(F.min("first").alias("f"))
-    key = ["scope", "words_key"]
-    answered = firsts.select(*key, F.col("words").alias("__words"), "f")
-    joined = spread_join(asked, answered, key, "left", hot_keys(asked.select(*key), key))
-    # other words under one hash: that answer is not this question's
-    found = F.col("f").isNotNull() & (F.col("words") == F.col("__words"))
+    firsts = tested.groupBy(*key).agg(F.min("first").alias("f"))
+    joined = spread_join(asked, firsts, key, "left", hot_keys(asked.select(*key), key))
+    found = F.col("f").isNotNull()
     return joined.select(
-        "question", F.coalesce(found, F.lit(False)).alias("found"),
+        "question", found.alias("found"),
         F.when(found, F.col("f.position")).alias("position"),
         F.when(found, F.col("f.document_id")).alias("document_id"))
 
