@@ -30,3 +30,12 @@ def test_chunking_plan_has_no_shuffle_and_no_python(spark, sf):
     plan = pipeline.silver_chunks(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert plan.count("split(") == 1, "the words of a document are cut once"
+
+
+@pytest.mark.parametrize("name", ["stream_silver", "stream_gold"])
+def test_streams_read_tables_that_are_folders(spark, sf, name, tmp_path):
+    for table in ("documents", "nation"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(2).write.parquet(
+            str(tmp_path / f"{table}.parquet"))
+    run = entry.queries()[name]
+    assert run(spark, str(tmp_path)).count() == run(spark, sf).count() > 0
