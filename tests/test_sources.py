@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from guardmill.contracts import table_schema
@@ -285,3 +286,28 @@ def test_owned_scratch_is_dropped(spark):
         folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
         assert kept.count() == 5 and folder.exists()
     assert not folder.exists()
+
+
+def test_a_large_lookup_is_copied_under_hot_keys_only(spark):
+    big = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'hot', if(id % 7 = 0, null, "
+                                             "'k' || id)) as k")
+    lookup = spark.range(4000).selectExpr("'k' || id as k", "id as v").unionByName(
+        spark.createDataFrame([("hot", 99)], "k string, v long"))
+    copied = []
+
+    def watched(facts, other, on, how, hot, salts=64):
+        copied.append((hot.collect(), other.count()))
+        return spread(facts, other, on, how, hot, salts)
+
+    spread, joins.spread_join = joins.spread_join, watched
+    try:
+        for how in ("inner", "left", "left_semi"):
+            got = joins.lookup_join(big, lookup, ["k"], how, max_rows=10)
+            assert sorted(got.collect(), key=str) == sorted(
+                big.join(lookup, "k", how).collect(), key=str)
+    finally:
+        joins.spread_join = spread
+    # no copy is made before the hot keys are known, and only theirs after it
+    assert all(
+        Row(k="hot") in hot and len(hot) <= 2 and n == 4001 for hot, n in copied)
+    assert len(copied) == 3
