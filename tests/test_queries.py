@@ -39,3 +39,11 @@ def test_streams_read_tables_that_are_folders(spark, sf, name, tmp_path):
             str(tmp_path / f"{table}.parquet"))
     run = entry.queries()[name]
     assert run(spark, str(tmp_path)).count() == run(spark, sf).count() > 0
+
+
+def test_every_document_has_its_text_looked_up(spark, sf):
+    found = entry.queries()["document_text_lookup"](spark, sf)
+    rows = {r.document_id: r.text for r in found.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert rows.keys() == {str(d.doc_id) for d in docs}
+    assert all((text == "") == (int(k) % 40 == 0) for k, text in rows.items())
