@@ -57,8 +57,15 @@ def build_graph(chunks: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFra
     """(nodes, edges) from silver chunks and facts.
 
     part_of chunk -> document, mentions chunk -> entity, derived_from entity -> chunk, and
-    relates_to between the subject and the object of a fact.
+    relates_to between the subject and the object of a fact. Both inputs are read many times
+    but come from texts, so their narrow columns are stored once.
     """
+    chunks = settled(chunks.select("chunk_id", "document_id", "chunk_index", "classification",
+                                   "allowed_roles", "department"))
+    facts = settled(facts.select(
+        "subject", "object", "chunk_id", "document_id", "classification", "allowed_roles",
+        "department", "confidence", "extraction_method"))
+
     def node(node_type, label, **extra):
         return [F.lit(node_type).alias("node_type"), label.alias("label"),
                 "classification", "allowed_roles", "department",

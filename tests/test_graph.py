@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from guardmill.operators import chunking, facts, graph
 from guardmill.sources import tables
@@ -128,3 +129,24 @@ def test_graph_files(spark, tmp_path):
         assert nodes.count() == 0 and edges.count() == 0
     with pytest.raises(RuntimeError):
         tables.write_graph(nodes, edges, None)
+
+
+def test_inputs_of_the_graph_are_computed_once(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "d1", 0, "public", ["r"], "x"), ("c2", "d1", 1, "public", ["r"], "x")],
+        "chunk_id string, document_id string, chunk_index int, classification string, "
+        "allowed_roles array<string>, department string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    facts = chunks.filter("chunk_index = 0").select(
+        counted.asNondeterministic()("chunk_id").alias("subject"), F.lit("o").alias("object"),
+        "chunk_id", "document_id", "classification", "allowed_roles", "department",
+        F.lit(0.9).alias("confidence"), F.lit("m").alias("extraction_method"))
+    nodes, edges = graph.build_graph(chunks, facts)
+    assert nodes.count() == 5 and edges.count() == 7
+    assert seen.value == 1
