@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from guardmill import fixed_values as fv
 from guardmill.contracts import table_schema
 from guardmill.operators import quality
-from guardmill.plans import jobs, views
+from guardmill.operators.chunking import chunk_documents
+from guardmill.plans import jobs, pipeline, views
 from guardmill.sources import texts
+from guardmill.sources.io import Entry
 from guardmill.streaming import incremental
 
 
@@ -133,3 +135,28 @@ def test_relative_paths(spark, tmp_path):
     for folder in (f"file://{tmp_path}", f"file:{tmp_path}/"):
         assert [r.relative_path for r in texts.list_files(spark, folder, "*.txt").collect()
                 ] == ["s/f.txt"]
+
+
+def test_no_text_is_built_when_all_chunks_are_cached(spark, keys, tmp_path):
+    docs = spark.createDataFrame([("d1", "one two three four", "h1"), ("d2", "five six", "h2")],
+                                 "document_id string, text string, document_hash string")
+    settings = pipeline.EmbeddingSettings(key_id="k1", created_at="t", dim=16)
+    entry = {"format": "parquet", "path": str(tmp_path / "cache")}
+    reader, writer = Entry(options=entry), Entry(options={**entry, "mode": "append"})
+    spans = chunk_documents(docs, 3, 1, with_text=False)
+
+    def run(chunks):
+        gold = pipeline.build_embeddings(chunks, keys, settings, reader, writer, spans)
+        return sorted((r.chunk_id, r.embedding_ciphertext) for r in gold.collect())
+
+    chunks = chunk_documents(docs, 3, 1)
+    first = run(chunks)
+    assert len(first) == 3
+    broken = chunks.withColumn("chunk_text", F.raise_error(F.lit("a text was built")).cast(
+        "string"))
+    assert run(broken) == first
+    # one new document: only its chunks are encoded
+    more = docs.unionByName(spark.createDataFrame([("d3", "seven", "h3")], docs.schema))
+    spans = chunk_documents(more, 3, 1, with_text=False)
+    assert len(run(chunk_documents(more, 3, 1))) == 4
+    assert spark.read.parquet(entry["path"]).count() == 4
