@@ -126,6 +126,52 @@ def test_source_words_count_the_slots(spark):
     assert all(abs(r.words - slots * goals[r.skey[1]] / total) < 100 for r in got)
 
 
+def test_schedule_ranks_slots_and_takes_blocks(spark):
+    """Every slot is ranked within its source, and its rank decides which word it takes."""
+    sizes = {"a": 700, "b": 3, "c": 0, "d": 150, "e": 40}
+    goals = {"a": 500.5, "b": 9.0, "c": 0.0, "d": 263.5, "e": 120.0}
+    table = spark.createDataFrame([("s" + k, sizes[k], goals[k]) for k in sizes],
+                                  "skey string, source_size long, target double")
+    slots, length = 893, 64
+    seen, want, low, total = Counter(), {}, 0, sum(goals.values())
+    cuts = []
+    for k in sizes:
+        high = low + goals[k]
+        cuts.append((k, *(math.ceil(v / total * 2 ** 32) for v in (low, high))))
+        low = high
+    taken = defaultdict(Counter)
+    for i in range(slots):
+        p = (i * mixing.GOLDEN + (1 << 31)) % (1 << 32)
+        k = next(k for k, since, until in cuts if since <= p < until)
+        rank, n = want.get(("s" + k, i // length), (seen[k], 0))
+        want["s" + k, i // length] = rank, n + 1
+        if seen[k] < 3 * sizes[k]:
+            taken["s" + k][i // length, seen[k] // sizes[k], seen[k] % sizes[k]] += 1
+        seen[k] += 1
+    runs = mixing.slot_runs(table, slots, length)
+    assert {(r.skey, r.run): (r.rank, r.n) for r in runs.collect()} == want
+    got = defaultdict(Counter)
+    for r in mixing.scheduled_blocks(runs, table, block=16).collect():
+        assert 0 <= r.start and r.start + r.words <= 16
+        got[r.skey].update((r.run, r.turn, 16 * r.block + r.start + j) for j in range(r.words))
+    assert got == taken
+
+
+def test_mix_meets_documents_with_the_scheduled_blocks(spark, monkeypatch):
+    """`taken` comes from the blocks the schedule takes, whatever their size."""
+    rows = [(i, prose(i, i % 23), None, f"s{i % 3}", 0) for i in range(120)]
+    whole = sorted(map(tuple, mixed(spark, rows)))
+    calls, blocks = [], mixing.scheduled_blocks
+
+    def watched(runs, sources, worth, repeats):
+        calls.append(worth)
+        return blocks(runs, sources, worth, repeats, mixing.BLOCK_WORDS)
+
+    monkeypatch.setattr(mixing, "scheduled_blocks", watched)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 7)
+    assert sorted(map(tuple, mixed(spark, rows))) == whole and calls == [1]
+
+
 def test_mixed_rows(spark):
     rows = [(i, prose(i, 50), None, "big" if i < 90 else "small", 0) for i in range(100)]
     docs = frame(spark, rows, True)
