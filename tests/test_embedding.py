@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,11 @@ def test_index_upsert(spark, keys):
         index.index_rows(gold.withColumn("vector", F.lit(None).cast("binary"))).collect()
     nameless = gold.withColumn("chunk_id", F.lit("")).withColumn("embedding_id", F.lit(""))
     assert index.index_rows(nameless.withColumn("vector", F.lit(b"x"))).count() == 0
+
+
+def test_word_buckets_are_those_of_single_words():
+    words = ["", "Word", "WORD", "word", "É", "ÀB", "İx", "ΑΣ", "straße", "\u212a", "a" * 300, "漢"]
+    for dim in (1, 16, 64, 1000):
+        got = vectors.word_buckets(pa.array(words, pa.string()), dim)
+        assert got.tolist() == [vectors.word_bucket(w, dim) if w else -1 for w in words]
+    assert vectors.word_buckets(pa.array([], pa.string()), 8).tolist() == []
