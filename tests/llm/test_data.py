@@ -1,6 +1,7 @@
 """WARC archives, token files, packing."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import crc, edge_rows, frame
 from hypothesis import given, settings
@@ -131,6 +133,48 @@ def test_cache_is_bounded():
         assert len(small._cache) <= 6
 
 
+MIXED = st.text(alphabet=" \n\t\r'strevmldSTA10.,×÷àÀßÿ“—\u00a0\u2003\u3000\u0301жя中\x00\x7f",
+                max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(MIXED, max_size=6))
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_parts_give_the_ids_of_the_whole(path, texts):
+    plain, small = plain_and_small(path)
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(["cut off", *texts]).slice(1)
+    for _ in range(2):
+        assert [g.tolist() for g in small.encode(column)] == want
+
+
+@functools.cache
+def plain_and_small(path):
+    return Tokenizer.from_file(path), tokens.PieceTokenizer(path, cache_pieces=12)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_are_learnt_without_what_stands_beside_them(path):
+    words = ["alpha", "beta", "gamma", "delta's", "élan", "12"]
+    texts = [f"{w}{end} {w}{end}" for w in words for end in (".", ",", ")", "\nnext", "!?")]
+    encoder = tokens.PieceTokenizer(path)
+    encoder.encode(texts)
+    parts = {p for t in texts for p, _ in
+             Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(t)} - {"\u0120"}
+    assert len(encoder._cache) == len(parts)
+
+
+def test_slices_are_consecutive():
+    column = pa.array(["abc", None, "é" * 5, "", "x", "yz"]).slice(1)
+    for most in (1, 4, 10, 100):
+        found = list(tokens.slices_of_bytes(column, most))
+        assert pa.concat_arrays(found).equals(column)
+        assert all(len(part) for part in found)
+    assert list(tokens.slices_of_bytes(column.slice(0, 0), 5)) == []
+    got = tokens.load(BYTE).encode(column)
+    assert [len(g) > 0 for g in got] == [False, True, False, True, True]
+
+
 def test_token_files(spark):
     rows = edge_rows()
     folder = scratch_path(spark, "ids")
