@@ -63,6 +63,24 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert found == {(3, 2), (2, 1)}
 
 
+@pytest.mark.parametrize("store_rows, partitions", [(65_536, 23), (9, 3)])
+def test_exact_dedup_state_follows_the_rows(spark, tmp_path, monkeypatch, store_rows, partitions):
+    monkeypatch.setattr(stream_dedup, "STORE_ROWS", store_rows, raising=False)
+    monkeypatch.setattr(stream_dedup, "scratch_path", lambda _, label: str(tmp_path / label))
+    rows = edge_rows() + [(1000 + i, f"t{i // 3}", None, None, 0) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = stream_dedup.dedup_documents(frame(spark, rows))
+        assert counted(found, "doc_id", "keep_id", "group_size") == exact(rows)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(partitions)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p for p in (tmp_path / "dedup/checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert len(stores) == max(spark.sparkContext.defaultParallelism,
+                              -(-len(rows) // store_rows))
+
+
 def test_exact_dedup_compares_bytes(spark):
     docs = frame(spark, [(1, "a", None, None, 0), (2, "b", None, None, 0)])
     both = docs.selectExpr("sha2(text, 256) AS digest")
