@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -47,3 +49,18 @@ def test_every_document_has_its_text_looked_up(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert rows.keys() == {str(d.doc_id) for d in docs}
     assert all((text == "") == (int(k) % 40 == 0) for k, text in rows.items())
+
+
+def test_document_files_have_no_folder_each(spark, tmp_path):
+    rows = [(1, "s/a", "one"), (2, "s/a", None), (3, None, "x"), (3, None, "xx\x01"), (4, "..", "é"),
+            (40, "s/a", "unwritten"), (None, "s/a", "no id")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    folder, _ = entry._document_files(spark, str(tmp_path))
+    files = [p for p in Path(folder).rglob("*") if p.is_file()]
+    assert sorted(p.read_text() for p in files) == ["\n", "one\n", "xx\x01\n", "é\n"]
+    assert len([p for p in Path(folder).rglob("*") if p.is_dir()]) == 3
+    found = entry.queries()["document_text_lookup"](spark, str(tmp_path)).collect()
+    assert sorted((r.document_id or "", r.text) for r in found) == [
+        ("", ""), ("1", "one\n"), ("2", "\n"), ("3", "xx\x01\n"), ("3", "xx\x01\n"),
+        ("4", "é\n"), ("40", "")]

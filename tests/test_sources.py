@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -139,6 +140,41 @@ def test_document_texts(spark, lake):
         texts.require_inputs(spark, folder, "*.pdf")
 
 
+def test_many_files_are_read_where_their_rows_are(spark, tmp_path):
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "_logs").mkdir()
+    for name, content in (("a/1.txt", b"one\r\n"), ("a/deep/2.txt", b"two \xff"), ("top.txt", b"top"),
+                          ("a/empty.txt", b""), ("a/.hidden.txt", b"x"), ("_logs/3.txt", b"x"),
+                          ("a/4.md", b"four")):
+        (tmp_path / name).write_bytes(content)
+    listed = {r.relative_path for r in texts.list_files(spark, str(tmp_path), "*.{txt,pdf}").collect()}
+    by_spark = {r.path.rpartition("/")[2] for r in spark.read.format("binaryFile").option(
+        "recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,pdf}").load(
+        str(tmp_path)).select("path").collect()}
+    assert listed == {"a/1.txt", "a/deep/2.txt", "top.txt"}
+    assert {x.rpartition("/")[2] for x in listed} == by_spark
+    rows = [(i, ("a/1.txt", "a/deep/2.txt", "none.txt", None)[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "n int, source_path string")
+    found = texts.with_document_text(docs, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "wholetext" not in plan.lower() and "SortMergeJoin" not in plan, "texts are moved"
+    assert "binaryFile" not in texts.list_files(spark, str(tmp_path))._jdf.queryExecution(
+        ).executedPlan().toString(), "the driver lists all files"
+    met = docs.join(texts.list_files(spark, str(tmp_path)), F.col("source_path") == F.col("path"))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    got = found.select("n", F.hex("text").alias("text")).collect()
+    whole = [b"one\n".hex().upper(), None, "", ""]
+    assert len(got) == 400 and all(r.text == whole[r.n % 4] for r in got if r.n % 4 != 1)
+    by_join = texts.file_texts(spark, str(tmp_path), "2.txt").select(F.hex("text")).first()[0]
+    assert {r.text for r in got if r.n % 4 == 1} == {by_join}
+
+
+def test_compressed_files_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "z.txt.gz").write_bytes(gzip.compress(b"packed"))
+    docs = spark.createDataFrame([("z.txt.gz",)], "source_path string")
+    assert texts.with_document_text(docs, str(tmp_path)).first().text == "packed"
+
+
 def test_whole_pipeline(spark, lake, keys):
     data, root = lake
     readers, writers = tables.default_entries(str(data), str(root))
