@@ -244,6 +244,27 @@ def test_governed(spark, gold, users, keys, contracts):
     assert ("1", "secure") not in modes
 
 
+def test_governed_in_blocks_copies_no_candidates(spark, gold, users, keys, contracts,
+                                                 monkeypatch):
+    from guardmill.operators import nearest
+
+    asked = [(str(i), ("ana", "adm", "ghost")[i % 3], "tell me", 2) for i in range(12)]
+
+    def answered():
+        out = retrieval.governed_retrieve(requests(spark, *asked), gold, fact(spark), users,
+                                          keys, contracts)
+        return sorted((r.request_id, r.blocked_count, [s.chunk_id for s in r.sources])
+                      for r in out.answers.collect())
+
+    def copied(*args):
+        raise AssertionError("candidates are copied per block of requests")
+
+    plain = answered()
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nearest, "_best_rows", copied)
+    assert answered() == plain and len(plain) == 12
+
+
 def test_governed_without_candidates(spark, gold, users, keys, contracts):
     batch = requests(spark, ("3", "ana", "who was the incident commander of gross", 2),
                      ("4", "ana", "tell me", 2))
